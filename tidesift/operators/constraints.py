@@ -73,26 +73,25 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(found).where("n > 0").withColumnRenamed("n", "n_rows")
 
 
-def split_valid(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Tables without the rows that break a constraint, and those rows; parents are settled before children.
+BROKEN = "broken_rule"
 
-    All rows that share a duplicated primary key are set aside: which of them is right is not ours to guess.
+
+def mark_broken(df: DataFrame, name: str, parents: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with the first constraint each row breaks in ``broken_rule``, NULL for a valid row.
+
+    ``parents`` holds the tables that references point to. All rows that share a duplicated primary key count as
+    broken: which of them is right is not ours to guess.
     """
-    valid, rejected = {}, {}
-    for name in ("customers", "products", "purchases", "invoice_items"):
-        df = tables[name]
-        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in NOT_NULL[name]])
-        bad = [df.where(~complete)]
-        df = df.where(complete)
-        if name in PRIMARY_KEYS:
-            key = PRIMARY_KEYS[name]
-            doubled = duplicate_keys(df, key).select(key)
-            bad.append(df.join(doubled, key, "left_semi").select(*df.columns))
-            df = df.join(doubled, key, "left_anti").select(*df.columns)
-        for fk in FOREIGN_KEYS:
-            if fk.child == name:
-                parent = valid[fk.parent].select(F.col(PRIMARY_KEYS[fk.parent]).alias(fk.column))
-                bad.append(df.join(parent, fk.column, "left_anti").select(*df.columns))
-                df = df.join(parent, fk.column, "left_semi").select(*df.columns)
-        valid[name], rejected[name] = df, _union(bad)
-    return valid, rejected
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in NOT_NULL[name]])
+    rule = F.when(~complete, "not null")
+    marked = df
+    if name in PRIMARY_KEYS:
+        key = PRIMARY_KEYS[name]
+        marked = marked.join(duplicate_keys(df, key).select(key, F.lit(True).alias("_doubled")), key, "left")
+        rule = rule.when(F.col("_doubled"), f"primary key {key}")
+    for fk in (fk for fk in FOREIGN_KEYS if fk.child == name):
+        known = parents[fk.parent].select(F.col(PRIMARY_KEYS[fk.parent]).alias(fk.column),
+                                          F.lit(True).alias(f"_known_{fk.column}"))
+        marked = marked.join(known, fk.column, "left")
+        rule = rule.when(F.col(f"_known_{fk.column}").isNull(), f"foreign key {fk.column}")
+    return marked.select(*df.columns, rule.alias(BROKEN))

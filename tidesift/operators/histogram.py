@@ -31,20 +31,21 @@ def histogram(df: DataFrame, column: str, series: dict[str, Column], bins: int =
               rows.groupBy("series").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()}
     edges = {label: _edges(*ranges.get(label, (None, None)), bins) for label in series}
 
-    def bin_of(label: str) -> Column:
-        e = edges[label]
-        guess = F.least(F.floor((F.col("x") - e[0]) * F.lit(bins / (e[-1] - e[0]))), F.lit(bins - 1)).cast("int")
-        limits = F.array(*[F.lit(v) for v in e])
-        # The product can land one bin off; the edges decide.
-        low, high = F.get(limits, guess), F.get(limits, guess + 1)
-        return (F.when(F.col("x") < low, guess - 1)
-                .when((F.col("x") >= high) & (guess < bins - 1), guess + 1).otherwise(guess))
-
-    bin_column = None
-    for label in series:
-        here = F.col("series") == label
-        bin_column = F.when(here, bin_of(label)) if bin_column is None else bin_column.when(here, bin_of(label))
-    counts = rows.groupBy("series", bin_column.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    # Per series its first edge, bins per unit and all edges, as one literal the row picks.
+    spec = F.lit(None)
+    for label, e in edges.items():
+        own = F.struct(F.lit(e[0]).alias("first"), F.lit(bins / (e[-1] - e[0])).alias("per_unit"),
+                       F.lit(e).alias("edges"))
+        spec = F.when(F.col("series") == label, own).otherwise(spec)
+    guess = F.floor((F.col("x") - F.col("s.first")) * F.col("s.per_unit"))
+    last = F.lit(bins - 1)
+    placed = (rows.withColumn("s", spec).withColumn("g", F.least(guess, last).cast("int"))
+              .select("series", "x", "g", F.get("s.edges", F.col("g")).alias("low"),
+                      F.get("s.edges", F.col("g") + 1).alias("high")))
+    # The product can land one bin off; the edges decide.
+    bin_column = (F.when(F.col("x") < F.col("low"), F.col("g") - 1)
+                  .when((F.col("x") >= F.col("high")) & (F.col("g") < last), F.col("g") + 1).otherwise(F.col("g")))
+    counts = placed.groupBy("series", bin_column.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
     frame = df.sparkSession.createDataFrame(
         [(label, i, e[i], e[i + 1]) for label, e in edges.items() for i in range(bins)],

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import ranked_values
 
@@ -23,8 +24,9 @@ def seeded_hash(text: Column, seed: int) -> Column:
 
 
 def row_text(df: DataFrame) -> Column:
-    """All columns of a row as one text, NULL told apart from empty."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    """Columns of a row as one text, NULL told apart from empty; floating-point columns have no portable text."""
+    columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
 
 
 def _leading_bits(hash_text: Column) -> Column:
@@ -75,8 +77,8 @@ def sample_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
         return df
     if cut.taken == cut.shared:
         return hashed.where(F.col("_hash") <= cut.last).drop("_hash")
-    # The last hash belongs to copies of one row; any of them will do.
-    copies = hashed.where(F.col("_hash") == cut.last).limit(cut.taken)
+    # Rows that share the last hash agree in all hashed columns; the others decide which of them are in.
+    copies = hashed.where(F.col("_hash") == cut.last).orderBy(*df.columns).limit(cut.taken)
     return hashed.where(F.col("_hash") < cut.last).unionAll(copies).drop("_hash")
 
 

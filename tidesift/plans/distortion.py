@@ -6,6 +6,8 @@ do count among all rows of the meta table, the top list and the histogram.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,39 +44,45 @@ def _kpi_columns(revenue: Column, invoices: Column, customers: Column, suffix: s
 
 
 def kpis_with_and_without(lines: DataFrame, by_segment: bool = False, cfg: RuleConfig = RULES) -> DataFrame:
-    """The five KPIs with and without harmful lines: one row, or one per customer type.
+    """The five KPIs with and without harmful lines: one row, or one per customer type."""
+    totals = _entity_totals(invoiced(lines), by_segment, cfg)
+    columns = {**_kpi_columns(F.col("r"), F.col("i"), F.col("c"), "_with"),
+               **_kpi_columns(F.col("cr"), F.col("ci"), F.col("cc"), "_without")}
+    keep = ["customer_type"] if by_segment else []
+    return totals.select(*keep, *[c.alias(n) for n, c in columns.items()])
+
+
+def _entity_totals(lines: DataFrame, by_segment: bool, cfg: RuleConfig) -> DataFrame:
+    """Revenue (r), invoices (i) and customers (c) of invoiced lines, the clean ones apart (cr, ci, cc), and rows.
 
     One scan and one large shuffle. Each line turns into an invoice row and a customer row; grouping by (kind, id)
     combines on the map side, so a hot customer or invoice leaves each task as one row. Revenue rides on the
     customer rows. Counting both kinds of distinct ids the plain way would replicate every line five times.
     """
     harmful = is_harmful_line(cfg)
-    # Ids of both kinds share a column, so they travel as text; NULL revenue on the invoice rows costs nothing.
-    money = F.col("line_total")
+    # Ids of both kinds share a column, so they travel as text; the invoice rows carry no money.
+    money = lines.schema["line_total"].dataType
     entities = F.array(
         F.struct(F.lit(True).alias("is_invoice"), F.col("invoice_id").cast("string").alias("id"),
-                 F.lit(None).cast(lines.schema["line_total"].dataType).alias("line_total")),
-        F.struct(F.lit(False).alias("is_invoice"), F.col("customer_id").cast("string").alias("id"),
-                 money.alias("line_total")))
-    segment = F.col("customer_type") if by_segment else F.lit("all")
-    rows = (invoiced(lines).select(segment.alias("customer_type"), (~harmful).alias("clean"),
-                                   F.explode(entities).alias("e"))
-            .select("customer_type", "clean", "e.is_invoice", "e.id", "e.line_total"))
-    per_id = rows.groupBy("customer_type", "is_invoice", "id").agg(
+                 F.lit(None).cast(money).alias("line_total")),
+        F.struct(F.lit(False).alias("is_invoice"), F.col("customer_id").cast("string").alias("id"), "line_total"))
+    segment = ["customer_type"] if by_segment else []
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in INVOICE_KEYS])
+    rows = (lines.select(*segment, whole.alias("invoiced"), (~harmful).alias("clean"), F.explode(entities).alias("e"))
+            .select(*segment, "invoiced", "clean", "e.*"))
+    per_id = rows.groupBy(*segment, "is_invoice", "invoiced", "id").agg(
         exact_sum(rows, "line_total").alias("revenue"),
         exact_sum(rows, "line_total", F.col("clean")).alias("clean_revenue"),
-        F.bool_or("clean").alias("clean"))
-    invoice, customer, clean = F.col("is_invoice"), ~F.col("is_invoice"), F.col("clean")
-    aggregates = [
-        exact_sum(per_id, "revenue").alias("r"), exact_sum(per_id, "clean_revenue").alias("cr"),
+        F.bool_or("clean").alias("clean"), F.count(F.lit(1)).alias("rows"), F.count_if("clean").alias("clean_rows"))
+    invoice = F.col("invoiced") & F.col("is_invoice")
+    customer = F.col("invoiced") & ~F.col("is_invoice")
+    clean = F.col("clean")
+    return per_id.groupBy(*segment).agg(
+        exact_sum(per_id, "revenue", customer).alias("r"), exact_sum(per_id, "clean_revenue", customer).alias("cr"),
         F.count_if(invoice).alias("i"), F.count_if(invoice & clean).alias("ci"),
         F.count_if(customer).alias("c"), F.count_if(customer & clean).alias("cc"),
-    ]
-    totals = per_id.groupBy("customer_type").agg(*aggregates) if by_segment else per_id.agg(*aggregates)
-    columns = {**_kpi_columns(F.col("r"), F.col("i"), F.col("c"), "_with"),
-               **_kpi_columns(F.col("cr"), F.col("ci"), F.col("cc"), "_without")}
-    keep = ["customer_type"] if by_segment else []
-    return totals.select(*keep, *[c.alias(n) for n, c in columns.items()])
+        F.coalesce(F.sum(F.when(~F.col("is_invoice"), F.col("rows"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(~F.col("is_invoice"), F.col("clean_rows"))), F.lit(0)).alias("clean_rows"))
 
 
 def kpi_set(lines: DataFrame) -> DataFrame:
@@ -102,16 +110,12 @@ def distortion_by_segment(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFram
 
 
 def meta(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
-    """Row counts over all lines next to the invoice and customer counts of the KPIs; both are single rows."""
-    harmful = is_harmful_line(cfg)
-    kpis = kpis_with_and_without(lines, cfg=cfg).select(F.col("Invoices_with").alias("Invoices_total"),
-                                                        F.col("Customers_with").alias("Customers_total"))
-    counts = lines.agg(F.count(F.lit(1)).alias("Rows_total"), F.count_if(harmful).alias("Harmful_rows"))
-    one = F.struct("Invoices_total", "Customers_total")
-    return (counts.withColumn("k", kpis.select(one).scalar())
-            .select("Rows_total", "Harmful_rows",
-                    (F.try_divide(F.col("Harmful_rows").cast("double"), F.col("Rows_total").cast("double")) * 100.0)
-                    .alias("Harmful_rate_%"), "k.Invoices_total", "k.Customers_total"))
+    """Row counts over all lines next to the invoice and customer counts of the KPIs, from one scan."""
+    harmful_rows = F.col("rows") - F.col("clean_rows")
+    rate = F.try_divide(harmful_rows.cast("double"), F.col("rows").cast("double")) * 100.0
+    return _entity_totals(lines, False, cfg).select(
+        F.col("rows").alias("Rows_total"), harmful_rows.alias("Harmful_rows"), rate.alias("Harmful_rate_%"),
+        F.col("i").alias("Invoices_total"), F.col("c").alias("Customers_total"))
 
 
 def top_harmful(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:

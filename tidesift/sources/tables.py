@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.constraints import split_valid, violations
+from ..operators.constraints import BROKEN, mark_broken, violations
+from ..operators.staging import stage
 from ..schemas import LOAD_ORDER, TABLES
 
 
@@ -35,17 +37,30 @@ def load_tables(tables: dict[str, DataFrame], target: str, on_violation: str = "
         if broken:
             raise ConstraintError("; ".join(f"{r.rule} {r.table_name}.{r.column_name}: {r.n_rows} rows"
                                             for r in broken))
-    else:
-        ready, rejected = split_valid(ready)
-        for name in LOAD_ORDER:
-            rejected[name].write.mode("overwrite").parquet(f"{target}/rejected/{name}")
+    loaded: dict[str, DataFrame] = {}
     for name in LOAD_ORDER:
-        ready[name].write.mode("overwrite").parquet(f"{target}/{name}")
-    return read_tables(spark, target)
+        rows = ready[name]
+        if on_violation == "quarantine":
+            marked = stage(mark_broken(rows, name, loaded), f"marked-{name}")
+            marked.where(F.col(BROKEN).isNotNull()).write.mode("overwrite").parquet(f"{target}/rejected/{name}")
+            rows = marked.where(F.col(BROKEN).isNull()).drop(BROKEN)
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        loaded[name] = read_table(spark, target, name)
+    return loaded
+
+
+def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{target}/{name}")
 
 
 def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(TABLES[name]).parquet(f"{target}/{name}") for name in LOAD_ORDER}
+    return {name: read_table(spark, target, name) for name in LOAD_ORDER}
+
+
+def read_rejected(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """Rows a quarantining load set aside, with the rule each of them breaks."""
+    schema = T.StructType([*TABLES[name].fields, T.StructField(BROKEN, T.StringType())])
+    return spark.read.schema(schema).parquet(f"{target}/rejected/{name}")
 
 
 def save_as_tables(tables: dict[str, DataFrame], database: str) -> None:
