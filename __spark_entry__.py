@@ -190,7 +190,7 @@ def trimmed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coerced_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_tables(spark, sf_dir)["purchases"].select(
         F.col("InvoiceID").alias("invoice_id"), F.col("date").alias("raw_date"),
-        to_timestamp(F.col("date"), formats=["yyyy-MM-dd"]).alias("purchase_date"))
+        to_timestamp(F.col("date")).alias("purchase_date"))
 
 
 def first_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

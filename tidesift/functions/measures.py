@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(20,6)"
-_MONEY_LIMIT = 1e13  # beyond it (or for an infinity) a value is summed as double
+_UNIT = 1e6  # doubles are summed in whole millionths
+_LIMIT = 9e12  # beyond it (or for an infinity) a value is summed as double
 
 
 def exact_sum(df: DataFrame, column: str, where: Column | None = None) -> Column:
     """Sum that does not depend on row order or partitioning.
 
-    Decimal input is summed as it is. Double input is summed as DECIMAL(20,6); the rare values that do not fit are
-    added up as doubles next to it, so an infinity still shows in the total.
+    Decimal input is summed as it is. Double input is summed in whole millionths; the rare values too large for that
+    are added up as doubles next to it, so an infinity still shows in the total.
     """
     c = F.col(column)
     pick = (lambda v: v) if where is None else (lambda v: F.when(where, v))
     if isinstance(df.schema[column].dataType, T.DecimalType):
         return F.sum(pick(c))
-    fits = F.abs(c) < _MONEY_LIMIT
-    small = F.sum(pick(F.when(fits, c).try_cast(MONEY))).cast("double")
+    fits = F.abs(c) < _LIMIT
+    units = F.when(fits, F.rint(c * _UNIT)).cast("bigint").cast("decimal(19,0)")
+    small = F.sum(pick(units)).cast("double") / _UNIT
     large = F.sum(pick(F.when(~fits, c)))
     return F.when(large.isNull(), small).otherwise(large + F.coalesce(small, F.lit(0.0)))
 

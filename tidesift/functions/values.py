@@ -14,15 +14,17 @@ NA_TOKENS = (
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Plain decimal notation or infinity. Keeps out what only the JVM parser takes ('1d', '1f', '0x1p3').
-_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+# The characters Unicode counts as whitespace.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+# Letters no plain number has: only the JVM parser takes '1d', '1f' or '0x1p3', and NaN is not a value.
+_FOREIGN = r"[dDfFxXaA]"
+_INFINITY = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of every kind, not only blanks."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
 def na_to_null(c: Column) -> Column:
@@ -44,13 +46,12 @@ def to_number(c: Column, source: T.DataType | None = None) -> Column:
         return c
     if source is not None and not isinstance(source, T.StringType):
         return finite_or_null(c.cast("double"))
-    text = strip(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(~c.rlike(_FOREIGN) | c.rlike(_INFINITY), c.try_cast("double"))
 
 
-def to_timestamp(c: Column, source: T.DataType | None = None, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Wall-clock timestamp by the first matching format, else NULL."""
-    if source is not None and not isinstance(source, T.StringType):
-        return c.cast("timestamp_ntz")
+def to_timestamp(c: Column, source: T.DataType | None = None, formats: Sequence[str] = ()) -> Column:
+    """Wall-clock timestamp, else NULL: ISO notation, or the first format that matches if formats are given."""
+    if not formats or (source is not None and not isinstance(source, T.StringType)):
+        return c.try_cast("timestamp_ntz")
     text = strip(c)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import DATE_FORMATS, clean_text, na_to_null, to_number, to_timestamp
+from ..functions.values import clean_text, na_to_null, to_number, to_timestamp
 
 # Columns of the file reader that record where a row stood; see sources.csv_tables.
 FILE_ORDER = ("_file", "_block", "_row")
@@ -34,7 +34,7 @@ def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rewrite(df, {c: to_number(F.col(c), df.schema[c].dataType) for c in columns if c in df.columns})
 
 
-def timestamps(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def timestamps(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = ()) -> DataFrame:
     return rewrite(df, {c: to_timestamp(F.col(c), df.schema[c].dataType, formats)
                         for c in columns if c in df.columns})
 
@@ -68,7 +68,7 @@ def clean_products(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def clean_purchases(df: DataFrame, order_by: Sequence[str] = (), formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def clean_purchases(df: DataFrame, order_by: Sequence[str] = (), formats: Sequence[str] = ()) -> DataFrame:
     """Invoice headers, one per invoice. ``order_by`` names the columns that tell which row came first."""
     df = df.withColumnsRenamed({"InvoiceID": "invoice_id", "CustomerID": "customer_id", "date": "purchase_date"})
     order_by = list(order_by) or [c for c in FILE_ORDER if c in df.columns]

@@ -55,22 +55,17 @@ def kpis_with_and_without(lines: DataFrame, by_segment: bool = False, cfg: RuleC
 def _entity_totals(lines: DataFrame, by_segment: bool, cfg: RuleConfig) -> DataFrame:
     """Revenue (r), invoices (i) and customers (c) of invoiced lines, the clean ones apart (cr, ci, cc), and rows.
 
-    One scan and one large shuffle. Each line turns into an invoice row and a customer row; grouping by (kind, id)
-    combines on the map side, so a hot customer or invoice leaves each task as one row. Revenue rides on the
-    customer rows. Counting both kinds of distinct ids the plain way would replicate every line five times.
+    One scan and one large shuffle: lines are grouped by invoice id and by customer id as two grouping sets. Both
+    combine on the map side, so a hot customer or invoice leaves each task as one row. Counting the distinct ids
+    with and without harmful lines the plain way would replicate every line five times.
     """
-    harmful = is_harmful_line(cfg)
-    # Ids of both kinds share a column, so they travel as text; the invoice rows carry no money.
-    money = lines.schema["line_total"].dataType
-    entities = F.array(
-        F.struct(F.lit(True).alias("is_invoice"), F.col("invoice_id").cast("string").alias("id"),
-                 F.lit(None).cast(money).alias("line_total")),
-        F.struct(F.lit(False).alias("is_invoice"), F.col("customer_id").cast("string").alias("id"), "line_total"))
-    segment = ["customer_type"] if by_segment else []
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in INVOICE_KEYS])
-    rows = (lines.select(*segment, whole.alias("invoiced"), (~harmful).alias("clean"), F.explode(entities).alias("e"))
-            .select(*segment, "invoiced", "clean", "e.*"))
-    per_id = rows.groupBy(*segment, "is_invoice", "invoiced", "id").agg(
+    rows = lines.select("invoice_id", "customer_id", "customer_type", "line_total", whole.alias("invoiced"),
+                        (~is_harmful_line(cfg)).alias("clean"))
+    segment = ["customer_type"] if by_segment else []
+    sets = [[*segment, "invoiced", "invoice_id"], [*segment, "invoiced", "customer_id"]]
+    per_id = rows.groupingSets(sets, *segment, "invoiced", "invoice_id", "customer_id").agg(
+        (F.grouping("customer_id") == 1).alias("is_invoice"),
         exact_sum(rows, "line_total").alias("revenue"),
         exact_sum(rows, "line_total", F.col("clean")).alias("clean_revenue"),
         F.bool_or("clean").alias("clean"), F.count(F.lit(1)).alias("rows"), F.count_if("clean").alias("clean_rows"))
