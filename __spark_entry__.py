@@ -211,6 +211,18 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.feature_importance(report_model(spark, sf_dir), report_split(spark, sf_dir).features)
 
 
+def fixed_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores under encoded feature names: revenue per customer type and category, and two totals."""
+    money = F.col("line_total")
+    scores = F.array(
+        F.struct(F.concat(F.lit("customer_type_"), "customer_type").alias("feature"), money.alias("score")),
+        F.struct(F.concat(F.lit("dominant_category_"), "category").alias("feature"), money.alias("score")),
+        F.struct(F.lit("invoice_revenue").alias("feature"), money.alias("score")),
+        F.struct(F.lit("n_items").alias("feature"), F.lit(1).cast("decimal(20,6)").alias("score")))
+    return (line_view(spark, sf_dir).select(F.inline(scores)).dropna(subset=["feature"]).groupBy("feature")
+            .agg(F.sum("score").alias("importance")))
+
+
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.predict(report_model(spark, sf_dir), report_split(spark, sf_dir)).select(
         "invoice_id", "true_class", "pred_class")
@@ -292,6 +304,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "business_rules": _on(_rules, lambda d: d.select("invoice_id", "rule_class")),
         "rule_alignment": _on(_rules, evaluation.rule_alignment),
         "rule_alignment_breakdown": _on(_rules, evaluation.rule_alignment_breakdown),
+        "contextual_contribution": _on(fixed_importances, evaluation.contextual_contribution),
+        "bucket_breakdown": _on(fixed_importances, lambda d: evaluation.bucket_breakdown(d).withColumn(
+            "importance", F.col("importance").cast("double"))),
         "prediction_stability": _on(fixed_runs, explain.prediction_stability),
         "top_features_per_run": yearly_ranking,
         "topk_jaccard": _on(yearly_ranking, lambda d: explain.topk_jaccard(d).withColumn(
@@ -300,8 +315,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rf_predictions": model_predictions,
         "rf_classification_report": _on(model_predictions, evaluation.classification_report),
         "feature_importance": importances,
-        "contextual_contribution": _on(importances, evaluation.contextual_contribution),
-        "bucket_breakdown": _on(importances, evaluation.bucket_breakdown),
+        "rf_contextual_contribution": _on(importances, evaluation.contextual_contribution),
+        "rf_bucket_breakdown": _on(importances, evaluation.bucket_breakdown),
         "retrain_predictions": lambda spark, sf_dir: explain.retrain_predictions(
             retrained(spark, sf_dir), validation_split(spark, sf_dir)),
         "permutation_importance": lambda spark, sf_dir: explain.permutation_importances(

@@ -289,6 +289,20 @@ SQL["topk_jaccard"] = query(
  SELECT CAST(len(list_intersect(a.f, b.f)) AS DOUBLE) / len(list_distinct(list_concat(a.f, b.f))) AS j FROM sets a JOIN sets b ON a.run < b.run)""",
     **_RANKED, sets="SELECT run, list(feature) AS f FROM ranked WHERE rank <= 3 GROUP BY run")
 
+# ---- feature scores under encoded names
+_SCORED = {
+    "lines": L["lines"],
+    "scores": """SELECT concat('customer_type_', customer_type) AS feature, sum(line_total) AS importance FROM lines WHERE customer_type IS NOT NULL GROUP BY 1
+ UNION ALL SELECT concat('dominant_category_', category), sum(line_total) FROM lines WHERE category IS NOT NULL GROUP BY 1
+ UNION ALL SELECT 'invoice_revenue', sum(line_total) FROM lines UNION ALL SELECT 'n_items', CAST(count(*) AS DECIMAL(38,6)) FROM lines""",
+    "buckets": """SELECT CASE WHEN starts_with(feature, 'customer_type_') OR starts_with(feature, 'dominant_category_') THEN 'Contextual' ELSE 'Numeric/Temporal' END AS bucket,
+ CAST(sum(importance) AS DOUBLE) AS importance FROM scores GROUP BY 1""",
+}
+SQL["bucket_breakdown"] = query("SELECT * FROM buckets", **_SCORED)
+SQL["contextual_contribution"] = query(
+    """SELECT c AS "Contextual_Importance_Sum", t AS "Total_Importance_Sum", coalesce(c / nullif(t, 0), 0.0) * 100.0::DOUBLE AS "Contextual_Contribution_%" FROM (
+ SELECT coalesce((SELECT importance FROM buckets WHERE bucket = 'Contextual'), 0.0) AS c, (SELECT CAST(sum(importance) AS DOUBLE) FROM scores) AS t)""", **_SCORED)
+
 # ---- cleaning and constraints
 _RAW = {f"raw_{n}": duck_text(t) for n, t in RAW.items()}
 _CLEAN = {

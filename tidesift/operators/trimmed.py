@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import exact_sum
+from ..functions.values import finite_or_null
 from .ranks import melt, ranked_values
 
 
@@ -36,7 +37,7 @@ def trim_limits(df: DataFrame, column: str, share: float) -> Trim:
 
 def trim_parts(df: DataFrame, column: str, trim: Trim) -> dict[str, Column]:
     """Aggregates that can be summed up further; ``trimmed_mean_of`` puts them together."""
-    x = F.col(column).cast("double")
+    x = finite_or_null(F.col(column).cast("double"))
     low, high = F.lit(trim.low).cast("double"), F.lit(trim.high).cast("double")
     return {
         "kept_inside": exact_sum(df, column, (x > low) & (x < high)),
