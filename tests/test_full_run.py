@@ -1,0 +1,57 @@
+"""Raw files to reports, twice into the same place."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import fixture_views
+from tidesift.config import ForestConfig
+from tidesift.plans.full_run import run_all
+from tidesift.sources.reports import read_report, write_report
+from tidesift.sources.tables import ConstraintError, read_rejected
+
+SMALL = ForestConfig(num_trees=4, retrain_seeds=(41, 42), permutation_repeats=2)
+
+
+@pytest.fixture(scope="module")
+def raw_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("raw"))
+    sf_dir = os.environ.get("TEST_RUN_SF_DIR", "/root/testdata/sf0.01")
+    for name, df in fixture_views.raw(spark, sf_dir).items():
+        if name == "purchases":
+            df = df.orderBy("src_row").drop("src_row").withColumns({"product_id": F.lit("p"), "quantity": F.lit("1")})
+        if name == "invoice_items":  # more harmful invoices of next to no revenue
+            cheap = F.col("InvoiceID").cast("int") % 60 == 0
+            df = df.withColumns({"price": F.when(cheap, "0.05").otherwise(F.col("price")),
+                                 "line_total": F.when(cheap, None).otherwise(F.col("line_total"))})
+        df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}.csv")
+    return folder
+
+
+def test_broken_constraints_stop_the_run(spark, raw_dir, tmp_path):
+    with pytest.raises(ConstraintError, match="foreign key"):
+        run_all(spark, raw_dir, str(tmp_path / "out"), forest=SMALL)
+    assert not os.path.exists(tmp_path / "out" / "lines")
+
+
+def test_run_twice(spark, raw_dir, tmp_path):
+    out = str(tmp_path / "out")
+    first = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    kept = {n: sorted(map(str, df.collect())) for n, df in read_report(spark, first.reports).items()}
+    second = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    again = {n: sorted(map(str, df.collect())) for n, df in read_report(spark, second.reports).items()}
+    assert kept == again
+    assert len(kept) == 30 and all(kept.values())
+    assert read_rejected(spark, f"{out}/tables", "purchases").count() == 153
+    meta = read_report(spark, {"m": first.reports["RQ2_Tb1/Meta"]})["m"].collect()[0]
+    assert meta.Rows_total == spark.read.parquet(first.lines).count() > 51000
+
+
+def test_report_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b")], "n int, t string")
+    paths = write_report({"x": df, "y": df.withColumn("l", F.array("t"))}, str(tmp_path), "csv")
+    assert [tuple(r) for r in spark.read.csv(paths["x"], header=True, schema="n int, t string").collect()] == [(1, "a,b")]
+    assert spark.read.csv(paths["y"], header=True).collect()[0].l == '["a,b"]'
+    with pytest.raises(ValueError, match="format"):
+        write_report({"x": df}, str(tmp_path), "xlsx")

@@ -27,7 +27,8 @@ def integrate_lines(tables: dict[str, DataFrame]) -> DataFrame:
     """Join headers, customers, line items and products.
 
     Join order and algorithm are left to the optimizer: it broadcasts a side only when its size is known to be
-    small, and adaptive execution splits a hot key of the shuffled joins.
+    small, and adaptive execution splits a hot key of the shuffled joins. It can do so when the tables are stored
+    ones, as a load returns them: a table that is still to be aggregated by its join key would not be shuffled again.
     """
     items, products = tables["invoice_items"], tables["products"]
     joined = (
