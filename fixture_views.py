@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidesift.operators.staging import widen
+
 LINES_BASE = """
 SELECT o.o_orderkey AS invoice_id, o.o_orderdate AS date, o.o_custkey AS customer_id,
  CASE WHEN c.c_custkey % 50 = 0 THEN NULL WHEN c.c_mktsegment='MACHINERY' THEN 'Wholesaler' ELSE 'private' END AS customer_type,
@@ -50,10 +52,13 @@ FROM (SELECT l_orderkey,l_partkey,l_linenumber,l_quantity,l_extendedprice FROM {
 }
 
 TABLES = ("orders", "customer", "lineitem", "part")
+LARGEST_FIRST = ("lineitem", "orders", "part", "customer")
 
 
 def spark_view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    largest = next(t for t in LARGEST_FIRST if t in used)
+    used[largest] = widen(used[largest])
     return spark.sql(text, **used)
 
 

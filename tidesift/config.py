@@ -50,6 +50,7 @@ class ForestConfig:
     listed_features: int = 10
     compared_features: int = 3
     train_partitions: int | None = None  # None: spark.sql.shuffle.partitions
+    parallel_fits: int = 5  # forests of the retraining check that are fitted at the same time
 
 
 RULES = RuleConfig()

@@ -8,8 +8,8 @@ map-side combined count per value cell:
    again, until few enough rows are left in the wanted cells;
 3. the distinct values of those cells are counted and the rank is read off.
 
-A rank is also settled as soon as its cell has a single value or the rank is the cell's first or last. The result is
-exact whatever the data look like; the driver sees cell counts only, whose number is fixed by the constants below.
+A rank is settled as soon as its cell has a single value. The result is exact whatever the data look like; the driver
+sees cell counts only, whose number is bounded by the constants below.
 """
 
 from __future__ import annotations
@@ -101,12 +101,11 @@ def ranked_values(long: DataFrame, wanted: Callable[[str, int], Iterable[int]],
         cells = list(open_cells)
         gather = sum(c.rows for c in cells) <= gather_rows
         picked = _rows_in(long, cells)
-        keys = ("cell", "x") if gather else ("cell", "part")
         if gather:
             counted = [{"cell": r["cell"], "rows": r["rows"], "low": r["x"], "high": r["x"]}
                        for r in picked.groupBy("cell", "x").agg(F.count(F.lit(1)).alias("rows")).collect()]
         else:
-            counted = _counts(picked, *keys)
+            counted = _counts(picked, "cell", "part")
         parts: dict[int, list] = {}
         for r in counted:
             parts.setdefault(r["cell"], []).append(r)

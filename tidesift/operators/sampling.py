@@ -35,37 +35,47 @@ def _leading_bits(hash_text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Cut:
-    """Hash of the last row taken, how many rows share it and how many of those are taken."""
+    """Where the taken rows of a group end.
 
-    last: str
-    shared: int
-    taken: int
+    ``bits`` are the leading bits of the last hash. ``last`` is that hash in full if not all rows with these bits are
+    taken; then ``shared`` rows have even the full hash in common and ``taken`` of them belong to the sample.
+    """
+
+    bits: float
+    last: str | None = None
+    taken: int = 0
+    shared: int = 0
+
+    def holds(self, hash_text: Column) -> Column:
+        """Rows up to and including the last hash."""
+        bits = _leading_bits(hash_text)
+        if self.last is None:
+            return bits <= self.bits
+        return (bits < self.bits) | ((bits == self.bits) & (hash_text <= self.last))
 
 
 def hash_cuts(df: DataFrame, hash_column: str, take: Mapping[str, int], group: Column | None = None) -> dict[str, Cut]:
-    """For each group the hash that ends its first ``take[group]`` rows."""
+    """For each group the end of its first ``take[group]`` rows in hash order."""
     grp = F.lit("all") if group is None else group
     keyed = df.select(grp.alias("grp"), F.col(hash_column).alias("hash"),
                       _leading_bits(F.col(hash_column)).alias("x"))
     ranked = ranked_values(keyed.select("grp", "x"), lambda g, n: [take.get(g, 0) - 1])
-    edge = None
-    spans: dict[str, int] = {}
+    cuts: dict[str, Cut] = {}
     for g, r in ranked.items():
         rank = take.get(g, 0) - 1
-        if rank in r.values:
-            spans[g] = take[g] - r.smaller[rank]
-            here = (F.col("grp") == g) & (F.col("x") == F.lit(r.values[rank]))
-            edge = here if edge is None else edge | here
-    if edge is None:
-        return {}
-    # Only hashes equal in their leading bits remain: one per group but for copies of a row.
-    tied = keyed.where(edge).groupBy("grp", "hash").agg(F.count(F.lit(1)).alias("n")).orderBy("grp", "hash").collect()
-    cuts: dict[str, Cut] = {}
-    for r in tied:
-        left = spans[r["grp"]]
-        if left > 0:
-            cuts[r["grp"]] = Cut(r["hash"], r["n"], min(left, r["n"]))
-            spans[r["grp"]] = left - r["n"]
+        if rank not in r.values:
+            continue
+        bits, left = r.values[rank], take[g] - r.smaller[rank]
+        if left == r.equal[rank]:
+            cuts[g] = Cut(bits)
+            continue
+        # Copies of a row, or hashes equal in their leading bits: few different ones, counted per full hash.
+        tied = (keyed.where((F.col("grp") == g) & (F.col("x") == F.lit(bits))).groupBy("hash")
+                .agg(F.count(F.lit(1)).alias("n")).orderBy("hash").collect())
+        for t in tied:
+            if left > 0:
+                cuts[g] = Cut(bits, t["hash"], min(left, t["n"]), t["n"])
+                left -= t["n"]
     return cuts
 
 
@@ -76,10 +86,11 @@ def sample_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
     if cut is None:
         return df
     if cut.taken == cut.shared:
-        return hashed.where(F.col("_hash") <= cut.last).drop("_hash")
+        return hashed.where(cut.holds(F.col("_hash"))).drop("_hash")
     # Rows that share the last hash agree in all hashed columns; the others decide which of them are in.
     copies = hashed.where(F.col("_hash") == cut.last).orderBy(*df.columns).limit(cut.taken)
-    return hashed.where(F.col("_hash") < cut.last).unionAll(copies).drop("_hash")
+    before = cut.holds(F.col("_hash")) & (F.col("_hash") != cut.last)
+    return hashed.where(before).unionAll(copies).drop("_hash")
 
 
 def share_by_class(counts: Mapping[str, int], share: float) -> dict[str, int]:
@@ -104,5 +115,5 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: in
     cuts = hash_cuts(hashed, "_hash", share_by_class(counts, share), F.col(label))
     is_test = F.lit(False)
     for c, cut in cuts.items():
-        is_test = F.when(F.col(label) == c, F.col("_hash") <= cut.last).otherwise(is_test)
+        is_test = F.when(F.col(label) == c, cut.holds(F.col("_hash"))).otherwise(is_test)
     return hashed.withColumn("is_test", is_test).drop("_hash")
