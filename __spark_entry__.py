@@ -81,9 +81,11 @@ def stored_clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def keyed_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw tables under their final column names, ids cleaned, nothing removed."""
-    names = {"CustomerID": "customer_id", "InvoiceID": "invoice_id"}
-    return {n: cleaning.trim_texts(df.withColumnsRenamed(names), ["customer_id", "product_id", "invoice_id"])
-            for n, df in raw_tables(spark, sf_dir).items()}
+    def keyed(df: DataFrame) -> DataFrame:
+        df = df.withColumnsRenamed({"CustomerID": "customer_id", "InvoiceID": "invoice_id"})
+        return cleaning.rewrite(df, cleaning.texts(df, "customer_id", "product_id", "invoice_id"))
+
+    return {n: keyed(df) for n, df in raw_tables(spark, sf_dir).items()}
 
 
 def _turned(c: str):

@@ -50,7 +50,8 @@ class ForestConfig:
     listed_features: int = 10
     compared_features: int = 3
     train_partitions: int | None = None  # None: spark.sql.shuffle.partitions
-    parallel_fits: int = 5  # forests of the retraining check that are fitted at the same time
+    max_memory_mb: int = 512  # histogram memory per pass: more of it means fewer scans per tree level
+    node_cache_rows: int = 1_000_000  # from here on each row's tree nodes are kept between passes
 
 
 RULES = RuleConfig()

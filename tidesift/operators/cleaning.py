@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_text, na_to_null, to_number, to_timestamp
+from .staging import evaluated
 
 # Columns of the file reader that record where a row stood; see sources.csv_tables.
 FILE_ORDER = ("_file", "_block", "_row")
@@ -17,26 +18,27 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def rewrite(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Replace the columns that exist, leave out the others."""
-    return df.withColumns({name: c for name, c in columns.items() if name in df.columns})
+def rewrite(df: DataFrame, *changes: dict[str, Column]) -> DataFrame:
+    """Replace columns, each parsed once however many filters follow."""
+    new = {name: c for change in changes for name, c in change.items()}
+    return evaluated(df, *[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
-def trim_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rewrite(df, {c: clean_text(F.col(c)) for c in columns})
+def texts(df: DataFrame, *columns: str) -> dict[str, Column]:
+    """Trimmed texts, blank and NA as NULL. Like the other groups: only of the columns ``df`` has."""
+    return {c: clean_text(F.col(c)) for c in columns if c in df.columns}
 
 
-def missing_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rewrite(df, {c: na_to_null(F.col(c).cast("string")) for c in columns})
+def untrimmed_texts(df: DataFrame, *columns: str) -> dict[str, Column]:
+    return {c: na_to_null(F.col(c).cast("string")) for c in columns if c in df.columns}
 
 
-def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rewrite(df, {c: to_number(F.col(c), df.schema[c].dataType) for c in columns if c in df.columns})
+def numbers(df: DataFrame, *columns: str) -> dict[str, Column]:
+    return {c: to_number(F.col(c), df.schema[c].dataType) for c in columns if c in df.columns}
 
 
-def timestamps(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = ()) -> DataFrame:
-    return rewrite(df, {c: to_timestamp(F.col(c), df.schema[c].dataType, formats)
-                        for c in columns if c in df.columns})
+def timestamps(df: DataFrame, *columns: str, formats: Sequence[str] = ()) -> dict[str, Column]:
+    return {c: to_timestamp(F.col(c), df.schema[c].dataType, formats) for c in columns if c in df.columns}
 
 
 def first_per_key(df: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
@@ -57,14 +59,16 @@ def without_file_order(df: DataFrame) -> DataFrame:
 
 def clean_customers(df: DataFrame) -> DataFrame:
     df = without_file_order(df).withColumnsRenamed({"CustomerID": "customer_id"})
-    return trim_texts(df, ["customer_id", "customer_type"]).dropna(subset=["customer_id"]).dropDuplicates()
+    df = rewrite(df, texts(df, "customer_id", "customer_type"))
+    return df.dropna(subset=["customer_id"]).dropDuplicates()
 
 
 def clean_products(df: DataFrame) -> DataFrame:
     df = strip_headers(without_file_order(df))
-    df = missing_texts(trim_texts(df, ["product_id"]), ["item", "category"]).dropna(subset=["product_id"])
+    df = rewrite(df, texts(df, "product_id"), untrimmed_texts(df, "item", "category"), numbers(df, "price"))
+    df = df.dropna(subset=["product_id"])
     if "price" in df.columns:
-        df = numbers(df, ["price"]).where(F.col("price") >= 0)
+        df = df.where(F.col("price") >= 0)
     return df.dropDuplicates()
 
 
@@ -73,15 +77,15 @@ def clean_purchases(df: DataFrame, order_by: Sequence[str] = (), formats: Sequen
     df = df.withColumnsRenamed({"InvoiceID": "invoice_id", "CustomerID": "customer_id", "date": "purchase_date"})
     order_by = list(order_by) or [c for c in FILE_ORDER if c in df.columns]
     kept = [c for c in ("invoice_id", "purchase_date", "customer_id") if c in df.columns]
-    df = trim_texts(df.select(*kept, *order_by), ["invoice_id", "customer_id"])
-    df = timestamps(df.dropna(subset=["invoice_id", "customer_id"]), ["purchase_date"], formats)
+    df = df.select(*kept, *order_by)
+    df = rewrite(df, texts(df, "invoice_id", "customer_id"), timestamps(df, "purchase_date", formats=formats))
     return first_per_key(df.dropna(subset=kept), "invoice_id", order_by)
 
 
 def clean_invoice_items(df: DataFrame) -> DataFrame:
     df = without_file_order(df).withColumnsRenamed({"InvoiceID": "invoice_id", "price": "unit_price"})
-    df = trim_texts(df, ["invoice_id", "product_id"]).dropna(subset=["invoice_id", "product_id"])
-    df = numbers(df, ["quantity", "unit_price", "line_total"])
+    df = rewrite(df, texts(df, "invoice_id", "product_id"), numbers(df, "quantity", "unit_price", "line_total"))
+    df = df.dropna(subset=["invoice_id", "product_id"])
     if "quantity" in df.columns:
         df = df.where(F.col("quantity") > 0)
     if "unit_price" in df.columns:

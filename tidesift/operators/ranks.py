@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Fences
+from .staging import evaluated
 
 CELLS_PER_OCTAVE = 32
 CELLS_PER_SPLIT = 4096
@@ -134,7 +135,7 @@ def _rows_in(long: DataFrame, cells: Sequence[_Cell]) -> DataFrame:
 def melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per (column name, value): all columns are then counted in the same pass."""
     if len(columns) == 1:
-        return df.select(F.lit(columns[0]).alias("grp"), F.col(columns[0]).cast("double").alias("x"))
+        return evaluated(df, F.lit(columns[0]).alias("grp"), F.col(columns[0]).cast("double").alias("x"))
     pairs = F.array(*[F.struct(F.lit(c).alias("grp"), F.col(c).cast("double").alias("x")) for c in columns])
     return df.select(F.explode(pairs).alias("kv")).select("kv.grp", "kv.x")
 

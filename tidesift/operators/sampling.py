@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranks import ranked_values
+from .staging import evaluated
 
 _DIGITS = 13  # 52 bits: exact in a double
 
@@ -57,24 +58,24 @@ class Cut:
 def hash_cuts(df: DataFrame, hash_column: str, take: Mapping[str, int], group: Column | None = None) -> dict[str, Cut]:
     """For each group the end of its first ``take[group]`` rows in hash order."""
     grp = F.lit("all") if group is None else group
-    keyed = df.select(grp.alias("grp"), F.col(hash_column).alias("hash"),
-                      _leading_bits(F.col(hash_column)).alias("x"))
-    ranked = ranked_values(keyed.select("grp", "x"), lambda g, n: [take.get(g, 0) - 1])
+    bits = _leading_bits(F.col(hash_column)).alias("x")
+    ranked = ranked_values(evaluated(df, grp.alias("grp"), bits), lambda g, n: [take.get(g, 0) - 1])
     cuts: dict[str, Cut] = {}
     for g, r in ranked.items():
         rank = take.get(g, 0) - 1
         if rank not in r.values:
             continue
-        bits, left = r.values[rank], take[g] - r.smaller[rank]
+        last, left = r.values[rank], take[g] - r.smaller[rank]
         if left == r.equal[rank]:
-            cuts[g] = Cut(bits)
+            cuts[g] = Cut(last)
             continue
         # Copies of a row, or hashes equal in their leading bits: few different ones, counted per full hash.
-        tied = (keyed.where((F.col("grp") == g) & (F.col("x") == F.lit(bits))).groupBy("hash")
+        keyed = evaluated(df, grp.alias("grp"), bits, F.col(hash_column).alias("hash"))
+        tied = (keyed.where((F.col("grp") == g) & (F.col("x") == F.lit(last))).groupBy("hash")
                 .agg(F.count(F.lit(1)).alias("n")).orderBy("hash").collect())
         for t in tied:
             if left > 0:
-                cuts[g] = Cut(bits, t["hash"], min(left, t["n"]), t["n"])
+                cuts[g] = Cut(last, t["hash"], min(left, t["n"]), t["n"])
                 left -= t["n"]
     return cuts
 

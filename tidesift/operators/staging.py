@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -42,3 +43,12 @@ def widen(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def evaluated(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df.select(columns)`` whose expressions are worked out once per row.
+
+    A later filter on a computed column would otherwise be pushed below the projection together with a copy of the
+    expression. Generator output stays where it is.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FOREST, ForestConfig
@@ -85,23 +85,26 @@ def sparse_features(encoded: Encoded) -> DataFrame:
             .where(F.col("value") != 0))
 
 
-def _with_balanced_weights(train: DataFrame) -> DataFrame:
+def _balanced_weight(counts: dict[float, int]) -> Column:
     """Weight n / (classes * rows of the class): every class counts the same."""
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, weight = sum(counts.values()), F.lit(None).cast("double")
     for label, rows in counts.items():
         weight = F.when(F.col("label") == label, n / (len(counts) * rows)).otherwise(weight)
-    return train.withColumn("weight", weight)
+    return weight
 
 
 def train_forest(encoded: Encoded, seed: int, cfg: ForestConfig = FOREST) -> RandomForestClassificationModel:
     """Fit on the training part. Placing and sorting rows by key makes a seed give the same trees again."""
-    train = _with_balanced_weights(encoded.train).select(KEY, "features", "label", "weight")
+    train = encoded.train.select(KEY, "features", "label")
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = cfg.train_partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = train.repartition(parts, KEY).sortWithinPartitions(KEY).drop(KEY)
+    placed = (train.withColumn("weight", _balanced_weight(counts)).repartition(parts, KEY)
+              .sortWithinPartitions(KEY).drop(KEY))
     forest = RandomForestClassifier(
         numTrees=cfg.num_trees, minInstancesPerNode=cfg.min_leaf, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
-        featureSubsetStrategy="sqrt", impurity="gini", weightCol="weight", seed=seed)
+        featureSubsetStrategy="sqrt", impurity="gini", weightCol="weight", seed=seed,
+        maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=sum(counts.values()) >= cfg.node_cache_rows,
+        checkpointInterval=10)
     return forest.fit(placed)
 
 
