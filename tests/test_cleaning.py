@@ -6,7 +6,7 @@ import pytest
 from helpers import rows_of
 from tidesift.operators import cleaning, constraints
 from tidesift.sources.csv_tables import read_csv, read_raw
-from tidesift.sources.tables import ConstraintError, load_tables, read_rejected, read_tables
+from tidesift.sources.tables import ConstraintError, load_tables, read_rejected, read_tables, save_as_tables
 
 
 def test_customers(spark):
@@ -117,3 +117,14 @@ def test_quarantine(spark, tmp_path):
     assert rules == ["foreign key invoice_id", "foreign key invoice_id", "foreign key product_id", "not null"]
     assert sorted(r.broken_rule for r in read_rejected(spark, target, "customers").collect()) == [
         "not null", "primary key customer_id", "primary key customer_id"]
+
+
+def test_catalog_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE shop LOCATION '{tmp_path}/shop'")
+    try:
+        for _ in range(2):
+            save_as_tables(tables(spark), "shop")
+        assert spark.table("shop.customers").count() == 2
+        assert spark.table("shop.invoice_items").columns == ["invoice_id", "product_id", "quantity", "unit_price", "line_total"]
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")

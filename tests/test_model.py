@@ -60,6 +60,13 @@ def test_forest(encoded, models):
     assert [s.importance for s in scores] == sorted((s.importance for s in scores), reverse=True)
 
 
+def test_forest_with_kept_nodes(encoded):
+    """The settings for large training sets."""
+    large = ForestConfig(num_trees=3, node_cache_rows=1)
+    model = classifier.train_forest(encoded, 42, large)
+    assert classifier.predict(model, encoded).where("true_class = pred_class").count() > 36
+
+
 def test_row_numbers(spark, encoded):
     numbered, n = explain.number_rows(encoded.test.select("invoice_id", "features", "label").repartition(7), "invoice_id", 1)
     assert n == 60 and sorted(r.i for r in numbered.collect()) == list(range(60))
