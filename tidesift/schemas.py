@@ -62,8 +62,6 @@ FOREIGN_KEYS = (
 )
 LOAD_ORDER = ("customers", "products", "purchases", "invoice_items")
 
-LINE_COLUMNS = ("invoice_id", "date", "customer_id", "customer_type", "product_id", "item", "category",
-                "product_price", "quantity", "price", "line_total", "day_of_week", "day_name")
 REQUIRED_LINE_COLUMNS = ("invoice_id", "date", "customer_id", "product_id", "quantity", "price", "line_total")
 INVOICE_KEYS = ("invoice_id", "date", "customer_id", "customer_type")
 
