@@ -32,6 +32,14 @@ from tidesift.session import tune  # noqa: E402
 from tidesift.sources.csv_tables import read_csv, write_csv  # noqa: E402
 from tidesift.sources.tables import load_tables, read_rejected  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("llm", "llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = corpus_pipeline = None
+
 FOREST = ForestConfig(num_trees=int(os.environ.get("TIDESIFT_TREES", "300")))
 
 # What several queries of one application share, as they would share a loaded table or a trained model.
@@ -237,6 +245,10 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return report_queries() | (llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {})
+
+
+def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     lines, stored, flagged, data = line_view, stored_lines, flagged_lines, model_data
     return {
         # sources, checks, cleaning
@@ -333,7 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(check_sql.SQL)
+    return check_sql.SQL | (llm_queries.SQL if llm_queries else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
