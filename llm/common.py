@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,10 +21,19 @@ SESSION_CONF = {
 }
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Apply the limits above to the session (they stay set)."""
+    """Apply the limits above to the session (they stay set) and let its Python workers find this checkout.
+
+    Where executors do not see the checkout, ship it as any package (``--py-files``).
+    """
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in [*known, ROOT] if p)
     return spark
 
 
