@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_WORDS, MOST_REPEATED, WINDOW, MOST_LOST = 10, 20, 5, 0.5
+LEAST_WORDS, MOST_REPEATED, WINDOW, MOST_LOST = 10, 20, 5, 0.8
 
 # Rules of the method.
 SYMBOLS = r"[#*$%&|<>]"
@@ -173,7 +173,7 @@ WITH docs AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.5 AS kept, lost_chars
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.8 AS kept, lost_chars
 FROM counted
 """
 for _name, _rule in (("separators", SEPARATORS), ("end_mark", END_MARK), ("menu", MENU), ("phrases", PHRASES),
