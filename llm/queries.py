@@ -7,16 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import line_quality, packing, repeats, simhash, token_counts, toxicity
+from llm import language, line_quality, packing, pieces, repeats, simhash, token_counts, toxicity
 from llm.common import fold_of, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digest(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, budget=512)
 
@@ -25,6 +30,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.predict(documents, language.fit(documents, learn=fold_of("doc_id", 4) != 2))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(documents, toxicity.fit(documents, labels, learn=fold_of("doc_id", 4) != 2))
@@ -40,8 +50,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
+    "op2_pieces": op2_pieces,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
+    "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
