@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import language, line_quality, packing, pieces, repeats, simhash, token_counts, toxicity
+from llm import language, line_quality, packing, pieces, repeats, simhash, token_counts, topk, toxicity
 from llm.common import fold_of, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +31,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.predict(documents, language.fit(documents, learn=fold_of("doc_id", 4) != 2))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
+    "op5_topk": op5_topk,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
@@ -61,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_line_quality": line_quality.SQL,
+    "op5_topk": topk.SQL,
 }
