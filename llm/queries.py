@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import language, line_quality, packing, pieces, repeats, simhash, token_counts, topk, toxicity
+from llm import katz, language, line_quality, packing, pieces, repeats, simhash, token_counts, topk, toxicity
 from llm.common import fold_of, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +49,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
 }
 
