@@ -120,16 +120,23 @@ def judged(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
         base_failed(m).alias("base_failed"), kept(m).alias("kept"), "m.lines.lost_chars")
 
 
-def clean(documents: DataFrame, text_column: str = "text") -> DataFrame:
-    """The kept documents, all columns as they were but for the text, which is left without the lines that failed."""
+def clean(documents: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
+    """The kept documents, all columns as they were but for the text, which is left without the lines that failed.
+
+    ``length_column``, if the table has it, becomes the length of the new text in code points where the text has changed.
+    """
     names = [f"c{i}" for i in range(len(documents.columns))]
     text = names[documents.columns.index(text_column)]
     plain = documents.toDF(*names)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x)), "\n")
     verdict = plain.select(*names, measures(whole).alias("m")).where(kept(F.col("m")))
-    shorter = F.when(F.col("m.lines.lost_chars") > 0, rest).otherwise(F.col(text))
-    return verdict.select(*[shorter.alias(n) if n == text else F.col(n) for n in names]).toDF(*documents.columns)
+    changed = F.col("m.lines.lost_chars") > 0
+    new = {text: F.when(changed, rest).otherwise(F.col(text))}
+    if length_column in documents.columns:
+        length = names[documents.columns.index(length_column)]
+        new[length] = F.when(changed, F.length(rest).cast(documents.schema[length_column].dataType)).otherwise(F.col(length))
+    return verdict.select(*[new.get(n, F.col(n)).alias(n) for n in names]).toDF(*documents.columns)
 
 
 # The same rules for DuckDB; windows are compared as text there.
@@ -137,14 +144,18 @@ SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
-  SELECT *, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS all_lines FROM docs
+  SELECT *, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS all_lines FROM docs
 ), lines AS (
   SELECT rid, unnest(all_lines) AS line FROM split
 ), per_line AS (
   SELECT rid, line,
-         len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) AS n_words,
-         length(regexp_replace(line, '[ 	-]+', '', 'g')) AS n_chars,
-         length(regexp_replace(line, '[\p{L}\p{N} 	-]', '', 'g')) AS signs,
+         len(list_filter(regexp_split_to_array(line, '[ 	-
+]+'), lambda x: x <> '')) AS n_words,
+         length(regexp_replace(line, '[ 	-
+]+', '', 'g')) AS n_chars,
+         length(regexp_replace(line, '[\p{L}\p{N} 	-
+]', '', 'g')) AS signs,
          len(regexp_extract_all(line, '{separators}')) AS separators
   FROM lines
 ), failed AS (
@@ -165,7 +176,8 @@ WITH docs AS (
   SELECT rid, sum(least(5, coalesce(after - i, 5)))::BIGINT AS n FROM (
     SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS after FROM twice) GROUP BY rid
 ), counted AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
          coalesce(lost_chars, 0)::BIGINT AS lost_chars
