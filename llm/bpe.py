@@ -43,6 +43,10 @@ class ByteBpe:
         ids = [self.vocab[a + b] for a, b in merges]
         if ids != sorted(ids):
             raise ValueError(f"{path}: merges are not in the order of their ids")
+        self.parts = {i: (self.vocab[a], self.vocab[b]) for i, (a, b) in zip(ids, merges, strict=True)}
+        self.merged = {a << 32 | b: i for i, (a, b) in self.parts.items()}
+        if min(ids, default=0) <= max((i for i in self.vocab.values() if i not in self.parts), default=0):
+            raise ValueError(f"{path}: a single byte has an id among the merges")
         self.specials: dict[str, int] = {}
         for t in spec["added_tokens"]:
             if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]:
@@ -52,6 +56,33 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
 
+    @functools.cached_property
+    def reachable(self) -> dict[str, int]:
+        """The tokens that their own text is encoded as; merges can leave others unused."""
+        return {t: i for t, i in self.vocab.items() if t not in self.specials and len(self.model.tokenize(t)) == 1}
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side stay as they are when their joint text is encoded.
+
+        A merge across the border joins a token of the left one's right edge with one of the right one's left edge. It happens
+        if its rank comes before the merges that take these two into what they are part of. Ranks are ids here; the later
+        of the two parts is undone step by step, and of equal merges the left one goes first.
+        """
+        merged, parts, limit = self.merged, self.parts, sys.maxsize
+        while True:
+            if merged.get(left << 32 | right, limit) < limit:
+                return False
+            if left > right:
+                limit = left
+                if left not in parts:
+                    return True
+                left = parts[left][1]
+            else:
+                limit = right + 1
+                if right not in parts:
+                    return True
+                right = parts[right][0]
+
     @functools.cached_property
     def encoding(self) -> tiktoken.Encoding:
         """The same vocabulary in a second public encoder, several times as fast on whole texts."""

@@ -12,8 +12,8 @@ give repeated rows; columns other than the two named ones are not read, so clash
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from llm import bpe
 from llm.common import byte_texts, column
 
-KEPT_PRETOKENS = 250_000  # per generation of the cache; results do not depend on it
+KEPT_PRETOKENS = 500_000  # per generation of the cache; results do not depend on it
 CACHED_LENGTH = 64
+LEARNED_TOGETHER = 256  # documents
 
 
 class PrefixCounter:
@@ -33,42 +34,59 @@ class PrefixCounter:
         self.vocabulary, self.kept = vocabulary, kept
         self.pattern = bpe.pattern()
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
-        self.longest = max(map(len, vocabulary.vocab))
+        self.reachable = vocabulary.reachable
+        self.longest = max(map(len, self.reachable))
         self.shown = dict(enumerate(vocabulary.characters))
         self.byte_of = {c: b for b, c in self.shown.items()}
         self.new: dict[str, bytes | tuple[int, ...]] = {}
         self.old: dict[str, bytes | tuple[int, ...]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
+        self._row: tuple[str, list[int], list[int]] = ("", [0], [0])  # last pre-token: last token and count at each byte
 
-    def _may_follow(self, pair: tuple[str, str]) -> bool:
-        """Whether two tokens side by side are what their joint text is encoded as; the first may be empty."""
+    def _may_follow(self, before: int, token: int) -> bool:
         if len(self.follows) > 2 * self.kept:
             self.follows.clear()
-        found = [t.value for t in self.vocabulary.model.tokenize("".join(pair))] == [t for t in pair if t]
-        self.follows[pair] = found
+        found = self.follows[before << 32 | token] = self.vocabulary.stay_apart(before, token)
         return found
 
     def _counts(self, pretoken: str) -> bytes | tuple[int, ...]:
         data = pretoken.encode("utf-8", "surrogatepass")
         shown = data.decode("latin-1").translate(self.shown)
-        vocab, follows, longest, last, counts = self.vocabulary.vocab, self.follows, self.longest, [""], [0]
-        for end in range(1, len(shown) + 1):
+        token_of, follows, longest = self.reachable.get, self.follows.get, self.longest
+        before_it, last, counts = self._row
+        # Two texts with a common beginning have the same table up to its end.
+        common = 0
+        for a, b in zip(before_it, shown):  # noqa: B905
+            if a != b:
+                break
+            common += 1
+        del last[common + 1:], counts[common + 1:]
+        for end in range(common + 1, len(shown) + 1):
             for start in range(end - longest if end > longest else 0, end):
-                token = shown[start:end]
-                if token in vocab:
-                    pair = (last[start], token)
-                    fits = follows.get(pair)
-                    if fits if fits is not None else self._may_follow(pair):
-                        last.append(token)
-                        counts.append(counts[start] + 1)
-                        break
+                token = token_of(shown[start:end])
+                if token is not None:
+                    if start:
+                        before = last[start]
+                        fits = follows(before << 32 | token)
+                        if not (self._may_follow(before, token) if fits is None else fits):
+                            continue
+                    last.append(token)
+                    counts.append(counts[start] + 1)
+                    break
             else:
                 raise ValueError(f"no token ends at byte {end} of {pretoken!r}")
+        self._row = (shown, last, counts)
         if len(data) == len(pretoken):
-            del counts[0]
+            found = counts[1:]
         else:
-            counts = [counts[e] for e in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in pretoken)]
-        return bytes(counts) if max(counts) < 256 else tuple(counts)
+            found = [counts[e] for e in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in pretoken)]
+        return bytes(found) if max(found) < 256 else tuple(found)
+
+    def learn(self, pretokens: Iterable[str]) -> None:
+        """Work out many pre-tokens in sorted order, so that those alike share their beginnings' tables."""
+        for p in sorted({p for p in pretokens if p not in self.new}):
+            if len(p) <= CACHED_LENGTH and p not in self.vocabulary.specials:
+                self.counts(p)
 
     def counts(self, pretoken: str) -> bytes | tuple[int, ...]:
         """Tokens of the first 1, 2, ... characters of a pre-token."""
@@ -103,9 +121,10 @@ class PrefixCounter:
         """Tokens of the whole text."""
         return self.count_and_cut(text or "", None)[0]
 
-    def count_and_cut(self, text: str, budget: int | None) -> tuple[int, int]:
+    def count_and_cut(self, text: str, budget: int | None, pretokens: list[str] | None = None) -> tuple[int, int]:
         """Tokens of the whole text, and characters of its longest prefix of at most ``budget`` tokens."""
-        pretokens, kept, n, over = self.pretokens(text), self.new, 0, None
+        pretokens = self.pretokens(text) if pretokens is None else pretokens
+        kept, n, over = self.new, 0, None
         limit = float("inf") if budget is None else budget
         for k, p in enumerate(pretokens):
             found = kept.get(p)
@@ -205,9 +224,13 @@ def count_tokens(documents: DataFrame, path: str, budget: int = 512, id_column:
         for batch in batches:
             texts = byte_texts(column(batch, "text"))
             out: list[tuple[int, int, bool, int]] = []
-            for data in texts:
-                n, fits = counts.count_and_cut((data or b"").decode("utf-8", "replace"), budget)
-                out.append((len(data or b""), n, n > budget, fits))
+            for first in range(0, len(texts), LEARNED_TOGETHER):
+                some = [(data or b"").decode("utf-8", "replace") for data in texts[first:first + LEARNED_TOGETHER]]
+                split = [counts.pretokens(text) for text in some]
+                counts.learn(chain.from_iterable(split))
+                for text, pretokens, data in zip(some, split, texts[first:], strict=False):
+                    n, fits = counts.count_and_cut(text, budget, pretokens)
+                    out.append((len(data or b""), n, n > budget, fits))
             cells = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()),
