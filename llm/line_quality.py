@@ -24,7 +24,7 @@ LEAST_WORDS, MOST_REPEATED, WINDOW, MOST_LOST = 10, 20, 5, 0.8
 # Rules of the method.
 SYMBOLS = r"[#*$%&|<>]"
 SPACES = r"[ \t-\r]+"
-END_MARK = r"[.!?:;…。！？؟।\"'”’»)\]][ \t-\r]*$"
+END_MARK = r"[.!?:;…。！？؟।\"'”’»«)\]][ \t-\r]*$"
 SEPARATORS = r"(^|[ \t-\r])(\||>|›|»|•|·|/|→)+([ \t-\r]|$)"
 MENU = (r"(?i)^[ \t-\r]*((home|menu|login|log in|sign in|sign up|search|contact( us)?|about( us)?|next|previous|back to top|"
         r"skip to content|share|read more|site ?map)([ \t-\r]*[|>/»•·][ \t-\r]*|[ \t-\r]*$))+")
