@@ -172,8 +172,9 @@ def trimmed_invoice_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw products to CSV, read back, cleaned, to CSV, read back."""
-    raw = write_csv(raw_tables(spark, sf_dir)["products"], staging_path(spark, "raw-products"))
+    """Raw products with names that need quoting and a padded header to CSV, read back, cleaned, to CSV, read back."""
+    quoted = spark.sql(fixture_views.QUOTED, products=raw_tables(spark, sf_dir)["products"])
+    raw = write_csv(quoted.withColumnRenamed("price", " price "), staging_path(spark, "raw-products"))
     clean = write_csv(cleaning.clean_products(read_csv(spark, raw)), staging_path(spark, "clean-products"))
     return read_csv(spark, clean, "product_id string, item string, category string, price double")
 
@@ -215,6 +216,28 @@ def first_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.first_per_key(renamed, "invoice_id", ["src_row"])
 
 
+def american_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers whose dates are written month first in one of the two sources, cleaned with both formats."""
+    raw = raw_tables(spark, sf_dir)["purchases"]
+    day = F.col("date")
+    turned = F.concat_ws("/", F.substring(day, 6, 2), F.substring(day, 9, 2), F.substring(day, 1, 4))
+    mixed = raw.withColumn("date", F.when((F.col("src_row") == 0) & day.rlike("^[0-9]"), turned).otherwise(day))
+    return cleaning.clean_purchases(mixed, ["src_row"], ("MM/dd/yyyy", "yyyy-MM-dd"))
+
+
+def kpis_of_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of money as doubles far below a cent, rounded for the comparison only."""
+    small = line_view(spark, sf_dir).withColumn("line_total", F.col("line_total").cast("double") / F.lit(7000003.0))
+    return distortion.kpi_set(small).withColumns({
+        "Total_Revenue": F.round("Total_Revenue", 3), "AOV": F.round("AOV", 6),
+        "Revenue_per_Customer": F.round("Revenue_per_Customer", 6)})
+
+
+def _shown(invoices: DataFrame) -> DataFrame:
+    """Mean prices to six decimals, as the check SQL shows them."""
+    return invoices.withColumn("avg_price", F.round("avg_price", 6))
+
+
 def _clean_one(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: cleaning.clean_tables({name: raw_tables(spark, sf_dir)[name]}, ["src_row"])[name]
 
@@ -227,6 +250,12 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.feature_importance(report_model(spark, sf_dir), report_split(spark, sf_dir).features)
 
 
+def _with_total(scores: DataFrame) -> DataFrame:
+    """Features next to the rounded sum of all scores."""
+    gathered = scores.agg(F.collect_list("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total_importance"))
+    return gathered.select(F.explode("features").alias("feature"), "total_importance")
+
+
 def fixed_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under encoded feature names: revenue per customer type and category, and two totals."""
     money = F.col("line_total")
@@ -258,18 +287,18 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_not_null": _on(keyed_raw, constraints.check_not_null),
         "check_orphans": _on(stored_clean, constraints.check_orphans),
         "integrated_lines": _on(stored_clean, integrate_lines),
-        "drop_null_keys": _on(raw_tables, lambda t: t["invoice_items"].dropna(subset=["InvoiceID", "product_id"])
-                              .select(F.col("InvoiceID").alias("invoice_id"), "product_id")),
+        "drop_null_keys": _on(raw_tables, lambda t: cleaning.drop_missing(
+            t["invoice_items"].select(F.col("InvoiceID").alias("invoice_id"), "product_id"), "invoice_id", "product_id")),
         "trim_text": trimmed_texts,
         "coerce_numeric": coerced_numbers,
-        "range_filter": _on(coerced_numbers, lambda d: d.where((F.col("quantity") > 0) & (F.col("price") >= 0))
-                            .drop("line_total")),
+        "range_filter": _on(coerced_numbers, lambda d: cleaning.in_range(d, ["quantity"], ["price"]).drop("line_total")),
         "coerce_timestamp": coerced_timestamps,
-        "distinct_rows": _on(raw_tables, lambda t: t["customers"].dropDuplicates()),
+        "distinct_rows": _on(raw_tables, lambda t: cleaning.distinct_rows(t["customers"])),
         "dedupe_first": first_headers,
         "clean_customers": _clean_one("customers"),
         "clean_products": _clean_one("products"),
         "clean_purchases": _clean_one("purchases"),
+        "clean_purchases_formats": american_purchases,
         "clean_invoice_items": _clean_one("invoice_items"),
         # features and flags
         "temporal_features": _on(lines, lambda d: add_temporal_features(d).select(
@@ -291,6 +320,7 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distortion_summary": _on(lines, distortion.distortion_summary),
         "distortion_by_segment": _on(lines, distortion.distortion_by_segment),
         "kpi_set": _on(lines, distortion.kpi_set),
+        "kpi_set_double": kpis_of_doubles,
         "rq2_meta": _on(lines, distortion.meta),
         "rq2_invoice_level": _on(lines, distortion.invoice_level),
         "top_harmful": _on(lines, distortion.top_harmful),
@@ -310,14 +340,15 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monthly_comparison": _on(flagged, retention.monthly_comparison),
         "scatter_series": _on(stored, retention.scatter_series),
         # classifier data
-        "rq1_invoice_features": _on(lines, dataset.invoice_features),
+        "rq1_invoice_features": _on(lines, lambda d: _shown(dataset.invoice_features(d))),
         "dominant_category": _on(lines, dataset.dominant_category),
-        "rq1_labels": _on(stored, dataset.labelled_invoices),
-        "rq1_model_dataset": _on(stored, dataset.model_dataset),
+        "rq1_labels": _on(stored, lambda d: _shown(dataset.labelled_invoices(d))),
+        "rq1_model_dataset": _on(stored, lambda d: _shown(dataset.model_dataset(d))),
         "class_filter": _on(data, lambda d: dataset.outliers_only(d).select("invoice_id", "outlier_class")),
         "class_distribution": _on(data, dataset.class_distribution),
         "stratified_split": _on(report_split, lambda e: e.frame.select("invoice_id", "outlier_class", "is_test")),
-        "model_features": _on(report_split, classifier.sparse_features),
+        "model_features": _on(report_split, lambda e: classifier.sparse_features(e).withColumn(
+            "value", F.when(F.col("feature") == "avg_price", F.round("value", 6)).otherwise(F.col("value")))),
         # reports on fixed predictions
         "classification_report": _on(fixed_predictions, evaluation.classification_report),
         "confusion_matrix": _on(fixed_predictions, evaluation.confusion_matrix),
@@ -334,6 +365,12 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # the trained model: no SQL can restate it
         "rf_predictions": model_predictions,
         "rf_classification_report": _on(model_predictions, evaluation.classification_report),
+        "rf_prediction_rows": _on(model_predictions, lambda d: d.drop("pred_class")),
+        "retrain_prediction_rows": lambda spark, sf_dir: explain.retrain_predictions(
+            retrained(spark, sf_dir), validation_split(spark, sf_dir)).drop("pred_class"),
+        "feature_importance_names": _on(importances, _with_total),
+        "permutation_importance_names": lambda spark, sf_dir: explain.permutation_importances(
+            retrained(spark, sf_dir), validation_split(spark, sf_dir), FOREST).select("run", "feature"),
         "feature_importance": importances,
         "rf_contextual_contribution": _on(importances, evaluation.contextual_contribution),
         "rf_bucket_breakdown": _on(importances, evaluation.bucket_breakdown),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixture_views import LINES, RAW, duck_text
+from fixture_views import LINES, QUOTED, RAW, duck_text
 
 # Texts read as missing.
 NA = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', "
@@ -20,6 +20,13 @@ def number(c: str) -> str:
     return rf"try_cast(regexp_replace({c}, '^\s+|\s+$', '', 'g') AS DOUBLE)"
 
 
+def double_text(c: str) -> str:
+    """A double as its multiple of 2^-20 and the rest in 2^-80."""
+    units = f"round_even({c} * 1048576.0::DOUBLE, 0)"
+    rest = f"round_even(({c} - {units} / 1048576.0::DOUBLE) * pow(2.0::DOUBLE, 80), 0)"
+    return f"concat(CAST({units} AS HUGEINT), ':', CAST({rest} AS BIGINT))"
+
+
 def query(select: str, **ctes: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\n" + select
 
@@ -42,7 +49,7 @@ FENCES = {
 INV = {
     **L,
     "inv": """SELECT invoice_id, date, customer_id, customer_type, CAST(sum(line_total) AS DOUBLE) AS invoice_revenue, sum(quantity) AS total_qty,
- CAST(sum(CAST(price AS DECIMAL(20,6))) AS DOUBLE) / count(price) AS avg_price, count(DISTINCT product_id) AS n_items
+ fsum(price) / count(price) AS avg_price, count(DISTINCT product_id) AS n_items
  FROM li GROUP BY invoice_id, date, customer_id, customer_type""",
 }
 DOMINANT = {
@@ -111,6 +118,10 @@ _DIST = """"KPI", w AS "With_Harmful", wo AS "Without_Harmful", abs(coalesce((w
  coalesce((w - wo) / nullif(wo, 0) * 100.0::DOUBLE, 0.0) AS "Distortion_Direction_%" """
 
 
+# Means are compared to six decimals: the engines divide sums that may differ in the last bit.
+_SHOWN = "* REPLACE (round(avg_price, 6) AS avg_price)"
+
+
 def _series(unit: str) -> dict[str, str]:
     return {
         **L,
@@ -130,6 +141,9 @@ SQL: dict[str, str] = {
     "kpi_set": query(
         """SELECT coalesce(r, 0.0) AS "Total_Revenue", coalesce(r / nullif(i, 0), 0.0) AS "AOV", coalesce(r / nullif(c, 0), 0.0) AS "Revenue_per_Customer", i AS "Invoices", c AS "Customers" FROM a""",
         **L, a=_kpis("li")),
+    "kpi_set_double": query(
+        """SELECT round(coalesce(r, 0.0), 3) AS "Total_Revenue", round(coalesce(r / nullif(i, 0), 0.0), 6) AS "AOV", round(coalesce(r / nullif(c, 0), 0.0), 6) AS "Revenue_per_Customer", i AS "Invoices", c AS "Customers" FROM (
+ SELECT fsum(CAST(line_total AS DOUBLE) / 7000003.0::DOUBLE) AS r, count(DISTINCT invoice_id) AS i, count(DISTINCT customer_id) AS c FROM li)""", **L),
     "rq2_meta": query(
         """SELECT n AS "Rows_total", h AS "Harmful_rows", CAST(h AS DOUBLE) / CAST(n AS DOUBLE) * 100.0::DOUBLE AS "Harmful_rate_%", i AS "Invoices_total", c AS "Customers_total" FROM a, b""",
         **L, a=_kpis("li"), b="SELECT count(*) AS n, count(*) FILTER (WHERE harmful) AS h FROM l"),
@@ -215,18 +229,19 @@ SQL: dict[str, str] = {
  UNION ALL SELECT 'Outlier (strategic)', quantity, price FROM sf WHERE o AND s
  UNION ALL SELECT 'Outlier (harmful)', quantity, price FROM sf WHERE h""",
         **L,
-        smp=r"""SELECT * FROM l ORDER BY md5(concat(concat_ws('|', CAST(invoice_id AS VARCHAR), coalesce(customer_type, '\N'), CAST(product_id AS VARCHAR),
- CAST(line_total AS VARCHAR)), '-42')), quantity, price LIMIT 20000""",
+        smp=rf"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id, customer_type, product_id, quantity, price, line_total) AS copy FROM l)
+ ORDER BY md5(concat(concat_ws('|', CAST(invoice_id AS VARCHAR), coalesce(customer_type, '\N'), CAST(product_id AS VARCHAR), {double_text('quantity')},
+ {double_text('price')}, CAST(line_total AS VARCHAR)), '#', copy, '-42')) LIMIT 20000""",
         f="""SELECT q3 + 1.5::DOUBLE * (q3 - q1) AS qhi, t1 - 1.5::DOUBLE * (t3 - t1) AS tlo, t3 + 1.5::DOUBLE * (t3 - t1) AS thi
  FROM (SELECT quantile_cont(quantity, 0.25) q1, quantile_cont(quantity, 0.75) q3,
   quantile_cont(CAST(line_total AS DOUBLE), 0.25) t1, quantile_cont(CAST(line_total AS DOUBLE), 0.75) t3 FROM smp)""",
         sf="""SELECT quantity, price, harmful AS h, CAST(line_total AS DOUBLE) < tlo OR CAST(line_total AS DOUBLE) > thi AS o,
  (lower(coalesce(customer_type, '')) = 'wholesaler' AND quantity > qhi) OR (CAST(line_total AS DOUBLE) > thi AND NOT harmful) AS s FROM smp, f"""),
     # ---- classifier data
-    "rq1_invoice_features": query("SELECT * FROM inv", **INV),
+    "rq1_invoice_features": query(f"SELECT {_SHOWN} FROM inv", **INV),
     "dominant_category": query("SELECT * FROM dom", lines=L["lines"], **DOMINANT),
-    "rq1_labels": query("SELECT * FROM lab", **LABELS),
-    "rq1_model_dataset": query("SELECT * FROM model", **MODEL),
+    "rq1_labels": query(f"SELECT {_SHOWN} FROM lab", **LABELS),
+    "rq1_model_dataset": query(f"SELECT {_SHOWN} FROM model", **MODEL),
     "class_filter": query("SELECT invoice_id, outlier_class FROM m3", **MODEL),
     "class_distribution": query("SELECT outlier_class, count(*) AS count FROM model GROUP BY outlier_class", **MODEL),
     "temporal_features": query(
@@ -245,7 +260,7 @@ SQL: dict[str, str] = {
  UNION ALL SELECT invoice_id, is_test, u.k, u.v FROM (SELECT invoice_id, is_test, unnest([
   {'k': 'month', 'v': CAST(month AS DOUBLE)}, {'k': 'day_of_week', 'v': CAST(day_of_week AS DOUBLE)}, {'k': 'is_weekend', 'v': CAST(is_weekend AS DOUBLE)},
   {'k': 'is_peak_season', 'v': CAST(is_peak_season AS DOUBLE)}, {'k': 'is_off_season', 'v': CAST(is_off_season AS DOUBLE)},
-  {'k': 'invoice_revenue', 'v': invoice_revenue}, {'k': 'total_qty', 'v': total_qty}, {'k': 'avg_price', 'v': avg_price}, {'k': 'n_items', 'v': CAST(n_items AS DOUBLE)}]) AS u FROM split)
+  {'k': 'invoice_revenue', 'v': invoice_revenue}, {'k': 'total_qty', 'v': total_qty}, {'k': 'avg_price', 'v': round(avg_price, 6)}, {'k': 'n_items', 'v': CAST(n_items AS DOUBLE)}]) AS u FROM split)
  WHERE u.v <> 0""", **split_ctes("0.2")),
     # ---- reports on fixed predictions
     "classification_report": query(
@@ -331,7 +346,8 @@ SQL.update({
     "clean_products": query("SELECT * FROM products", raw_products=_RAW["raw_products"], products=_CLEAN["products"]),
     "clean_purchases": query("SELECT * FROM purchases", raw_purchases=_RAW["raw_purchases"], headers=_CLEAN["headers"], purchases=_CLEAN["purchases"]),
     "clean_invoice_items": query("SELECT * FROM invoice_items", raw_invoice_items=_RAW["raw_invoice_items"], invoice_items=_CLEAN["invoice_items"]),
-    "csv_roundtrip": query("SELECT * FROM products", raw_products=_RAW["raw_products"], products=_CLEAN["products"]),
+    "csv_roundtrip": query("SELECT * FROM products", raw_plain=_RAW["raw_products"], raw_products=duck_text(QUOTED.replace("{products}", "raw_plain")), products=_CLEAN["products"]),
+    "clean_purchases_formats": query("SELECT * FROM purchases", raw_purchases=_RAW["raw_purchases"], headers=_CLEAN["headers"], purchases=_CLEAN["purchases"]),
     "trim_text": query(f"""SELECT "CustomerID" AS raw_id, {text('"CustomerID"')} AS customer_id, customer_type AS raw_type, {text('customer_type')} AS customer_type FROM raw_customers""",
                        raw_customers=_RAW["raw_customers"]),
     "drop_null_keys": query("""SELECT "InvoiceID" AS invoice_id, product_id FROM raw_invoice_items WHERE "InvoiceID" IS NOT NULL AND product_id IS NOT NULL""",
@@ -367,3 +383,15 @@ SQL.update({
         hp="SELECT invoice_id, customer_id IN (SELECT customer_id FROM customers) AS ok FROM purchases",
         ip="SELECT invoice_id IN (SELECT invoice_id FROM hp WHERE ok) AND product_id IN (SELECT product_id FROM products) AS ok FROM invoice_items"),
 })
+
+# ---- the trained model: which rows and features its outputs are about
+SQL["rf_prediction_rows"] = query("SELECT invoice_id, outlier_class AS true_class FROM split WHERE is_test", **split_ctes("0.2"))
+SQL["retrain_prediction_rows"] = query(
+    "SELECT invoice_id, CAST(run AS INTEGER) AS run, outlier_class AS true_class FROM split, range(1, 6) t(run) WHERE is_test", **split_ctes("0.25"))
+_FEATURES = """SELECT concat('customer_type_', customer_type) AS feature FROM split WHERE NOT is_test GROUP BY customer_type
+ UNION ALL SELECT concat('dominant_category_', coalesce(dominant_category, 'nan')) FROM split WHERE NOT is_test GROUP BY coalesce(dominant_category, 'nan')
+ UNION ALL SELECT unnest(['month', 'day_of_week', 'is_weekend', 'is_peak_season', 'is_off_season', 'invoice_revenue', 'total_qty', 'avg_price', 'n_items'])"""
+SQL["feature_importance_names"] = query(
+    "SELECT feature, round(1.0::DOUBLE, 6) AS total_importance FROM features", **split_ctes("0.2"), features=_FEATURES)
+SQL["permutation_importance_names"] = query(
+    "SELECT CAST(run AS INTEGER) AS run, feature FROM features, range(1, 6) t(run)", **split_ctes("0.25"), features=_FEATURES)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
 
-from tidesift.operators.staging import widen
+from pyspark.sql import DataFrame, SparkSession
 
 LINES_BASE = """
 SELECT o.o_orderkey AS invoice_id, o.o_orderdate AS date, o.o_custkey AS customer_id,
@@ -51,14 +51,25 @@ FROM (SELECT l_orderkey,l_partkey,l_linenumber,l_quantity,l_extendedprice FROM {
 """,
 }
 
+# Products whose item names need quoting in a CSV file: quotes, commas, line breaks, spaces at the ends.
+QUOTED = """
+SELECT product_id, CASE WHEN length(item) % 5 = 0 THEN concat('Cable 3" black, long ', item) WHEN length(item) % 5 = 1 THEN concat('  ', item, chr(10), 'second, "line"  ')
+ WHEN length(item) % 5 = 2 THEN concat('"', item, '"') WHEN length(item) % 5 = 3 THEN concat(item, chr(92), '"') ELSE item END AS item, category, price FROM {products}
+"""
+
 TABLES = ("orders", "customer", "lineitem", "part")
 LARGEST_FIRST = ("lineitem", "orders", "part", "customer")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+# Parts the largest table of a view is spread over, for given files of a single row group; 0: as it is read.
+SPREAD = int(os.environ.get("TIDESIFT_SPREAD", "0"))
+
+
+def spark_view(spark: SparkSession, sf_dir: str, text: str, spread: int | None = None) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
-    largest = next(t for t in LARGEST_FIRST if t in used)
-    used[largest] = widen(used[largest])
+    if parts := SPREAD if spread is None else spread:
+        largest = next(t for t in LARGEST_FIRST if t in used)
+        used[largest] = used[largest].repartition(parts)
     return spark.sql(text, **used)
 
 

@@ -8,6 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ.setdefault("TIDESIFT_TREES", "5")
+os.environ.setdefault("TIDESIFT_SPREAD", "4")
 
 from tidesift.session import local_session  # noqa: E402
 

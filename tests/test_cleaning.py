@@ -5,7 +5,7 @@ import pytest
 
 from helpers import rows_of
 from tidesift.operators import cleaning, constraints
-from tidesift.sources.csv_tables import read_csv, read_raw
+from tidesift.sources.csv_tables import extra_records, read_csv, read_raw, write_csv
 from tidesift.sources.tables import ConstraintError, load_tables, read_rejected, read_tables, save_as_tables
 
 
@@ -128,3 +128,40 @@ def test_catalog_tables(spark, tmp_path):
         assert spark.table("shop.invoice_items").columns == ["invoice_id", "product_id", "quantity", "unit_price", "line_total"]
     finally:
         spark.sql("DROP DATABASE shop CASCADE")
+
+
+def test_csv_keeps_what_quotes_enclose(spark, tmp_path):
+    """Doubled quotes, commas, line breaks, spaces and a padded header; written by hand and by us."""
+    (tmp_path / "products.csv").write_text(
+        'product_id,item," category ", price \n'
+        'p1,"Cable 3"" black, long",A,1.5\n'
+        'p2,"two\nlines, ""quoted""",B,2\n'
+        'p3,"  padded  ","  C ",3\n'
+        'p4,back\\slash,"""",4\n'
+        'p5,short\n')
+    want = {("p1", 'Cable 3" black, long', "A", "1.5"), ("p2", 'two\nlines, "quoted"', "B", "2"), ("p3", "  padded  ", "  C ", "3"),
+            ("p4", "back\\slash", '"', "4"), ("p5", "short", None, None)}
+    raw = read_csv(spark, str(tmp_path / "products.csv"))
+    assert raw.columns == ["product_id", "item", " category ", " price "] and set(rows_of(raw)) == want
+    for i in range(2):
+        raw = read_csv(spark, write_csv(raw, str(tmp_path / f"again{i}")))
+        assert set(rows_of(raw)) == want
+    assert set(rows_of(cleaning.clean_products(raw).select("product_id", "item"))) == {w[:2] for w in want if w[3]}
+
+
+def test_records_with_too_many_fields(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text('a,b\n1,2\n3,4,5\n6\n7,"8,9"\n')
+    with pytest.raises(Exception, match="more fields than the header, from: 5"):
+        read_csv(spark, path).collect()
+    for multi_line in (True, False):
+        assert sorted(rows_of(read_csv(spark, path, multi_line=multi_line, extra_fields="drop"))) == [("1", "2"), ("6", None), ("7", "8,9")]
+        assert extra_records(spark, path, multi_line) == 1
+    with pytest.raises(ValueError, match="extra_fields"):
+        read_csv(spark, path, extra_fields="keep")
+
+
+def test_dates_that_fit_no_format_are_counted(spark):
+    df = spark.createDataFrame([("12/31/2023",), ("2023-12-31",), ("31.12.2023",), ("",), (None,), ("nan",)], "date string")
+    assert tuple(cleaning.unparsed_dates(df).first()) == (2, 6)
+    assert tuple(cleaning.unparsed_dates(df, ("MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd")).first()) == (0, 6)

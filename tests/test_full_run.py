@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import fixture_views
 from tidesift.config import ForestConfig
 from tidesift.plans.full_run import run_all
+from tidesift.operators.staging import staging_root
+from tidesift.sources.csv_tables import read_csv
 from tidesift.sources.reports import read_report, write_report
 from tidesift.sources.tables import ConstraintError, read_rejected
 
@@ -29,6 +31,38 @@ def raw_dir(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def american_dir(spark, raw_dir, tmp_path_factory):
+    """The same files with dates written month first, and one record too long."""
+    folder = str(tmp_path_factory.mktemp("american"))
+    for name in ("customers", "products", "invoice_items"):
+        os.symlink(f"{raw_dir}/{name}.csv", f"{folder}/{name}.csv")
+    raw = read_csv(spark, f"{raw_dir}/purchases.csv")
+    turned = F.concat_ws("/", F.substring("date", 6, 2), F.substring("date", 9, 2), F.substring("date", 1, 4))
+    raw = raw.withColumn("date", F.when(F.col("date").rlike("^[0-9]"), turned).otherwise(F.col("date")))
+    raw.coalesce(1).write.option("header", True).csv(f"{folder}/purchases.csv")
+    (part,) = [f for f in os.listdir(f"{folder}/purchases.csv") if f.startswith("part-")]
+    with open(f"{folder}/purchases.csv/{part}", "a") as f:
+        f.write("x1,01/02/2023,c1,p,1,too much\n")
+    os.remove(f"{folder}/purchases.csv/.{part}.crc")
+    return folder
+
+
+def test_other_dates_and_long_records(spark, raw_dir, american_dir, tmp_path):
+    def lines(raw, **kwargs):
+        result = run_all(spark, raw, str(tmp_path / "out"), forest=SMALL, on_violation="quarantine", **kwargs)
+        return result, sorted(map(str, spark.read.parquet(result.lines).select("invoice_id", "product_id", "date", "quantity").collect()))
+
+    plain, want = lines(raw_dir)
+    staged = set(os.listdir(staging_root(spark)))
+    turned, got = lines(american_dir, date_formats=("MM/dd/yyyy",))
+    assert set(os.listdir(staging_root(spark))) == staged
+    assert got == want and turned.unparsed_dates == plain.unparsed_dates > 0
+    assert turned.extra_records == {"customers": 0, "products": 0, "purchases": 1, "invoice_items": 0}
+    with pytest.raises(Exception, match="more fields than the header"):
+        run_all(spark, american_dir, str(tmp_path / "other"), forest=SMALL, date_formats=("MM/dd/yyyy",))
+
+
 def test_broken_constraints_stop_the_run(spark, raw_dir, tmp_path):
     with pytest.raises(ConstraintError, match="foreign key"):
         run_all(spark, raw_dir, str(tmp_path / "out"), forest=SMALL)
@@ -52,6 +86,6 @@ def test_report_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b")], "n int, t string")
     paths = write_report({"x": df, "y": df.withColumn("l", F.array("t"))}, str(tmp_path), "csv")
     assert [tuple(r) for r in spark.read.csv(paths["x"], header=True, schema="n int, t string").collect()] == [(1, "a,b")]
-    assert spark.read.csv(paths["y"], header=True).collect()[0].l == '["a,b"]'
+    assert read_csv(spark, paths["y"]).collect()[0].l == '["a,b"]'
     with pytest.raises(ValueError, match="format"):
         write_report({"x": df}, str(tmp_path), "xlsx")

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from helpers import DAY
 from tidesift.config import ForestConfig
@@ -62,7 +64,7 @@ def test_forest(encoded, models):
 
 def test_forest_with_kept_nodes(encoded):
     """The settings for large training sets."""
-    large = ForestConfig(num_trees=3, node_cache_rows=1)
+    large = ForestConfig(num_trees=3, cache_nodes=True)
     model = classifier.train_forest(encoded, 42, large)
     assert classifier.predict(model, encoded).where("true_class = pred_class").count() > 36
 
@@ -188,3 +190,21 @@ def test_rules(spark):
     none = ruled.where("rule_class is null")
     assert tuple(evaluation.rule_alignment(none).collect()[0]) == (0, 0, 0.0)
     assert evaluation.rule_alignment_breakdown(none).count() == 0
+
+
+def test_feature_rows_of_many_categories(spark):
+    """Names are joined by place: the plan does not grow with the number of categories."""
+    n = 50_000
+    rows = spark.range(n + 20).select(
+        F.col("id").cast("string").alias("invoice_id"), (F.col("id") >= n).alias("is_test"),
+        array_to_vector(F.array(F.lit(0.0), F.lit(1.0))).alias("dense"), F.col("id"))
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    wide = OneHotEncoder(inputCol="at", outputCol="hot", dropLast=False).fit(
+        rows.select((F.col("id") % n).cast("double").alias("at"))).transform(rows.withColumn("at", (F.col("id") % n).cast("double")))
+    frame = VectorAssembler(inputCols=["hot", "dense"], outputCol="features").transform(wide).select("invoice_id", "is_test", "features")
+    names = tuple(f"f{i}" for i in range(n + 2))
+    got = classifier.sparse_features(classifier.Encoded(frame, names, ("a",)))
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert got.count() == 2 * (n + 20)
+    assert {(r.feature, r.value) for r in got.where("invoice_id = '50003'").collect()} == {("f3", 1.0), (f"f{n + 1}", 1.0)}

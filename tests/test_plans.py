@@ -6,14 +6,15 @@ import pytest
 
 import __spark_entry__ as registry
 from helpers import frame, line, plan_of
+from tidesift.operators import constraints
 from tidesift.operators.staging import stage
-from tidesift.plans import distortion, retention
+from tidesift.plans import dataset, distortion, retention
 from tidesift.plans.lines import integrate_lines
 
-QUERIES = registry.queries()
+QUERIES = registry.report_queries()
 NOT_ALLOWED = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
                "FlatMapGroupsInPandas")
-TRAINED = {"rf_predictions", "rf_classification_report", "retrain_predictions"}
+TRAINED = {"rf_predictions", "rf_classification_report", "retrain_predictions", "rf_prediction_rows", "retrain_prediction_rows"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINED - {"permutation_importance"}))
@@ -45,8 +46,53 @@ def test_one_large_shuffle_for_the_kpis(spark, sf_dir):
 
 def test_filters_reach_the_scan(spark, sf_dir):
     lines = registry.stored_lines(spark, sf_dir)
-    plan = plan_of(distortion.top_harmful(lines))
-    assert "TakeOrderedAndProject" in plan
+    assert "TakeOrderedAndProject" in plan_of(distortion.top_harmful(lines))
+    plain = stage(lines.withColumn("line_total", lines.line_total.cast("double")), "double-lines")
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+
+    def pushed(df):
+        return " ".join(re.findall(r"PushedFilters: (\[[^\n]*)", plan_of(df)))
+
+    assert "LessThanOrEqual(price,0.0)" in pushed(distortion.top_harmful(plain))
+    flagged = retention.flag_lines(plain)
+    for report in (retention.top_strategic(flagged), retention.retention_by_category(flagged)):
+        assert "GreaterThan(line_total," in pushed(report)
+    tails = dataset.labelled_invoices(plain).where("is_statistical_outlier")
+    assert "GreaterThanOrEqual(invoice_revenue," in pushed(tails)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_checks_read_the_columns_they_check(spark, sf_dir):
+    tables = registry.keyed_raw(spark, sf_dir)
+    read = dict(re.findall(r"FileScan parquet.*?/(\w+)\.parquet.*?ReadSchema: struct<([^\n]*)>", plan_of(
+        constraints.null_counts(tables["invoice_items"], ("invoice_id", "product_id")))))
+    assert "l_quantity" not in read["lineitem"] and "l_extendedprice" not in read["lineitem"]
+    for check in (constraints.check_not_null, constraints.check_duplicate_keys, constraints.check_orphans):
+        plan = plan_of(check(tables))
+        assert "l_quantity" not in plan and "l_extendedprice" not in plan and "o_orderdate" not in plan
+
+
+def test_tables_of_a_report_share_one_scan(spark, sf_dir):
+    """Three tables of distortion and four of retention come from staged sums, the lines are read once for each."""
+    lines = registry.stored_lines(spark, sf_dir)
+    tables = distortion.distortion_tables(lines)
+    assert all("/per-id-sums" in plan_of(t) and "/lines-" not in plan_of(t) for t in tables.values())
+    assert rows(tables["Summary"]) == rows(distortion.distortion_summary(lines))
+    assert rows(tables["Meta"]) == rows(distortion.meta(lines))
+    assert rows(tables["Segments"]) == rows(distortion.distortion_by_segment(lines))
+    flagged = retention.flag_lines(lines)
+    tables = retention.retention_tables(flagged)
+    assert all("/retention-cells" in plan_of(t) and "/lines-" not in plan_of(t) for t in tables.values())
+    assert rows(tables["Overall"]) == rows(retention.retention_overall(flagged))
+    assert rows(tables["Segments"]) == rows(retention.retention_by_segment(flagged))
+    assert rows(tables["Categories"]) == rows(retention.retention_by_category(flagged))
+    assert rows(tables["Months"]) == rows(retention.retention_by_month(flagged))
+    assert plan_of(retention.retention_by_segment(flagged)).count("FileScan") == 1
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
 
 
 def test_a_hot_join_key_is_split(spark):

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidesift.functions.measures import exact_sum
 from tidesift.operators import ranks
 from tidesift.operators.histogram import histogram
 from tidesift.operators.ranks import exact_quantiles, iqr_bounds, melt, ranked_values
@@ -112,3 +113,40 @@ def test_histogram_of_a_constant(spark):
     rows = histogram(column(spark, [4.0] * 3), "x", {"all": F.lit(True)}, 50).collect()
     counts, _ = np.histogram([4.0] * 3, 50)
     assert [r["count"] for r in sorted(rows, key=lambda r: r["bin"])] == counts.tolist()
+
+
+def test_histogram_lists_infinities(spark):
+    rows = histogram(column(spark, [1.0, 2.0, 3.0, math.inf, math.inf, -math.inf, None]), "x", {"all": F.lit(True)}, 2).collect()
+    got = sorted((r["bin"], r["bin_start"], r["bin_end"], r["count"]) for r in rows)
+    assert got == [(-1, -math.inf, -math.inf, 1), (0, 1.0, 2.0, 1), (1, 2.0, 3.0, 2), (2, math.inf, math.inf, 2)]
+    rows = histogram(column(spark, [math.inf]), "x", {"all": F.lit(True)}, 1).collect()
+    assert sorted((r["bin"], r["count"]) for r in rows) == [(0, 0), (1, 1)]
+
+
+@pytest.mark.parametrize(("values", "share", "want"), [
+    ([1.0, 2.0, math.inf, math.inf], 0.25, math.inf), ([1.0, 2.0, 3.0, math.inf], 0.25, 2.5), ([-math.inf, 1.0, 2.0], 0.0, -math.inf),
+    ([1e-9, 2e-9, 3e-9], 0.34, 2e-9), ([1.0, math.inf, math.inf, math.inf, math.inf], 0.2, math.inf)])
+def test_trimmed_mean_of_infinities_and_tiny_values(spark, values, share, want):
+    assert trimmed_mean(column(spark, values), "x", share).collect()[0][0] == pytest.approx(want, rel=1e-12)
+
+
+def total(df, **kwargs):
+    return df.agg(exact_sum(df, "x", **kwargs).alias("s")).first().s
+
+
+@pytest.mark.parametrize(("values", "want"), [
+    ([4e-7] * 1000, 4e-4), ([1e-20] * 50, 5e-19), ([8.9e12, 9.1e12, 0.25], 1.8e13 + 0.25), ([1e24, 1.0, -1e24], 1.0), ([1e30, 2.0], 1e30),
+    ([math.inf, 1.0], math.inf), ([0.1] * 10, 1.0), ([], None), ([None], None), ([-0.0, 0.0], 0.0)])
+def test_sums_of_doubles(spark, values, want):
+    got = total(column(spark, values))
+    assert got is None if want is None else got == pytest.approx(want, rel=1e-12)
+    assert len({total(column(spark, values).repartition(k)) for k in (1, 3, 7)}) == 1
+
+
+@few
+@given(values=st.lists(st.floats(-1e14, 1e14), min_size=1, max_size=60), seed=st.integers(0, 3))
+def test_sums_are_those_of_fsum(spark, values, seed):
+    df = column(spark, values)
+    assert total(df) == pytest.approx(math.fsum(values), rel=1e-15, abs=1e-18)
+    chosen = [v for v in values if v > 0]
+    assert total(df, where=F.col("x") > 0) == (pytest.approx(math.fsum(chosen), rel=1e-15) if chosen else None)

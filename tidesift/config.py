@@ -51,7 +51,7 @@ class ForestConfig:
     compared_features: int = 3
     train_partitions: int | None = None  # None: spark.sql.shuffle.partitions
     max_memory_mb: int = 512  # histogram memory per pass: more of it means fewer scans per tree level
-    node_cache_rows: int = 1_000_000  # from here on each row's tree nodes are kept between passes
+    cache_nodes: bool = False  # keep each row's tree nodes between passes: same trees, for large training sets
 
 
 RULES = RuleConfig()

@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_UNIT = 1e6  # doubles are summed in whole millionths
-_LIMIT = 9e12  # beyond it (or for an infinity) a value is summed as double
+_COARSE, _FINE = 2.0**20, 2.0**80  # units per 1 of the two parts a double is summed in
+_BIGINT = 2.0**42  # below it a whole number of coarse units fits a bigint, which converts faster; the number is the same
+_HUGE = 1e25  # from here on, and for infinities, the coarse units of many rows would not fit a decimal
 
 
 def exact_sum(df: DataFrame, column: str, where: Column | None = None) -> Column:
     """Sum that does not depend on row order or partitioning.
 
-    Decimal input is summed as it is. Double input is summed in whole millionths; the rare values too large for that
-    are added up as doubles next to it, so an infinity still shows in the total.
+    Decimal input is summed as it is. A double is split, without rounding, into a multiple of 2^-20 and a rest that is
+    kept to 2^-80; both parts are summed as whole numbers. So a value is off by 2^-81 at most, and the total is rounded
+    to a double once. Amounts of 1e25 and more, and infinities, are added as doubles next to it.
     """
     c = F.col(column)
-    pick = (lambda v: v) if where is None else (lambda v: F.when(where, v))
     if isinstance(df.schema[column].dataType, T.DecimalType):
-        return F.sum(pick(c))
-    fits = F.abs(c) < _LIMIT
-    units = F.when(fits, F.rint(c * _UNIT)).cast("bigint").cast("decimal(19,0)")
-    small = F.sum(pick(units)).cast("double") / _UNIT
-    large = F.sum(pick(F.when(~fits, c)))
+        return F.sum(c if where is None else F.when(where, c))
+    c = c.cast("double")
+    fits = F.abs(c) < _HUGE
+    if where is not None:
+        c, fits = F.when(where, c), F.when(where, fits)
+    units = F.rint(c * _COARSE)
+    whole = (F.when(F.abs(c) < _BIGINT, units.cast("bigint").cast("decimal(38,0)"))
+             .when(fits, units.cast("decimal(38,0)")))
+    rest = F.when(fits, F.rint((c - units / _COARSE) * _FINE).cast("bigint").cast("decimal(18,0)"))
+    small = F.sum(whole).cast("double") / _COARSE + F.sum(rest).cast("double") / _FINE
+    large = F.sum(F.when(~fits, c))
     return F.when(large.isNull(), small).otherwise(large + F.coalesce(small, F.lit(0.0)))
 
 

@@ -1,7 +1,9 @@
 """Outlier rules as boolean column expressions.
 
-Thresholds that come from the data arrive as plain numbers (see ``operators.ranks``), so a rule is an ordinary
-predicate with literals: no join, and filters built on it can be pushed down.
+Thresholds that come from the data arrive as plain numbers (see ``operators.ranks``), so a rule is an ordinary predicate with
+literals: no join. Comparisons are left bare, since a filter wrapped in ``coalesce`` never reaches the scan. Their inputs
+(measures of prepared lines and of invoices) have no NULL; with one, a rule is NULL, which a filter and ``when`` take
+for False. ``holds`` turns that into False where it becomes a column of its own.
 """
 
 from __future__ import annotations
@@ -27,18 +29,18 @@ def holds(predicate: Column) -> Column:
 
 
 def above(c: Column, limit: float | None) -> Column:
-    return F.lit(False) if limit is None else holds(c > F.lit(limit))
+    return F.lit(False) if limit is None else c > F.lit(limit)
 
 
 def at_most(c: Column, limit: float | None) -> Column:
-    return F.lit(False) if limit is None else holds(c <= F.lit(limit))
+    return F.lit(False) if limit is None else c <= F.lit(limit)
 
 
 def outside(c: Column, fences: Fences) -> Column:
     """Strictly beyond either fence."""
     if fences.low is None:
         return F.lit(False)
-    return holds((c < F.lit(fences.low)) | (c > F.lit(fences.high)))
+    return (c < F.lit(fences.low)) | (c > F.lit(fences.high))
 
 
 def is_segment(c: Column, name: str) -> Column:
@@ -47,8 +49,7 @@ def is_segment(c: Column, name: str) -> Column:
 
 def harmful(price: Column, quantity: Column, cfg: RuleConfig = RULES) -> Column:
     """Data-quality errors: no or next to no price, no quantity, or an impossible quantity."""
-    return (holds(price <= 0) | holds(quantity <= 0) | holds(price < F.lit(cfg.min_price))
-            | holds(quantity > F.lit(cfg.max_quantity)))
+    return (price <= 0) | (quantity <= 0) | (price < F.lit(cfg.min_price)) | (quantity > F.lit(cfg.max_quantity))
 
 
 def strategic(customer_type: Column, quantity: Column, revenue: Column, is_harmful: Column,
@@ -69,7 +70,7 @@ def in_tails(c: Column, tails: Fences) -> Column:
     """At or beyond the outer percentiles."""
     if tails.low is None:
         return F.lit(False)
-    return holds((c >= F.lit(tails.high)) | (c <= F.lit(tails.low)))
+    return (c >= F.lit(tails.high)) | (c <= F.lit(tails.low))
 
 
 def outlier_class(is_harmful: Column, is_strategic: Column, is_benign: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_text, na_to_null, to_number, to_timestamp
-from .staging import evaluated
+from .staging import with_evaluated
 
 # Columns of the file reader that record where a row stood; see sources.csv_tables.
 FILE_ORDER = ("_file", "_block", "_row")
@@ -20,8 +20,7 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 def rewrite(df: DataFrame, *changes: dict[str, Column]) -> DataFrame:
     """Replace columns, each parsed once however many filters follow."""
-    new = {name: c for change in changes for name, c in change.items()}
-    return evaluated(df, *[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+    return with_evaluated(df, {name: c for change in changes for name, c in change.items()})
 
 
 def texts(df: DataFrame, *columns: str) -> dict[str, Column]:
@@ -57,19 +56,35 @@ def without_file_order(df: DataFrame) -> DataFrame:
     return df.drop(*FILE_ORDER)
 
 
+def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have a value in every given column."""
+    return df.dropna(subset=list(columns))
+
+
+def in_range(df: DataFrame, positive: Sequence[str] = (), not_negative: Sequence[str] = ()) -> DataFrame:
+    """Rows whose measures are above, or not below, zero; columns that ``df`` lacks are not asked for."""
+    for c in positive:
+        df = df.where(F.col(c) > 0) if c in df.columns else df
+    for c in not_negative:
+        df = df.where(F.col(c) >= 0) if c in df.columns else df
+    return df
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates()
+
+
+# The cleaners below rename raw columns to stored ones; both names are fixed values.
 def clean_customers(df: DataFrame) -> DataFrame:
     df = without_file_order(df).withColumnsRenamed({"CustomerID": "customer_id"})
     df = rewrite(df, texts(df, "customer_id", "customer_type"))
-    return df.dropna(subset=["customer_id"]).dropDuplicates()
+    return distinct_rows(drop_missing(df, "customer_id"))
 
 
 def clean_products(df: DataFrame) -> DataFrame:
     df = strip_headers(without_file_order(df))
     df = rewrite(df, texts(df, "product_id"), untrimmed_texts(df, "item", "category"), numbers(df, "price"))
-    df = df.dropna(subset=["product_id"])
-    if "price" in df.columns:
-        df = df.where(F.col("price") >= 0)
-    return df.dropDuplicates()
+    return distinct_rows(in_range(drop_missing(df, "product_id"), not_negative=["price"]))
 
 
 def clean_purchases(df: DataFrame, order_by: Sequence[str] = (), formats: Sequence[str] = ()) -> DataFrame:
@@ -79,18 +94,13 @@ def clean_purchases(df: DataFrame, order_by: Sequence[str] = (), formats: Sequen
     kept = [c for c in ("invoice_id", "purchase_date", "customer_id") if c in df.columns]
     df = df.select(*kept, *order_by)
     df = rewrite(df, texts(df, "invoice_id", "customer_id"), timestamps(df, "purchase_date", formats=formats))
-    return first_per_key(df.dropna(subset=kept), "invoice_id", order_by)
+    return first_per_key(drop_missing(df, *kept), "invoice_id", order_by)
 
 
 def clean_invoice_items(df: DataFrame) -> DataFrame:
     df = without_file_order(df).withColumnsRenamed({"InvoiceID": "invoice_id", "price": "unit_price"})
     df = rewrite(df, texts(df, "invoice_id", "product_id"), numbers(df, "quantity", "unit_price", "line_total"))
-    df = df.dropna(subset=["invoice_id", "product_id"])
-    if "quantity" in df.columns:
-        df = df.where(F.col("quantity") > 0)
-    if "unit_price" in df.columns:
-        df = df.where(F.col("unit_price") >= 0)
-    return df.dropDuplicates()
+    return distinct_rows(in_range(drop_missing(df, "invoice_id", "product_id"), ["quantity"], ["unit_price"]))
 
 
 CLEANERS = {
@@ -101,6 +111,16 @@ CLEANERS = {
 }
 
 
-def clean_tables(raw: dict[str, DataFrame], order_by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    return {name: clean_purchases(df, order_by) if name == "purchases" else CLEANERS[name](df)
+def clean_tables(raw: dict[str, DataFrame], order_by: Sequence[str] = (),
+                 date_formats: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All tables cleaned; ``date_formats`` are the patterns header dates may have (none: ISO notation)."""
+    return {name: clean_purchases(df, order_by, date_formats) if name == "purchases" else CLEANERS[name](df)
             for name, df in raw.items()}
+
+
+def unparsed_dates(purchases: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """One row: header dates that are there but fit no format, among all rows."""
+    raw = F.col("date")
+    parsed = to_timestamp(raw, purchases.schema["date"].dataType, formats)
+    return purchases.agg(F.count_if(clean_text(raw).isNotNull() & parsed.isNull()).alias("unparsed"),
+                         F.count(F.lit(1)).alias("n_rows"))

@@ -1,7 +1,13 @@
-"""Equal-width histogram per series: every value falls into the bin whose edges enclose it, the last bin is closed."""
+"""Equal-width histogram per series: every value falls into the bin whose edges enclose it, the last bin is closed.
+
+Bins span the finite values. Infinite ones are counted in rows of their own, bin -1 from and to -inf and one bin after
+the last from and to inf; a series without any has no such row.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +22,7 @@ def _edges(low: float | None, high: float | None, bins: int) -> list[float]:
 
 
 def histogram(df: DataFrame, column: str, series: dict[str, Column], bins: int = 50) -> DataFrame:
-    """Rows (series, bin, bin_start, bin_end, count), empty bins included.
+    """Rows (series, bin, bin_start, bin_end, count), empty bins included, infinities in rows of their own.
 
     ``series`` maps a name to the predicate that selects its rows; every series has its own range. Series must not
     overlap: a row counts for the first one that holds.
@@ -27,8 +33,9 @@ def histogram(df: DataFrame, column: str, series: dict[str, Column], bins: int =
         name = F.when(predicate, label).otherwise(name)
     rows = df.select(name.alias("series"), x.alias("x")).where("series is not null and x is not null")
 
+    finite = F.when(F.abs("x") < math.inf, F.col("x"))
     ranges = {r["series"]: (r["low"], r["high"]) for r in
-              rows.groupBy("series").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+              rows.groupBy("series").agg(F.min(finite).alias("low"), F.max(finite).alias("high")).collect()}
     edges = {label: _edges(*ranges.get(label, (None, None)), bins) for label in series}
 
     # Per series its first edge, bins per unit and all edges, as one literal the row picks.
@@ -37,18 +44,21 @@ def histogram(df: DataFrame, column: str, series: dict[str, Column], bins: int =
         own = F.struct(F.lit(e[0]).alias("first"), F.lit(bins / (e[-1] - e[0])).alias("per_unit"),
                        F.lit(e).alias("edges"))
         spec = F.when(F.col("series") == label, own).otherwise(spec)
-    guess = F.floor((F.col("x") - F.col("s.first")) * F.col("s.per_unit"))
+    guess = F.floor((finite - F.col("s.first")) * F.col("s.per_unit"))
     last = F.lit(bins - 1)
     placed = (rows.withColumn("s", spec).withColumn("g", F.least(guess, last).cast("int"))
               .select("series", "x", "g", F.get("s.edges", F.col("g")).alias("low"),
                       F.get("s.edges", F.col("g") + 1).alias("high")))
     # The product can land one bin off; the edges decide.
-    bin_column = (F.when(F.col("x") < F.col("low"), F.col("g") - 1)
+    bin_column = (F.when(F.col("x") == math.inf, bins).when(F.col("x") == -math.inf, -1)
+                  .when(F.col("x") < F.col("low"), F.col("g") - 1)
                   .when((F.col("x") >= F.col("high")) & (F.col("g") < last), F.col("g") + 1).otherwise(F.col("g")))
     counts = placed.groupBy("series", bin_column.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
     frame = df.sparkSession.createDataFrame(
         [(label, i, e[i], e[i + 1]) for label, e in edges.items() for i in range(bins)],
         "series string, bin int, bin_start double, bin_end double")
-    return (frame.join(counts, ["series", "bin"], "left")
-            .select("series", "bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).alias("count")))
+    infinite = F.when(F.col("bin") < 0, -math.inf).otherwise(math.inf)
+    return (frame.join(counts, ["series", "bin"], "full")
+            .select("series", "bin", F.coalesce("bin_start", infinite).alias("bin_start"),
+                    F.coalesce("bin_end", infinite).alias("bin_end"), F.coalesce("count", F.lit(0)).alias("count")))

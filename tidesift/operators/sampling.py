@@ -1,7 +1,7 @@
 """Seeded exact-size samples by hash order.
 
-A row's place is the md5 of its key and the seed: any engine can recompute it and it does not depend on partitions.
-The cut-off hash is found by counting (``ranked_values``), so no task sorts a class and no task keeps a top list.
+A row's place is the md5 of its key (or its text and copy number) and the seed: any engine can recompute it and it does not
+depend on partitions. A split's cut-off hash is found by counting (``ranked_values``), so no task sorts a class.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranks import ranked_values
-from .staging import evaluated
+from .staging import evaluated, stage
 
 _DIGITS = 13  # 52 bits: exact in a double
 
@@ -24,10 +24,22 @@ def seeded_hash(text: Column, seed: int) -> Column:
     return F.md5(F.concat(text.cast("string"), F.lit(f"-{seed}")))
 
 
+def number_text(c: Column) -> Column:
+    """A double as two whole numbers, its multiple of 2^-20 and the rest in 2^-80: a text any engine can state."""
+    fits = F.abs(c) < 1e25
+    units = F.rint(c * 2.0**20)
+    rest = F.rint((c - units / 2.0**20) * 2.0**80).cast("bigint")
+    exact = F.concat(units.cast("decimal(38,0)").cast("string"), F.lit(":"), rest.cast("string"))
+    return F.when(fits, exact).otherwise(c.cast("string"))
+
+
 def row_text(df: DataFrame) -> Column:
-    """Columns of a row as one text, NULL told apart from empty; floating-point columns have no portable text."""
-    columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    """All columns of a row as one text, NULL told apart from empty."""
+    def text(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        return number_text(c.cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
+
+    return F.concat_ws("|", *[F.coalesce(text(f), F.lit("\\N")) for f in df.schema.fields])
 
 
 def _leading_bits(hash_text: Column) -> Column:
@@ -81,17 +93,27 @@ def hash_cuts(df: DataFrame, hash_column: str, take: Mapping[str, int], group: C
 
 
 def sample_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """Exactly ``size`` rows without replacement, all rows if there are no more."""
-    hashed = df.withColumn("_hash", seeded_hash(row_text(df), seed))
-    cut = hash_cuts(hashed, "_hash", {"all": size}).get("all")
-    if cut is None:
-        return df
-    if cut.taken == cut.shared:
-        return hashed.where(cut.holds(F.col("_hash"))).drop("_hash")
-    # Rows that share the last hash agree in all hashed columns; the others decide which of them are in.
-    copies = hashed.where(F.col("_hash") == cut.last).orderBy(*df.columns).limit(cut.taken)
-    before = cut.holds(F.col("_hash")) & (F.col("_hash") != cut.last)
-    return hashed.where(before).unionAll(copies).drop("_hash")
+    """Exactly ``size`` rows without replacement, all rows if there are no more: a sample of rows, copies included.
+
+    Different rows are counted once (combined before the shuffle, so a hot row leaves a task as one). Copy 1, 2, ... of a
+    row has the md5 of its text and that number as its place, so copies are taken or left independently of each other.
+    The hashes are spread evenly, so all but about ``size`` rows and a margin drop out in that same scan of the
+    counted rows; what is left is ordered. ``size`` is a documented limit of the report that asks for a sample.
+    """
+    names = df.columns
+    counted = stage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "counted-rows")
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    if size >= total:
+        return counted.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy"), *names).drop("_copy")
+    text = row_text(counted.select(*names))
+    copies = counted.select(*names, text.alias("_text"), F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy"))
+    placed = copies.withColumn("_hash", seeded_hash(F.concat_ws("#", "_text", "_copy"), seed)).drop("_text", "_copy")
+    share = (size + 8 * math.sqrt(size) + 64) / total
+    while True:
+        near = stage(placed.where(_leading_bits(F.col("_hash")) <= min(1.0, share) * 16.0**_DIGITS), "sample-candidates")
+        if share >= 1 or near.count() >= size:
+            return near.orderBy("_hash", *names).limit(size).drop("_hash")
+        share *= 2
 
 
 def share_by_class(counts: Mapping[str, int], share: float) -> dict[str, int]:

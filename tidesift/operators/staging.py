@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,28 @@ def staging_root(spark: SparkSession) -> str:
     return staging_root(spark)
 
 
+_open_scopes: list[list[str]] = []
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open_scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def cleared_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within the block when it ends; what is kept must have been written elsewhere by then."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -36,19 +58,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a source that splits into fewer parts than there are cores, such as a file with a single row group.
+def with_evaluated(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:
+    """``df`` with columns replaced or added, each of them worked out once per row.
 
-    Anything larger is returned as it is, so this never shuffles a big table.
+    A later filter on a computed column would otherwise be pushed below the projection together with a copy of the
+    expression. Generator output stays where it is; the other columns pass by it, so unused ones are still pruned.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if not parsed:
+        return df
+    names = list(parsed)
+    packed = F.inline(F.array(F.struct(*[parsed[n].alias(n) for n in names]))).alias(*[f"_parsed_{n}" for n in names])
+    order = [*df.columns, *[n for n in names if n not in df.columns]]
+    return df.select(*df.columns, packed).select(
+        *[F.col(f"`_parsed_{n}`").alias(n) if n in parsed else F.col(f"`{n}`") for n in order])
 
 
 def evaluated(df: DataFrame, *columns: Column) -> DataFrame:
-    """``df.select(columns)`` whose expressions are worked out once per row.
-
-    A later filter on a computed column would otherwise be pushed below the projection together with a copy of the
-    expression. Generator output stays where it is.
-    """
+    """``df.select(columns)`` in the same way, for a handful of columns that are all needed."""
     return df.select(F.inline(F.array(F.struct(*columns))))

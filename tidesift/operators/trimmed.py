@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.measures import exact_sum
 from ..functions.values import finite_or_null
@@ -21,6 +22,7 @@ class Trim:
     cut: int
     low: float | None
     high: float | None
+    kind: T.DecimalType | None = None  # of decimal values, whose edges are added as decimals
 
 
 def trim_limits(df: DataFrame, column: str, share: float) -> Trim:
@@ -31,8 +33,9 @@ def trim_limits(df: DataFrame, column: str, share: float) -> Trim:
     ranked = ranked_values(melt(df, [column]), lambda _, n: [cut_of(n), n - 1 - cut_of(n)]).get(column)
     if ranked is None:
         return Trim(0, 0, None, None)
-    k = cut_of(ranked.n)
-    return Trim(ranked.n, k, ranked.values[k], ranked.values[ranked.n - 1 - k])
+    k, kind = cut_of(ranked.n), df.schema[column].dataType
+    return Trim(ranked.n, k, ranked.values[k], ranked.values[ranked.n - 1 - k],
+                kind if isinstance(kind, T.DecimalType) else None)
 
 
 def trim_parts(df: DataFrame, column: str, trim: Trim) -> dict[str, Column]:
@@ -52,10 +55,17 @@ def trimmed_mean_of(inside: Column, at_or_below: Column, at_or_above: Column, tr
     if trim.low == trim.high:
         return F.lit(trim.low)
     # Ties at a limit are cut one by one: what is left of them counts with the limit's value.
-    low, high = F.lit(trim.low).cast("decimal(30,6)"), F.lit(trim.high).cast("decimal(30,6)")
-    edges = low * (at_or_below - trim.cut) + high * (at_or_above - trim.cut)
-    total = F.coalesce(inside.cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)")) + edges
-    return total.cast("double") / F.lit(float(trim.n - 2 * trim.cut))
+    below, above = at_or_below - trim.cut, at_or_above - trim.cut
+    kept = F.lit(float(trim.n - 2 * trim.cut))
+    if trim.kind is None:
+        # An infinite limit none of whose copies stays must not turn into NaN.
+        edges = [F.when(n > 0, F.lit(limit) * n).otherwise(0.0) for limit, n in ((trim.low, below), (trim.high, above))]
+        return (F.coalesce(inside.cast("double"), F.lit(0.0)) + (edges[0] + edges[1])) / kept
+    scale = trim.kind.scale
+    low, high = (F.lit(limit).cast(T.DecimalType(min(38, trim.kind.precision + 4), scale)) for limit in (trim.low, trim.high))
+    zero = F.lit(0).cast(T.DecimalType(38, scale))
+    total = F.coalesce(inside.cast(T.DecimalType(38, scale)), zero) + (low * below + high * above)
+    return total.cast("double") / kept
 
 
 def trimmed_mean(df: DataFrame, column: str, share: float = 0.05) -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +77,14 @@ def split_and_encode(dataset: DataFrame, test_share: float, cfg: ForestConfig =
 
 def sparse_features(encoded: Encoded) -> DataFrame:
     """Non-zero feature values as rows (invoice_id, is_test, feature, value)."""
-    values = vector_to_array(F.col("features"))
-    names = F.array(*[F.lit(n) for n in encoded.features])
-    pairs = F.arrays_zip(names.alias("feature"), values.alias("value"))
-    return (encoded.frame.select(KEY, "is_test", F.inline(pairs).alias("feature", "value"))
+    vector = F.unwrap_udt("features")
+    values = vector["values"]
+    # A dense vector has no indices: its values stand for 0, 1, ...
+    places = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(values) - 1))
+    rows = (encoded.frame.select(KEY, "is_test", F.inline(F.arrays_zip(places.alias("place"), values.alias("value"))))
             .where(F.col("value") != 0))
+    names = encoded.frame.sparkSession.createDataFrame(list(enumerate(encoded.features)), "place int, feature string")
+    return rows.join(names, "place").select(KEY, "is_test", "feature", "value")
 
 
 def _balanced_weight(counts: dict[float, int]) -> Column:
@@ -103,7 +105,7 @@ def train_forest(encoded: Encoded, seed: int, cfg: ForestConfig = FOREST) -> Ran
     forest = RandomForestClassifier(
         numTrees=cfg.num_trees, minInstancesPerNode=cfg.min_leaf, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
         featureSubsetStrategy="sqrt", impurity="gini", weightCol="weight", seed=seed,
-        maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=sum(counts.values()) >= cfg.node_cache_rows,
+        maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=cfg.cache_nodes,
         checkpointInterval=10)
     return forest.fit(placed)
 

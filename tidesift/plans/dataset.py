@@ -20,7 +20,7 @@ def invoice_features(lines: DataFrame) -> DataFrame:
     mean_price = exact_sum(lines, "price").cast("double") / F.count("price")
     return invoiced(lines).groupBy(*INVOICE_KEYS).agg(
         exact_sum(lines, "line_total").cast("double").alias("invoice_revenue"),
-        F.sum("quantity").alias("total_qty"),
+        exact_sum(lines, "quantity").cast("double").alias("total_qty"),
         mean_price.alias("avg_price"),
         F.count_distinct("product_id").alias("n_items"))
 
@@ -70,10 +70,12 @@ def labelled_invoices(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
 def model_dataset(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
     """Invoices in the revenue tails with all features and labels.
 
-    The category is joined to the tail invoices only: labels do not depend on it and 98 % of the invoices go.
+    Labels do not depend on the category and 98 % of the invoices are in no tail: only the lines of those that are
+    go into the category's aggregations.
     """
     tails = labelled_invoices(lines, cfg).where("is_statistical_outlier")
-    return tails.join(dominant_category(lines), "invoice_id", "left").select(*MODEL_COLUMNS)
+    own = lines.join(tails.select("invoice_id").distinct(), "invoice_id", "left_semi")
+    return tails.join(dominant_category(own), "invoice_id", "left").select(*MODEL_COLUMNS)
 
 
 def outliers_only(dataset: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..config import RULES, WEEKDAYS, RuleConfig
 from ..functions import calendar
 from ..functions.measures import direction_label, exact_sum, or_zero, ratio, signed_distortion
 from ..operators.histogram import histogram
+from ..operators.staging import stage
 from ..schemas import INVOICE_KEYS
 from .lines import is_harmful_line
 
@@ -30,7 +31,7 @@ def invoice_level(lines: DataFrame) -> DataFrame:
     keys = ["invoice_id", "date", "day_name", "customer_id", "customer_type"]
     return (invoiced(lines).withColumn("day_name", calendar.day_name(F.col("date"))).groupBy(*keys)
             .agg(exact_sum(lines, "line_total").cast("double").alias("revenue"),
-                 F.count_distinct("product_id").alias("items"), F.sum("quantity").alias("qty")))
+                 F.count_distinct("product_id").alias("items"), exact_sum(lines, "quantity").cast("double").alias("qty")))
 
 
 def _kpi_columns(revenue: Column, invoices: Column, customers: Column, suffix: str = "") -> dict[str, Column]:
@@ -45,15 +46,18 @@ def _kpi_columns(revenue: Column, invoices: Column, customers: Column, suffix: s
 
 def kpis_with_and_without(lines: DataFrame, by_segment: bool = False, cfg: RuleConfig = RULES) -> DataFrame:
     """The five KPIs with and without harmful lines: one row, or one per customer type."""
-    totals = _entity_totals(invoiced(lines), by_segment, cfg)
+    return _kpis_of(_entity_totals(per_id_sums(invoiced(lines), by_segment, cfg), by_segment), by_segment)
+
+
+def _kpis_of(totals: DataFrame, by_segment: bool) -> DataFrame:
     columns = {**_kpi_columns(F.col("r"), F.col("i"), F.col("c"), "_with"),
                **_kpi_columns(F.col("cr"), F.col("ci"), F.col("cc"), "_without")}
     keep = ["customer_type"] if by_segment else []
     return totals.select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 
-def _entity_totals(lines: DataFrame, by_segment: bool, cfg: RuleConfig) -> DataFrame:
-    """Revenue (r), invoices (i) and customers (c) of invoiced lines, the clean ones apart (cr, ci, cc), and rows.
+def per_id_sums(lines: DataFrame, by_segment: bool = False, cfg: RuleConfig = RULES) -> DataFrame:
+    """Revenue and rows per invoice id and per customer id (and customer type), the clean lines apart.
 
     One scan and one large shuffle: lines are grouped by invoice id and by customer id as two grouping sets. Both
     combine on the map side, so a hot customer or invoice leaves each task as one row. Counting the distinct ids
@@ -64,11 +68,23 @@ def _entity_totals(lines: DataFrame, by_segment: bool, cfg: RuleConfig) -> DataF
                         (~is_harmful_line(cfg)).alias("clean"))
     segment = ["customer_type"] if by_segment else []
     sets = [[*segment, "invoiced", "invoice_id"], [*segment, "invoiced", "customer_id"]]
-    per_id = rows.groupingSets(sets, *segment, "invoiced", "invoice_id", "customer_id").agg(
+    return rows.groupingSets(sets, *segment, "invoiced", "invoice_id", "customer_id").agg(
         (F.grouping("customer_id") == 1).alias("is_invoice"),
         exact_sum(rows, "line_total").alias("revenue"),
         exact_sum(rows, "line_total", F.col("clean")).alias("clean_revenue"),
         F.bool_or("clean").alias("clean"), F.count(F.lit(1)).alias("rows"), F.count_if("clean").alias("clean_rows"))
+
+
+def over_types(per_type: DataFrame) -> DataFrame:
+    """The sums per id of all customer types together, from those per type."""
+    return per_type.groupBy("is_invoice", "invoiced", "invoice_id", "customer_id").agg(
+        exact_sum(per_type, "revenue").alias("revenue"), exact_sum(per_type, "clean_revenue").alias("clean_revenue"),
+        F.bool_or("clean").alias("clean"), F.sum("rows").alias("rows"), F.sum("clean_rows").alias("clean_rows"))
+
+
+def _entity_totals(per_id: DataFrame, by_segment: bool) -> DataFrame:
+    """Revenue (r), invoices (i) and customers (c) of invoiced lines, the clean ones apart (cr, ci, cc), and rows."""
+    segment = ["customer_type"] if by_segment else []
     invoice = F.col("invoiced") & F.col("is_invoice")
     customer = F.col("invoiced") & ~F.col("is_invoice")
     clean = F.col("clean")
@@ -95,20 +111,43 @@ def _distortion_rows(kpis: DataFrame, keep: list[str]) -> DataFrame:
     return long.withColumns({"Distortion_Magnitude_%": F.abs(direction), "Distortion_Direction_%": direction})
 
 
-def distortion_summary(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
-    rows = _distortion_rows(kpis_with_and_without(lines, cfg=cfg), [])
+def _summary_of(kpis: DataFrame) -> DataFrame:
+    rows = _distortion_rows(kpis, [])
     return rows.withColumn("Direction_Label", direction_label(F.col("`Distortion_Direction_%`")))
 
 
+def distortion_summary(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
+    return _summary_of(kpis_with_and_without(lines, cfg=cfg))
+
+
+def _segments_of(kpis: DataFrame) -> DataFrame:
+    """By customer type, the KPIs in their order."""
+    order = F.array_position(F.array(*[F.lit(k) for k in KPIS]), F.col("KPI"))
+    return _distortion_rows(kpis, ["customer_type"]).orderBy("customer_type", order)
+
+
 def distortion_by_segment(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
-    return _distortion_rows(kpis_with_and_without(lines, True, cfg), ["customer_type"])
+    return _segments_of(kpis_with_and_without(lines, True, cfg))
 
 
 def meta(lines: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
     """Row counts over all lines next to the invoice and customer counts of the KPIs, from one scan."""
+    return _meta_of(_entity_totals(per_id_sums(lines, cfg=cfg), False))
+
+
+def distortion_tables(lines: DataFrame, cfg: RuleConfig = RULES) -> dict[str, DataFrame]:
+    """Summary, Meta and Segments from one scan of the lines: their sums per id and customer type are staged."""
+    per_type = stage(per_id_sums(lines, True, cfg), "per-id-sums")
+    totals = _entity_totals(over_types(per_type), False)
+    segments = _entity_totals(per_type.where("invoiced"), True)
+    return {"Summary": _summary_of(_kpis_of(totals, False)), "Meta": _meta_of(totals),
+            "Segments": _segments_of(_kpis_of(segments, True))}
+
+
+def _meta_of(totals: DataFrame) -> DataFrame:
     harmful_rows = F.col("rows") - F.col("clean_rows")
     rate = F.try_divide(harmful_rows.cast("double"), F.col("rows").cast("double")) * 100.0
-    return _entity_totals(lines, False, cfg).select(
+    return totals.select(
         F.col("rows").alias("Rows_total"), harmful_rows.alias("Harmful_rows"), rate.alias("Harmful_rate_%"),
         F.col("i").alias("Invoices_total"), F.col("c").alias("Customers_total"))
 

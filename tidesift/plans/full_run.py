@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import FOREST, RULES, ForestConfig, RuleConfig
-from ..sources.csv_tables import clean_and_write, read_processed
+from ..operators.cleaning import unparsed_dates
+from ..operators.staging import cleared_after
+from ..schemas import RAW_FILES
+from ..sources.csv_tables import clean_and_write, extra_records, read_csv, read_processed
 from ..sources.reports import write_report
 from ..sources.tables import load_tables
 from . import classifier, dataset, distortion, evaluation, explain, retention
@@ -22,6 +26,8 @@ class RunResult:
     lines: str
     model_data: str
     reports: dict[str, str] = field(default_factory=dict)
+    unparsed_dates: int = 0  # header dates that fit no format
+    extra_records: dict[str, int] = field(default_factory=dict)  # left out: more fields than the header
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
@@ -30,10 +36,11 @@ def store(df: DataFrame, path: str) -> DataFrame:
 
 
 def distortion_reports(lines: DataFrame, rules: RuleConfig = RULES) -> dict[str, DataFrame]:
+    tables = distortion.distortion_tables(lines, rules)
     return {
-        "RQ2_Tb1/Distortion_Summary": distortion.distortion_summary(lines, rules),
-        "RQ2_Tb1/Meta": distortion.meta(lines, rules),
-        "RQ2_Tb2/Distortion_by_Segment": distortion.distortion_by_segment(lines, rules),
+        "RQ2_Tb1/Distortion_Summary": tables["Summary"],
+        "RQ2_Tb1/Meta": tables["Meta"],
+        "RQ2_Tb2/Distortion_by_Segment": tables["Segments"],
         "RQ2_Tb3/Top_Harmful_Transactions": distortion.top_harmful(lines, rules),
         "RQ2_Tb4/DayOfWeek_Profile": distortion.day_of_week_profile(lines),
         "RQ2_Fig1/Daily_Revenue": distortion.daily_revenue(lines, rules),
@@ -44,13 +51,14 @@ def distortion_reports(lines: DataFrame, rules: RuleConfig = RULES) -> dict[str,
 
 def retention_reports(lines: DataFrame, rules: RuleConfig = RULES) -> dict[str, DataFrame]:
     flagged = retention.flag_lines(lines, rules)
+    tables = retention.retention_tables(flagged, rules)
     return {
         "RQ3_Tb1/AOV_Comparison": retention.aov_comparison(flagged, rules),
         "RQ3_Tb1/Revenue_Bias": retention.revenue_bias(flagged),
-        "RQ3_Tb2/Overall_Retention": retention.retention_overall(flagged),
-        "RQ3_Tb2/Retention_by_Segment": retention.retention_by_segment(flagged),
-        "RQ3_Tb2/Retention_by_Category_Top15": retention.retention_by_category(flagged, rules),
-        "RQ3_Tb2/Retention_by_Month": retention.retention_by_month(flagged),
+        "RQ3_Tb2/Overall_Retention": tables["Overall"],
+        "RQ3_Tb2/Retention_by_Segment": tables["Segments"],
+        "RQ3_Tb2/Retention_by_Category_Top15": tables["Categories"],
+        "RQ3_Tb2/Retention_by_Month": tables["Months"],
         "RQ3_Tb3/Top_Strategic_Outliers": retention.top_strategic(flagged, rules),
         "RQ3_Tb4/Monthly_Revenue_Comparison": retention.monthly_comparison(flagged),
         "RQ3_Fig3/Scatter_Series": retention.scatter_series(lines, rules),
@@ -64,7 +72,7 @@ def classifier_reports(data: DataFrame, forest: ForestConfig = FOREST) -> dict[s
     predictions = classifier.predict(model, encoded)
     importance = classifier.feature_importance(model, encoded.features)
     return {
-        "RQ1_Tb1/Class_Distribution": dataset.class_distribution(dataset.outliers_only(data)),
+        "RQ1_Tb1/Class_Distribution": dataset.class_distribution(data),
         "RQ1_Tb1/Classification_Report": evaluation.classification_report(predictions),
         "RQ1_Tb1/Confusion_Matrix": evaluation.confusion_matrix(predictions),
         "RQ1_Tb2/Feature_Importance": importance,
@@ -77,9 +85,11 @@ def classifier_reports(data: DataFrame, forest: ForestConfig = FOREST) -> dict[s
 def validation_reports(data: DataFrame, rules: RuleConfig = RULES,
                        forest: ForestConfig = FOREST) -> dict[str, DataFrame]:
     encoded = classifier.split_and_encode(data, forest.validation_test_share, forest)
-    model = classifier.train_forest(encoded, forest.seed, forest)
-    ruled = evaluation.add_rule_class(classifier.predict(model, encoded), rules)
     models = explain.retrain(encoded, forest)
+    # One of the retrained models usually is the one with the report's own seed.
+    by_seed = dict(zip(forest.retrain_seeds, models, strict=True))
+    model = by_seed.get(forest.seed) or classifier.train_forest(encoded, forest.seed, forest)
+    ruled = evaluation.add_rule_class(classifier.predict(model, encoded), rules)
     scores = explain.permutation_importances(models, encoded, forest)
     top = explain.top_features_per_run(scores, forest.listed_features)
     return {
@@ -93,14 +103,30 @@ def validation_reports(data: DataFrame, rules: RuleConfig = RULES,
 
 
 def run_all(spark: SparkSession, raw_dir: str, out_dir: str, rules: RuleConfig = RULES, forest: ForestConfig = FOREST,
-            on_violation: str = "fail", report_format: str = "parquet") -> RunResult:
+            on_violation: str = "fail", report_format: str = "parquet", date_formats: Sequence[str] = (),
+            multi_line: bool = True) -> RunResult:
     """Clean, load, integrate, report. Every step overwrites its own output, so a run can simply be repeated.
 
-    A missing input or a broken constraint (unless quarantined) ends the run before later steps start.
+    A missing input, a record with more fields than its header or a broken constraint ends the run before later steps
+    start; with ``on_violation="quarantine"`` such records are left out and counted, and broken rows set aside.
+    ``date_formats`` are the patterns header dates may have (none: ISO notation); how many fit none is in the result.
+    ``multi_line``: see ``read_csv``.
     """
-    processed = clean_and_write(spark, raw_dir, f"{out_dir}/processed")
-    tables = load_tables(read_processed(spark, processed), f"{out_dir}/tables", on_violation)
+    with cleared_after(spark):
+        return _run(spark, raw_dir, out_dir, rules, forest, on_violation, report_format, date_formats, multi_line)
+
+
+def _run(spark: SparkSession, raw_dir: str, out_dir: str, rules: RuleConfig, forest: ForestConfig, on_violation: str,
+         report_format: str, date_formats: Sequence[str], multi_line: bool) -> RunResult:
+    extra = "drop" if on_violation == "quarantine" else "fail"
+    processed = clean_and_write(spark, raw_dir, f"{out_dir}/processed", date_formats, multi_line, extra)
+    tables = load_tables(read_processed(spark, processed, multi_line), f"{out_dir}/tables", on_violation)
     result = RunResult(processed, f"{out_dir}/lines", f"{out_dir}/model_data")
+    headers = read_csv(spark, f"{raw_dir}/{RAW_FILES['purchases']}", multi_line=multi_line, extra_fields="drop")
+    if "date" in headers.columns:
+        result.unparsed_dates = unparsed_dates(headers, date_formats).first()["unparsed"]
+    if extra == "drop":
+        result.extra_records = {n: extra_records(spark, f"{raw_dir}/{f}", multi_line) for n, f in RAW_FILES.items()}
     lines = store(integrate_lines(tables), result.lines)
 
     def report(sheets: dict[str, DataFrame]) -> None:

@@ -117,21 +117,45 @@ def retention_by_month(flagged: DataFrame) -> DataFrame:
 
 def retention_by_segment(flagged: DataFrame) -> DataFrame:
     """Retained revenue per customer type and its share of the sum over the types (NULL on a zero sum)."""
-    kept = flagged.where(_retained()).dropna(subset=["customer_type"])
-    per_type = kept.groupBy("customer_type").agg(
-        exact_sum(kept, "line_total").cast("double").alias("retained_strategic_revenue"))
-    total = kept.agg(exact_sum(kept, "line_total").cast("double").alias("total"))
-    return per_type.withColumn(
-        "share_%", F.try_divide(F.col("retained_strategic_revenue"), total.scalar()) * 100.0)
+    return _segments_of(flagged.where(_retained()), "line_total")
+
+
+def _segments_of(kept: DataFrame, money: str) -> DataFrame:
+    kept = kept.dropna(subset=["customer_type"])
+    per_type = kept.groupBy("customer_type").agg(exact_sum(kept, money).alias("revenue"))
+    # A handful of rows: their sum is taken next to them, so the lines are read once.
+    gathered = per_type.agg(F.collect_list(F.struct("customer_type", "revenue")).alias("rows"),
+                            exact_sum(per_type, "revenue").cast("double").alias("total"))
+    revenue = F.col("revenue").cast("double")
+    return (gathered.select(F.inline("rows"), "total")
+            .select("customer_type", revenue.alias("retained_strategic_revenue"),
+                    (F.try_divide(revenue, F.col("total")) * 100.0).alias("share_%")).orderBy("customer_type"))
 
 
 def retention_by_category(flagged: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
-    kept = flagged.where(_retained()).dropna(subset=["category"])
-    return (kept.groupBy("category")
-            .agg(exact_sum(kept, "line_total").cast("double").alias("retained_strategic_revenue"))
+    return _categories_of(flagged.where(_retained()), "line_total", cfg)
+
+
+def _categories_of(kept: DataFrame, money: str, cfg: RuleConfig) -> DataFrame:
+    kept = kept.dropna(subset=["category"])
+    return (kept.groupBy("category").agg(exact_sum(kept, money).cast("double").alias("retained_strategic_revenue"))
             .orderBy(F.desc("retained_strategic_revenue"), "category").limit(cfg.top_categories))
 
 
+def retention_tables(flagged: DataFrame, cfg: RuleConfig = RULES) -> dict[str, DataFrame]:
+    """Overall, Segments, Categories and Months from one scan: outlier revenue is summed per month, type and category."""
+    cells = stage(
+        flagged.where("is_outlier").groupBy(calendar.floor_to("month", F.col("date")).alias("month"), "customer_type", "category")
+        .agg(exact_sum(flagged, "line_total").alias("outlier"),
+             exact_sum(flagged, "line_total", F.col("is_strategic")).alias("retained")), "retention-cells")
+    sums = [or_zero(exact_sum(cells, "outlier")).alias("Total_Outlier_Revenue"),
+            or_zero(exact_sum(cells, "retained")).alias("Retained_Strategic_Revenue")]
+    kept = cells.where("retained is not null")
+    return {"Overall": _with_rate(cells.agg(*sums)), "Segments": _segments_of(kept, "retained"),
+            "Categories": _categories_of(kept, "retained", cfg),
+            "Months": _with_rate(cells.groupBy("month").agg(*sums)).orderBy("month")}
+
+
 def top_strategic(flagged: DataFrame, cfg: RuleConfig = RULES) -> DataFrame:
     columns = ["invoice_id", "date", "customer_id", "customer_type", "product_id", "category", "quantity", "price",
                "product_price", "line_total"]

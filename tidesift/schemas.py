@@ -32,6 +32,7 @@ RAW_SCHEMAS = {
     "invoice_items": _strings("InvoiceID", "product_id", "quantity", "price", "line_total"),
 }
 
+# Columns of the stored tables, their keys, and the columns and features of the model data.
 TABLES = {
     "customers": _typed(customer_id=TEXT, customer_type=TEXT),
     "products": _typed(product_id=TEXT, item=TEXT, category=TEXT, price=NUMBER),

@@ -2,48 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cleaning import clean_tables
 from ..schemas import RAW_FILES, RAW_SCHEMAS, TABLES
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, file_order: bool = False) -> DataFrame:
+# Quotes are escaped by doubling them, and spaces around a value belong to it, in what is read and in what is written.
+READ_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+WRITE_OPTIONS = {**READ_OPTIONS, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+EXTRA = "_extra_field"
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, file_order: bool = False, multi_line: bool = True,
+             extra_fields: str = "fail") -> DataFrame:
     """CSV with a header, all columns as text unless a schema is given; a missing path raises.
 
-    Without a schema the header is read, not the data. ``file_order`` adds where each row stood: a row's number
-    within its file block grows with its position, so (file, block, row) orders the rows as the files do.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file: large inputs should come in many files,
+    or, known to have no such breaks, be read with it off. Records with fewer fields than the header are filled with NULL.
+    A record with more fields raises (``fail``) or is left out (``drop``, see ``extra_records``). Without a schema
+    the header is read, not the data. ``file_order`` adds where each row stood: a row's number within its file
+    block grows with its position, so (file, block, row) orders the rows as the files do.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    df = (reader.schema(schema) if schema is not None else reader).csv(path)
+    if extra_fields not in ("fail", "drop"):
+        raise ValueError(f"extra_fields must be 'fail' or 'drop', not {extra_fields!r}")
+    reader = spark.read.options(**READ_OPTIONS, multiLine=multi_line)
+    if schema is not None:
+        df = reader.option("enforceSchema", False).schema(schema).csv(path)
+    else:
+        df = _with_extra(spark, path, multi_line)
+        whole = F.col(EXTRA).isNull()
+        if extra_fields == "fail":
+            broken = F.concat(F.lit(f"{path}: record with more fields than the header, from: "), F.col(EXTRA))
+            whole = F.when(whole, F.lit(True)).otherwise(F.raise_error(broken).cast("boolean"))
+        df = df.where(whole)
     if file_order:
         df = df.select("*", F.col("_metadata.file_path").alias("_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_row"))
-    return df
+    return df.drop(EXTRA)
+
+
+def _with_extra(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns of the header as text, and what a record has beyond them in one more."""
+    reader = spark.read.options(**READ_OPTIONS, multiLine=multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
+    return reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema).csv(path)
+
+
+def extra_records(spark: SparkSession, path: str, multi_line: bool = True) -> int:
+    """Number of records that have more fields than the header."""
+    return _with_extra(spark, path, multi_line).where(F.col(EXTRA).isNotNull()).count()
 
 
-def read_raw(spark: SparkSession, raw_dir: str, files: Mapping[str, str] = RAW_FILES,
-             fixed_headers: bool = False) -> dict[str, DataFrame]:
+def read_raw(spark: SparkSession, raw_dir: str, files: Mapping[str, str] = RAW_FILES, fixed_headers: bool = False,
+             multi_line: bool = True, extra_fields: str = "fail") -> dict[str, DataFrame]:
     """The four raw tables. Optional columns may be absent; ``fixed_headers`` insists on the full header."""
     return {name: read_csv(spark, f"{raw_dir}/{file}", RAW_SCHEMAS[name] if fixed_headers else None,
-                           file_order=name == "purchases")
+                           name == "purchases", multi_line, extra_fields)
             for name, file in files.items()}
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
     return path
 
 
-def clean_and_write(spark: SparkSession, raw_dir: str, processed_dir: str) -> dict[str, str]:
+def clean_and_write(spark: SparkSession, raw_dir: str, processed_dir: str, date_formats: Sequence[str] = (),
+                    multi_line: bool = True, extra_fields: str = "fail") -> dict[str, str]:
     """Clean all four raw tables, write them as CSV and return their paths."""
+    raw = read_raw(spark, raw_dir, multi_line=multi_line, extra_fields=extra_fields)
     return {name: write_csv(df, f"{processed_dir}/{name}_clean")
-            for name, df in clean_tables(read_raw(spark, raw_dir)).items()}
+            for name, df in clean_tables(raw, date_formats=date_formats).items()}
 
 
-def read_processed(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    return {name: read_csv(spark, path, TABLES[name]) for name, path in paths.items()}
+def read_processed(spark: SparkSession, paths: Mapping[str, str], multi_line: bool = True) -> dict[str, DataFrame]:
+    return {name: read_csv(spark, path, TABLES[name], multi_line=multi_line) for name, path in paths.items()}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_tables import WRITE_OPTIONS
+
 
 def write_report(sheets: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
     """Write every frame to ``folder/<name>`` and return the paths. ``fmt`` is ``parquet`` or ``csv``."""
@@ -22,7 +24,7 @@ def write_report(sheets: Mapping[str, DataFrame], folder: str, fmt: str = "parqu
         else:
             nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
             flat = df.withColumns({c: F.to_json(c) for c in nested})
-            flat.write.mode("overwrite").option("header", True).csv(paths[name])
+            flat.write.mode("overwrite").options(**WRITE_OPTIONS).csv(paths[name])
     return paths
 
 
