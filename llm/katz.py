@@ -23,6 +23,7 @@ named ones are not read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from tidesift.operators.staging import stage
 from llm.common import byte_texts, column, fold_of, mixed, packed, unpacked, word_hashes, words
 
 END, START = np.uint64(0x0E6D0E6D0E6D0E6D), np.uint64(0x57A7057A7057A705)
-CHUNK_WORDS = 5_000_000
+CHUNK_WORDS = 2_000_000  # what a task holds of its texts at a time
+ROUNDS = 2  # shares of the table parts asked one after the other, so that only one share of the requests is on disk
 CUTOFF = 5
 FOLDS = 10
 HOT_PER_PART = 64
@@ -201,14 +203,18 @@ class Pairs:
     def __init__(self, row: dict, hot: dict[int, int], parts: int):
         self.dictionary = unpacked(row["dictionary"], np.uint64)
         places = unsqueezed(row["places"], np.uint32)
-        self.places, self.lengths = places, unpacked(row["lengths"], np.int64)
+        self.lengths = unpacked(row["lengths"], np.int64)
         self.roles = unpacked(row["roles"], np.uint8)
         # Every place but an end is the context of the next.
-        self.context = self.dictionary[places] != END
-        after = np.flatnonzero(self.context) + 1
-        pairs, index = np.unique(places[after - 1].astype(np.uint64) << np.uint64(32) | places[after], return_inverse=True)
+        joined = places[:-1].astype(np.uint64) << np.uint64(32)
+        joined |= places[1:]
+        ends = np.cumsum(self.lengths)[:-1] - 1
+        del places
+        pairs, index = np.unique(np.delete(joined, ends), return_inverse=True)
+        del joined
         first = (pairs >> np.uint64(32)).astype(np.int64)
         second = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del pairs
         part = part_of(self.dictionary, parts)[first]
         for word, shares in hot.items():
             at = np.searchsorted(self.dictionary, np.uint64(word))
@@ -217,8 +223,8 @@ class Pairs:
                 part[own] = (part[own] + (mixed(self.dictionary[second[own]]) % np.uint64(shares)).astype(np.int64)) % parts
         order = np.argsort(part, kind="stable")
         self.first, self.second, self.part = first[order], second[order], part[order]
-        place_of = np.empty(len(order), np.int64)
-        place_of[order] = np.arange(len(order))
+        place_of = np.empty(len(order), np.int32)
+        place_of[order] = np.arange(len(order), dtype=np.int32)
         self.index = place_of[index]  # of each token
         # Runs of one context within one part.
         starts = np.ones(len(order), bool)
@@ -238,7 +244,7 @@ def _totals(answers: list[dict]) -> np.ndarray:
     return np.concatenate([unsqueezed(r["a"], np.uint64) for r in sorted(answers, key=lambda r: r["part"])])
 
 
-def _ask_pairs(hot: dict[int, int], parts: int):
+def _ask_pairs(hot: dict[int, int], parts: int, turn: int):
     def ask(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         del key
         out = []
@@ -251,7 +257,7 @@ def _ask_pairs(hot: dict[int, int], parts: int):
             split = zip(np.split(pairs.run_first, run_cuts), np.split(sizes, run_cuts), np.split(pairs.second, cuts),
                         np.split(learned, cuts), strict=True)
             for part, (contexts, size, second, count) in enumerate(split):
-                if len(second):
+                if len(second) and part % ROUNDS == turn:
                     out.append((row["chunk"], _PAIRS, part, packed(pairs.dictionary[contexts]), squeezed(size),
                                 short(pairs.dictionary[second]), squeezed(np.concatenate([count, totals[second]]))))
         return _table(out)
@@ -368,8 +374,12 @@ def score_texts(documents: DataFrame, id_column: str = "doc_id", text_column: st
                 hot[word] = min(parts, -(-2 * parts * count // n_tokens))
 
     by_chunk = chunks.groupBy("chunk")
-    requests = by_chunk.cogroup(word_answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_ask_pairs(hot, parts), _ANSWERS)
-    pair_answers = stage(requests.groupBy("part").applyInArrow(_answer_pairs(unigrams, hot), _ANSWERS), "pair-counts")
+    known = word_answers.where("chunk >= 0").groupBy("chunk")
+    turns = []
+    for turn in range(ROUNDS):
+        requests = by_chunk.cogroup(known).applyInArrow(_ask_pairs(hot, parts, turn), _ANSWERS)
+        turns.append(stage(requests.groupBy("part").applyInArrow(_answer_pairs(unigrams, hot), _ANSWERS), "pair-counts"))
+    pair_answers = reduce(DataFrame.unionByName, turns)
     d = discounts(_added(pair_answers, CUTOFF + 1))
     sums: dict[int, list] = {}
     for r in pair_answers.where(F.col("kind") == _HOT).select("a", "b", "c", "d").collect():
