@@ -1,4 +1,6 @@
+import hashlib
 import os
+import shutil
 import subprocess
 import sys
 
@@ -46,16 +48,13 @@ def test_stages_by_hand(spark, sf_dir):
     want = {r[0]: r for r in plain_repeats(before)}
     rows = after.collect()
     assert sorted(r.doc_id for r in rows) == sorted(want)
-    assert sorted((r.doc_id, len(r.text.split(" ")) >= 0, *plain_digest(r.text)) for r in rows) == sorted(
-        (i, True, w[1] - w[2], w[3]) for i, w in want.items())
+    assert sorted((r.doc_id, *plain_digest(r.text)) for r in rows) == sorted((i, w[1] - w[2], w[3]) for i, w in want.items())
 
     before, after = kept["packing"]
     check_packing(after.collect(), before)
 
 
 def plain_digest(text):
-    import hashlib
-
     words = text.encode().split()
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -83,14 +82,8 @@ def test_everything_else_imports_without_this_folder(tmp_path):
         if name not in ("llm", "corpus_pipeline.py", ".git", "tests"):
             os.symlink(f"{root}/{name}", tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'kpi_set' in q and set(e.oracle_sql()) <= set(q)"
-    copied = (tmp_path / "entry.py")
-    copied.write_text((open(f"{root}/__spark_entry__.py").read()))
+    # The entry adds its own folder to the path, so it has to be a copy, not a link.
     os.remove(tmp_path / "__spark_entry__.py")
-    copied.rename(tmp_path / "__spark_entry__.py")
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
-
-
-def test_operators_used_are_the_ones_named():
-    used = (toxicity.reject, line_quality.clean, simhash.keep_one_per_group, repeats.remove_repeats, packing.pack)
-    assert all(callable(f) for f in used)

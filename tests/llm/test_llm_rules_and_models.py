@@ -1,5 +1,5 @@
-import itertools
 import math
+import re
 
 import llm_cases as cases
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # ---- operator 4 ---------------------------------------------------------------------------------------------------
 def plain_counts(text):
     text = text or ""
-    words = [w for w in __import__("re").split(r"[ \t-\r]+", text) if w]
+    words = [w for w in re.split(r"[ \t-\r]+", text) if w]
     windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
     covered = set()
     for i, w in enumerate(windows):
@@ -144,14 +144,12 @@ def test_a_context_is_a_distribution():
     counts = pd.DataFrame({"lang": ["x"] * 4 + ["y"] * 3, "word": ["abca", "ab", "cab", "bbc", "aac", "ca", "b"], "n": [3, 2, 1, 1, 4, 1, 2]})
     models = language.build(counts)
     for start in ("", "a", "ab", "abc", "bb", "q"):
-        ended = 2.0 ** -(models.costs([start])[0, :2]) if start else np.array([1.0, 1.0])
-        # costs of start + letter hold the closing edge too: sum over all endings by one more level instead.
         total = np.zeros(2)
         prefix = prefix_bits(models, start)
         for letter in "abcé":
             total += 2.0 ** -(prefix_bits(models, start + letter) - prefix)
         total += 2.0 ** -(models.costs([start])[0, :2] - prefix) if start else 2.0 ** -closing(models)
-        assert total == pytest.approx([1, 1], abs=1e-6), (start, ended)
+        assert total == pytest.approx([1, 1], abs=1e-6), start
 
 
 def prefix_bits(models, text):
@@ -246,4 +244,3 @@ def test_toxic_documents_of_the_given_tables(spark, sf_dir):
 def test_choice_of_entries():
     chosen = toxicity._choose([(" loser ", 5.0), (" loser", 5.0), (" lose", 3.0), (" veq", 4.0), (" vequa", 4.1), (" vequb", 5.5)])
     assert chosen == {" loser ": 5.0, " veq": 4.0, " vequb": 5.5}
-    assert list(itertools.islice(chosen, 1)) == [" loser "]

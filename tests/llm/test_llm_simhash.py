@@ -73,7 +73,6 @@ def test_links_of_all_pairs_within_the_distance(spark, at_once, monkeypatch):
     frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint").repartition(3)
     links = simhash.near_links(frame, len(fps)).collect()
     place = {f: i for i, f in enumerate(fps)}
-    assert all((a ^ b).bit_count() <= 64 for a, b in links)
     group = plain_components(fps)
     parent = {g: g for g in group}
     found = {i: i for i in range(len(fps))}

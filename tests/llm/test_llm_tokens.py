@@ -172,7 +172,7 @@ def test_awkward_rows_in_pieces(spark):
 def test_a_difference_is_seen():
     wrong = pieces.Pieces(PIECES, verify=True)
     right = wrong._ids
-    wrong._ids = lambda segments: [b if "x" not in s else b + b"\0\0\0\0" for s, b in zip(segments, right(segments))]
+    wrong._ids = lambda segments: [b if "x" not in s else [*b, 0] for s, b in zip(segments, right(segments))]
     wrong.encode(["plain words", "an x here"])
     assert wrong.agrees("plain words") and not wrong.agrees("an x here")
 
