@@ -39,6 +39,7 @@ from llm.common import byte_texts, column, fold_of, mixed, packed, unpacked, wor
 END, START = np.uint64(0x0E6D0E6D0E6D0E6D), np.uint64(0x57A7057A7057A705)
 CHUNK_WORDS = 2_000_000  # what a task holds of its texts at a time
 ROUNDS = 2  # shares of the table parts asked one after the other, so that only one share of the requests is on disk
+PARTS_PER_PARTITION = 2
 CUTOFF = 5
 FOLDS = 10
 HOT_PER_PART = 64
@@ -358,7 +359,7 @@ def _added(df: DataFrame, size: int) -> np.ndarray:
 def score_texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = stage(_chunked(documents, id_column, text_column, chunk_words), "chunks")
     id_field = chunks.schema["ids"].dataType.elementType
 

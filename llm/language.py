@@ -1,8 +1,8 @@
 """Operator 6: language identification by interpolated Kneser-Ney character models, one for each language.
 
-A model predicts each letter of a word, and its end, from up to ``ORDER - 1`` letters before it in the word. All languages share sorted
-arrays of n-gram hashes; a row holds each language's discounted probability, a second pair of arrays each context's weight for
-the shorter context. A text's cross-entropy under a language is the mean over its letters; the lowest wins. Its probability comes
+A model predicts each letter of a word, and its end, from up to ``ORDER - 1`` letters before it in the word. Sorted arrays of n-gram hashes
+hold the discounted probability in each language that knows the n-gram, and others each context's weight for the
+shorter context. A text's cross-entropy under a language is the mean over its letters; the lowest wins. Its probability comes
 from a softmax whose scale is fitted on documents kept back from the counts, and a text whose cross-entropy lies above what
 nearly all kept-back documents of its language have is marked as rejected.
 
@@ -31,11 +31,11 @@ from tidesift.operators.staging import stage
 from llm.common import byte_texts, column, fold_of, mixed
 
 ORDER = 5
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, LEAST_DOCUMENTS = 500, 200, 3
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, LEAST_DOCUMENTS = 300, 200, 3
 KEPT_BACK = 5  # one document of so many calibrates
 ACCEPTED = 0.995  # share of kept-back documents that a language's threshold accepts
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-KNOWN_WORDS = 300_000
+KNOWN_COSTS = 1_500_000  # numbers a worker keeps: costs of words times languages
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,34 +63,57 @@ class Padded:
         return mixed(out + np.uint64(n * _ORDER_SALT % (1 << 64))) if n else np.zeros(len(self.codes), np.uint64)
 
 
-def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    """Rows of a sorted hash array; ``missing`` where a hash is not in it."""
-    found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    rows = values[found]
-    rows[keys[found] != wanted] = missing
-    return rows
+@dataclass(frozen=True)
+class HashTable:
+    """Sorted hashes; each has the languages that know it and their values, one after the other."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> HashTable:
+        """From (hashes, languages, values), each pair of hash and language once."""
+        keys, languages, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return HashTable(keys[first], np.append(first, len(keys)), languages[order].astype(np.int16), values[order].astype(np.float32))
+
+    def find(self, wanted: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """((place in ``wanted``, language), value) of all that is known."""
+        found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[found] == wanted)
+        start = self.starts[found[hit]]
+        n = self.starts[found[hit] + 1] - start
+        entry = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        return (np.repeat(hit, n), self.languages[entry]), self.values[entry]
 
 
 @dataclass(frozen=True)
 class Models:
     languages: tuple[str, ...]
-    grams: np.ndarray  # sorted hashes of the n-grams of all orders
-    probability: np.ndarray  # discounted probability by language
-    contexts: np.ndarray  # sorted hashes of contexts
-    weight: np.ndarray  # weight of the shorter context by language
+    grams: HashTable  # discounted probabilities of the n-grams of all orders
+    contexts: HashTable  # weights of the shorter context
     uniform: float
     scale: float = 1.0
     highest: np.ndarray | None = None  # accepted cross-entropy by language
 
+    def probabilities(self, text: Padded) -> np.ndarray:
+        """Of each predicted letter under each language."""
+        p = np.full((len(text.places), len(self.languages)), self.uniform)
+        for n in range(1, ORDER + 1):
+            known, weight = self.contexts.find(text.keys(n - 1)[text.places - 1])
+            p[known] *= weight
+            known, probability = self.grams.find(text.keys(n)[text.places])
+            p[known] += probability
+        return p
+
     def costs(self, words: list[str]) -> np.ndarray:
         """Bits of each word under each language, and in the last column its number of predicted letters."""
         text = Padded(words)
-        p = np.full((len(text.places), len(self.languages)), self.uniform)
-        for n in range(1, ORDER + 1):
-            context = text.keys(n - 1)[text.places - 1]
-            p *= _rows(self.contexts, self.weight, context, 1.0)
-            p += _rows(self.grams, self.probability, text.keys(n)[text.places], 0.0)
-        bits = np.add.reduceat(-np.log2(p), np.cumsum(text.lengths) - text.lengths, axis=0)
+        bits = np.add.reduceat(-np.log2(self.probabilities(text)), np.cumsum(text.lengths) - text.lengths, axis=0)
         return np.column_stack([bits, text.lengths])
 
 
@@ -120,22 +143,14 @@ def build(counts: pd.DataFrame) -> Models:
         grams.append((text.keys(n)[text.places[first]], lang, (count - discount) / total[group]))
         contexts.append((context[one], lang[one], np.bincount(group, weights=discount) / total))
     letters = len(np.unique(text.codes)) + 1
-    return Models(languages, *_merged(grams, width, 0.0), *_merged(contexts, width, 1.0), uniform=1 / letters)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    keys, lang, value = (np.concatenate(c) for c in zip(*parts, strict=True))
-    distinct, index = np.unique(keys, return_inverse=True)
-    table = np.full((len(distinct), width), missing, np.float32)
-    table[index, lang] = value
-    return distinct, table
+    return Models(languages, HashTable.of(grams), HashTable.of(contexts), uniform=1 / letters)
 
 
 class Scorer:
     """Cross-entropies of texts. Costs of words are kept, up to a bounded number; results do not depend on it."""
 
-    def __init__(self, models: Models, known: int = KNOWN_WORDS):
-        self.models, self.known = models, known
+    def __init__(self, models: Models, known: int = KNOWN_COSTS):
+        self.models, self.known = models, known // (len(models.languages) + 1)
         self.place: dict[str, int] = {}
         self.costs = np.zeros((1024, len(models.languages) + 1))
 

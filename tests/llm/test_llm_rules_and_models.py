@@ -154,24 +154,12 @@ def test_a_context_is_a_distribution():
 
 def prefix_bits(models, text):
     """Bits of the letters of a word's beginning."""
-    if not text:
-        return np.zeros(2)
-    padded = language.Padded([text])
-    p = np.full((len(padded.places), 2), models.uniform)
-    for n in range(1, language.ORDER + 1):
-        p *= language._rows(models.contexts, models.weight, padded.keys(n - 1)[padded.places - 1], 1.0)
-        p += language._rows(models.grams, models.probability, padded.keys(n)[padded.places], 0.0)
-    return -np.log2(p[:-1]).sum(axis=0)
+    return -np.log2(models.probabilities(language.Padded([text]))[:-1]).sum(axis=0) if text else np.zeros(2)
 
 
 def closing(models):
     """Bits of an edge right after the opening ones."""
-    padded = language.Padded([""])
-    p = np.full((1, 2), models.uniform)
-    for n in range(1, language.ORDER + 1):
-        p *= language._rows(models.contexts, models.weight, padded.keys(n - 1)[padded.places - 1], 1.0)
-        p += language._rows(models.grams, models.probability, padded.keys(n)[padded.places], 0.0)
-    return -np.log2(p[0])
+    return -np.log2(models.probabilities(language.Padded([""]))[0])
 
 
 def test_kept_words_do_not_change_results():
