@@ -35,7 +35,7 @@ from llm.common import byte_texts, column, fold_of
 SAMPLE_PER_CLASS = 6000
 LEXICON_SIZE = 2000
 SHORTEST, LONGEST = 3, 8  # characters of a word beginning
-LEAST_DOCUMENTS, LEAST_Z = 3, 2.9
+LEAST_DOCUMENTS, LEAST_Z, LEAST_WEIGHT = 3, 2.9, 3.0  # a weight of 3: twenty times as frequent in toxic documents
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, digits that stand for letters, characters without width.
@@ -86,7 +86,8 @@ def features(words: str, matcher: ahocorasick.Automaton | None) -> tuple[float,
     """Weight of the matches, and the same by 100 words, on a logarithmic scale."""
     if matcher is None or not words:
         return 0.0, 0.0
-    weight = sum(w for _, (_, w) in matcher.iter_long(words))
+    seen = Counter(match for _, match in matcher.iter_long(words))
+    weight = sum(w * (1 + math.log(n)) for (_, w), n in seen.items())  # a repeated match adds less each time
     if weight <= 0:
         return 0.0, 0.0
     n_words = words.count("  ") + 1
@@ -142,26 +143,41 @@ def _counted(sample: DataFrame, make) -> DataFrame:
     return parts.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
 
 
-def _log_odds(n_toxic: int, n_harmless: int) -> tuple[Column, Column]:
-    toxic, harmless = F.col("toxic") + 0.5, F.col("harmless") + 0.5
-    weight = F.log((toxic / (n_toxic + 1)) / (harmless / (n_harmless + 1)))
-    return weight, weight / F.sqrt(1 / toxic + 1 / harmless)
+def _log_odds(toxic, harmless, n_toxic: int, n_harmless: int, log, sqrt):
+    """Smoothed log-odds of an item's documents, and how many standard errors it is from 0; of numbers or columns."""
+    toxic, harmless = toxic + 0.5, harmless + 0.5
+    weight = log((toxic / (n_toxic + 1)) / (harmless / (n_harmless + 1)))
+    return weight, weight / sqrt(1 / toxic + 1 / harmless)
 
 
-def _choose(candidates: list[tuple[str, float]]) -> dict[str, float]:
-    """Entries, the surest first and of equally sure ones the longest.
+def _choose(candidates: list[tuple[str, int, int]], n_toxic: int, n_harmless: int) -> dict[str, float]:
+    """Entries of (pattern, toxic, harmless documents): the surest first and of equally sure ones the longest.
 
-    Left out are beginnings of a chosen entry that say no more than it, and continuations of one that say little more.
+    A continuation of an entry is left out unless it says clearly more, a beginning unless it says more than what it begins. A
+    beginning must also stand without the documents of its chosen continuations: what "lose" has from "loser" alone is
+    no reason to keep it.
     """
-    chosen: dict[str, float] = {}
+    def odds(toxic: int, harmless: int) -> tuple[float, float]:
+        return _log_odds(max(toxic, 0), max(harmless, 0), n_toxic, n_harmless, math.log, math.sqrt)
+
+    def beginnings(pattern: str) -> list[str]:
+        return [pattern[:k] for k in range(1 + SHORTEST, len(pattern))]
+
+    chosen: dict[str, tuple[float, int, int]] = {}
     begun: dict[str, float] = {}
-    for pattern, weight in candidates:
-        shorter = [chosen[pattern[:k]] for k in range(1 + SHORTEST, len(pattern)) if pattern[:k] in chosen]
-        if weight > max(shorter, default=-math.inf) + 1 and weight > begun.get(pattern, -math.inf) + 1e-9:
-            chosen[pattern] = weight
-            for k in range(1 + SHORTEST, len(pattern)):
-                begun[pattern[:k]] = max(weight, begun.get(pattern[:k], -math.inf))
-    return chosen
+    for pattern, toxic, harmless in sorted(candidates, key=lambda c: (-odds(*c[1:])[1], -len(c[0]), c[0])):
+        weight, z = odds(toxic, harmless)
+        shorter = max((chosen[p][0] for p in beginnings(pattern) if p in chosen), default=-math.inf)
+        if weight >= LEAST_WEIGHT and z >= LEAST_Z and weight > shorter + 1 and weight > begun.get(pattern, -math.inf) + 1e-9:
+            chosen[pattern] = weight, toxic, harmless
+            for p in beginnings(pattern):
+                begun[p] = max(weight, begun.get(p, -math.inf))
+    for pattern in sorted(chosen, key=len, reverse=True):
+        weight, toxic, harmless = chosen[pattern]
+        longer = [chosen[p] for p in chosen if p != pattern and p.startswith(pattern)]
+        if longer and odds(toxic - sum(c[1] for c in longer), harmless - sum(c[2] for c in longer))[0] < LEAST_WEIGHT:
+            del chosen[pattern]
+    return {pattern: weight for pattern, (weight, *_) in chosen.items()}
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
@@ -193,11 +209,13 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sa
     drawn_sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(drawn_sizes) < 2:
         return Lexicon()
-    weight, z = _log_odds(drawn_sizes[1], drawn_sizes[0])
+    n_toxic, n_harmless = drawn_sizes[1], drawn_sizes[0]
+    weight, z = _log_odds(F.col("toxic"), F.col("harmless"), n_toxic, n_harmless, F.log, F.sqrt)
     best = (_counted(sample, terms).where(F.col("toxic") >= LEAST_DOCUMENTS)
-            .select("item", weight.alias("weight"), z.alias("z")).where(F.col("z") >= LEAST_Z)
+            .select("item", "toxic", "harmless", weight.alias("weight"), z.alias("z"))
+            .where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT))
             .orderBy(F.desc("z"), F.desc(F.length("item")), "item").limit(LEXICON_SIZE).collect())
-    lexicon = Lexicon(_choose([(r["item"], r["weight"]) for r in best]))
+    lexicon = Lexicon(_choose([(r["item"], r["toxic"], r["harmless"]) for r in best], n_toxic, n_harmless))
     matcher = lexicon.matcher()
     if matcher is None:
         return Lexicon()
