@@ -17,6 +17,7 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings above to the session. They stay set, also for whatever else uses it: call it at the entry."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
