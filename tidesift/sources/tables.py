@@ -24,9 +24,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def load_tables(tables: dict[str, DataFrame], target: str, on_violation: str = "fail") -> dict[str, DataFrame]:
     """Replace all stored tables under ``target`` by the given ones, parents first; return them as read back.
 
-    Constraints are checked before anything is written. ``fail`` raises and leaves the old tables as they are,
-    ``quarantine`` loads the valid rows and writes the others to ``<target>/rejected/<table>``.
-    Input must not be read from ``target`` itself.
+    A table is written once, in parts by the rule its rows break; the part without one is the table, the others are what
+    ``read_rejected`` returns. ``fail`` checks before anything is written, raises and leaves the old tables as they are;
+    ``quarantine`` loads the valid rows and sets the others aside. Input must not be read from ``target`` itself.
     """
     if on_violation not in ("fail", "quarantine"):
         raise ValueError(f"on_violation must be 'fail' or 'quarantine', not {on_violation!r}")
@@ -41,18 +41,20 @@ def load_tables(tables: dict[str, DataFrame], target: str, on_violation: str = "
                                             for r in broken))
     loaded: dict[str, DataFrame] = {}
     for name in LOAD_ORDER:
-        rows = ready[name]
-        if on_violation == "quarantine":
-            marked = stage(mark_broken(rows, name, loaded), f"marked-{name}")
-            marked.where(F.col(BROKEN).isNotNull()).write.mode("overwrite").parquet(f"{target}/rejected/{name}")
-            rows = marked.where(F.col(BROKEN).isNull()).drop(BROKEN)
-        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        valid = F.lit(None).cast("string").alias(BROKEN)
+        marked = ready[name].select("*", valid) if on_violation == "fail" else mark_broken(ready[name], name, loaded)
+        marked.write.mode("overwrite").partitionBy(BROKEN).parquet(f"{target}/{name}")
         loaded[name] = read_table(spark, target, name)
     return loaded
 
 
+def _stored(spark: SparkSession, target: str, name: str) -> DataFrame:
+    schema = T.StructType([*TABLES[name].fields, T.StructField(BROKEN, T.StringType())])
+    return spark.read.schema(schema).parquet(f"{target}/{name}")
+
+
 def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{target}/{name}")
+    return _stored(spark, target, name).where(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
@@ -61,8 +63,7 @@ def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
 
 def read_rejected(spark: SparkSession, target: str, name: str) -> DataFrame:
     """Rows a quarantining load set aside, with the rule each of them breaks."""
-    schema = T.StructType([*TABLES[name].fields, T.StructField(BROKEN, T.StringType())])
-    return spark.read.schema(schema).parquet(f"{target}/rejected/{name}")
+    return _stored(spark, target, name).where(F.col(BROKEN).isNotNull())
 
 
 def save_as_tables(tables: dict[str, DataFrame], database: str) -> None:
