@@ -130,7 +130,8 @@ def clean(documents: DataFrame, text_column: str = "text", length_column: str |
     plain = documents.toDF(*names)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x)), "\n")
-    verdict = plain.select(*names, measures(whole).alias("m")).where(kept(F.col("m")))
+    # Out of a generator, the counts are worked out once; as a plain column, the filter would work them out again.
+    verdict = plain.select(*names, F.explode(F.array(measures(whole))).alias("m")).where(kept(F.col("m")))
     changed = F.col("m.lines.lost_chars") > 0
     new = {text: F.when(changed, rest).otherwise(F.col(text))}
     if length_column in documents.columns:
