@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from llm.common import byte_texts, column, unpacked
+from llm.common import byte_texts, column
 
 MARK = "▁"
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
-KEPT_SEGMENTS = 300_000
+KEPT_SEGMENTS = 700_000  # per generation of the cache; results do not depend on it
 LONGEST_KEPT = 64
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -145,7 +146,10 @@ class Pieces:
         rest = [decoders.Strip(" ", 1, 0)] if self.model.dummy_prefix else []
         self.library.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *rest])
         self.segments: dict[str, bytes] = {}
-        self.failed: set[str] = set()  # segments, or whole texts, on which the libraries differ
+        self.older: dict[str, bytes] = {}
+        self.failed: set[str] = set()  # segments, or whole texts of one call, on which the libraries differ
+        # Texts come back as they were: nothing is trimmed or mapped, every character has a piece or bytes.
+        self.lossless = not (self.model.charsmap or self.model.trim_spaces) and self.model.dummy_prefix and self.model.byte_fallback
         self.original = sentencepiece.SentencePieceProcessor(model_file=path) if verify else None
 
     def normalise(self, text: str) -> str:
@@ -153,20 +157,19 @@ class Pieces:
             return self.normalizer.normalize_str(text)
         return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
 
-    def _ids(self, normalised: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(normalised, add_special_tokens=False)]
+    def _ids(self, normalised: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(normalised, add_special_tokens=False)]
 
-    def _compare(self, names: list[str], texts: list[str], ids: list[bytes], skipped: int = 0) -> None:
-        """Note the names for which the other library gives other ids (after the first ``skipped`` of a text) or text."""
+    def _compare(self, names: list[str], texts: list[str], ids: list[list[int]], lead: list[int] = ()) -> None:
+        """Note the names for which the other library gives other ids (after ``lead``), or whose ids do not decode to the text."""
         want = self.original.encode(texts, num_threads=1)
-        found = [np.array(theirs[:skipped] + unpacked(b, "<u4").tolist(), np.uint32) for theirs, b in zip(want, ids, strict=True)]
-        for name, ours, decoded, theirs, text in zip(names, found, self.decode(found), want, self.original.decode(want), strict=True):
-            if ours.tolist() != theirs or decoded != text:
+        for name, ours, theirs, decoded, text in zip(names, ids, want, self._decoded(want), texts, strict=True):
+            if [*lead, *ours] != theirs or decoded != (text if self.lossless else self.original.decode(theirs)):
                 self.failed.add(name)
 
-    def _verify(self, segments: list[str], ids: list[bytes]) -> None:
+    def _verify(self, segments: list[str], ids: list[list[int]]) -> None:
         """Compare segments: one that begins with markers as it stands after another word, one without by itself."""
-        lead = len(self.original.encode("a"))
+        lead = self.original.encode("a")
         for marked in (True, False):
             some = [i for i, s in enumerate(segments) if s.startswith(MARK) == marked]
             if some:
@@ -181,17 +184,21 @@ class Pieces:
             self.failed.clear()
             if self.original:
                 self._compare(texts, texts, ids)
-            return [np.frombuffer(b, "<u4") for b in ids]
+            return [np.array(i, "<u4") for i in ids]
         if len(self.segments) > self.kept:
-            self.segments.clear()
-            self.failed.clear()
+            self.older, self.segments = self.segments, {}
         split = [_SEGMENT.findall(t) for t in whole]
-        wanted = {s for segments in split for s in segments}
-        new = sorted(wanted - self.segments.keys())
+        known, older, new = self.segments, self.older, []
+        for s in set().union(*split):
+            if s not in known:
+                if s in older:
+                    known[s] = older[s]
+                else:
+                    new.append(s)
         ids = self._ids(new)
         if self.original:
             self._verify(new, ids)
-        self.segments.update(zip(new, ids, strict=True))
+        self.segments.update(zip(new, (array("I", i).tobytes() for i in ids), strict=True))
         found = [np.frombuffer(b"".join(map(self.segments.__getitem__, segments)), "<u4") for segments in split]
         for s in new:
             if len(s) > LONGEST_KEPT:
@@ -203,8 +210,11 @@ class Pieces:
         return not self.failed or (
             self.failed.isdisjoint(_SEGMENT.findall(self.normalise(text))) if self.independent else text not in self.failed)
 
+    def _decoded(self, ids: list[list[int]]) -> list[str]:
+        return self.library.decode_batch(ids, skip_special_tokens=False)
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.library.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        return self._decoded([i.tolist() for i in ids])
 
 
 _encoders: dict[tuple[str, bool], Pieces] = {}
