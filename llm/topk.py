@@ -133,7 +133,7 @@ def _blocks(rows: DataFrame, size: int, by_bucket: bool) -> DataFrame:
     """Rows in blocks of about ``size``; a bucket with many rows gets as many parts as it needs."""
     keys = ["dim", "bucket"] if by_bucket else ["dim"]
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("parts"))
-    divided = rows.join(F.broadcast(sizes), keys).withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
+    divided = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
     if not by_bucket:
         divided = divided.withColumn("bucket", F.lit(0).cast("bigint"))
     return divided.groupBy("dim", "bucket", "part").applyInArrow(_block, _BLOCK_SCHEMA)
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
     sizes = rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
     above = Window.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.withColumn("longer", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("longer") <= k)
-    seeds = blocks.join(F.broadcast(first.select("dim", "bucket")), ["dim", "bucket"])
+    seeds = blocks.join(first.select("dim", "bucket"), ["dim", "bucket"])
 
     def bounds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pair, q, b, _ in _pairs(batches):
