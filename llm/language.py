@@ -1,8 +1,8 @@
 """Operator 6: language identification by interpolated Kneser-Ney character models, one for each language.
 
 A model predicts each letter of a word, and its end, from up to ``ORDER - 1`` letters before it in the word. Sorted arrays of n-gram hashes
-hold the discounted probability in each language that knows the n-gram, and others each context's weight for the
-shorter context. A text's cross-entropy under a language is the mean over its letters; the lowest wins. Its probability comes
+hold, for a block of languages, the discounted probabilities, and others each context's weight for the shorter context; their
+size grows with the number of languages, not with its square. A text's cross-entropy under a language is the mean over its letters; the lowest wins. Its probability comes
 from a softmax whose scale is fitted on documents kept back from the counts, and a text whose cross-entropy lies above what
 nearly all kept-back documents of its language have is marked as rejected.
 
@@ -35,6 +35,7 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, LEAST_DOCUMENTS = 300, 200, 3
 KEPT_BACK = 5  # one document of so many calibrates
 ACCEPTED = 0.995  # share of kept-back documents that a language's threshold accepts
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+BLOCK_OF_LANGUAGES = 8
 KNOWN_COSTS = 1_500_000  # numbers a worker keeps: costs of words times languages
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,37 +66,33 @@ class Padded:
 
 @dataclass(frozen=True)
 class HashTable:
-    """Sorted hashes; each has the languages that know it and their values, one after the other."""
+    """Sorted hashes and, for each, a row of values of a block of languages."""
 
     keys: np.ndarray
-    starts: np.ndarray
-    languages: np.ndarray
     values: np.ndarray
 
     @staticmethod
-    def of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> HashTable:
+    def of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: range, missing: float) -> HashTable:
         """From (hashes, languages, values), each pair of hash and language once."""
         keys, languages, values = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return HashTable(keys[first], np.append(first, len(keys)), languages[order].astype(np.int16), values[order].astype(np.float32))
+        own = (languages >= block.start) & (languages < block.stop)
+        distinct, index = np.unique(keys[own], return_inverse=True)
+        table = np.full((len(distinct), len(block)), missing, np.float32)
+        table[index, languages[own] - block.start] = values[own]
+        return HashTable(distinct, table)
 
-    def find(self, wanted: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """((place in ``wanted``, language), value) of all that is known."""
+    def rows(self, wanted: np.ndarray, missing: float) -> np.ndarray:
         found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[found] == wanted)
-        start = self.starts[found[hit]]
-        n = self.starts[found[hit] + 1] - start
-        entry = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-        return (np.repeat(hit, n), self.languages[entry]), self.values[entry]
+        rows = self.values[found]
+        rows[self.keys[found] != wanted] = missing
+        return rows
 
 
 @dataclass(frozen=True)
 class Models:
     languages: tuple[str, ...]
-    grams: HashTable  # discounted probabilities of the n-grams of all orders
-    contexts: HashTable  # weights of the shorter context
+    # For each block of languages the discounted probabilities of n-grams, and contexts' weights of the shorter context.
+    blocks: tuple[tuple[range, HashTable, HashTable], ...]
     uniform: float
     scale: float = 1.0
     highest: np.ndarray | None = None  # accepted cross-entropy by language
@@ -104,10 +101,11 @@ class Models:
         """Of each predicted letter under each language."""
         p = np.full((len(text.places), len(self.languages)), self.uniform)
         for n in range(1, ORDER + 1):
-            known, weight = self.contexts.find(text.keys(n - 1)[text.places - 1])
-            p[known] *= weight
-            known, probability = self.grams.find(text.keys(n)[text.places])
-            p[known] += probability
+            contexts, grams = text.keys(n - 1)[text.places - 1], text.keys(n)[text.places]
+            for block, probability, weight in self.blocks:
+                own = p[:, block.start:block.stop]
+                own *= weight.rows(contexts, 1.0)
+                own += probability.rows(grams, 0.0)
         return p
 
     def costs(self, words: list[str]) -> np.ndarray:
@@ -143,7 +141,8 @@ def build(counts: pd.DataFrame) -> Models:
         grams.append((text.keys(n)[text.places[first]], lang, (count - discount) / total[group]))
         contexts.append((context[one], lang[one], np.bincount(group, weights=discount) / total))
     letters = len(np.unique(text.codes)) + 1
-    return Models(languages, HashTable.of(grams), HashTable.of(contexts), uniform=1 / letters)
+    blocks = [range(i, min(i + BLOCK_OF_LANGUAGES, width)) for i in range(0, width, BLOCK_OF_LANGUAGES)]
+    return Models(languages, tuple((b, HashTable.of(grams, b, 0.0), HashTable.of(contexts, b, 1.0)) for b in blocks), 1 / letters)
 
 
 class Scorer:
@@ -172,9 +171,9 @@ class Scorer:
         split = [t.lower().split() for t in texts]
         if len(self.place) > self.known:
             self.place.clear()
-        new = {w for tokens in split for w in tokens} - self.place.keys()
+        new = [w for w in set().union(*split) if w not in self.place]
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         place = self.place.__getitem__
         return np.array([self.costs[np.fromiter(map(place, tokens), np.int64, len(tokens))].sum(axis=0) for tokens in split])
 

@@ -233,3 +233,14 @@ def test_choice_of_entries():
     found = toxicity._choose([(" loser ", 100, 0), (" loser", 100, 0), (" lose", 104, 3), (" veq", 60, 0), (" vequa", 40, 0), (" vequb", 20, 0),
                               (" rea", 50, 2), (" read", 5, 1)], 300, 3000)
     assert set(found) == {" loser ", " veq", " rea"} and found[" loser "] > found[" veq"] > found[" rea"] >= toxicity.LEAST_WEIGHT
+
+
+def test_blocks_of_languages_do_not_matter(monkeypatch):
+    counts = pd.DataFrame({"lang": list("uvwxyz") * 2, "word": ["abca", "ab", "cab", "bbc", "aac", "ca", "b", "bc", "cb", "acb", "abc", "c"],
+                           "n": [3, 2, 1, 1, 4, 1, 2, 2, 1, 3, 1, 1]})
+    whole = language.build(counts)
+    monkeypatch.setattr(language, "BLOCK_OF_LANGUAGES", 2)
+    divided = language.build(counts)
+    assert (len(whole.blocks), len(divided.blocks)) == (1, 3)
+    words = ["abc", "q", "ccab", ""]
+    assert np.allclose(whole.costs(words), divided.costs(words))
