@@ -36,7 +36,7 @@ KEPT_BACK = 5  # one document of so many calibrates
 ACCEPTED = 0.995  # share of kept-back documents that a language's threshold accepts
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 BLOCK_OF_LANGUAGES = 8
-KNOWN_COSTS = 1_500_000  # numbers a worker keeps: costs of words times languages
+KNOWN_COSTS = 4_000_000  # numbers a worker keeps: costs of words times languages
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
