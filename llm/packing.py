@@ -33,9 +33,8 @@ _PER_LEVEL, _PER_TASK = 1 << 58, 1 << 32
 
 def encode(vocabulary: bpe.ByteBpe, text: str, end_id: int | None = END_ID) -> np.ndarray:
     """Ids of a text as the library gives them, then the end id."""
-    if bpe.is_settled(text):
-        ids = vocabulary.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
-    else:
+    ids = vocabulary.fast_ids(text) if bpe.is_settled(text) else None
+    if ids is None:
         ids = np.array(vocabulary.library.encode(text, add_special_tokens=False).ids, "<u4")
     return ids if end_id is None else np.append(ids, np.uint32(end_id)).astype("<u4")
 

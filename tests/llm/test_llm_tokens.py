@@ -75,6 +75,17 @@ def test_fast_ids_are_the_librarys(text):
     assert packing.encode(bpe.load(BYTE_BPE), text, None).tolist() == library_ids(text)
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\t " * 1_000_000])
+def test_long_white_space_is_encoded(run):
+    for text in (run, f"a {run}b"):
+        assert packing.encode(bpe.load(BYTE_BPE), text, None).tolist() == library_ids(text)
+
+
+def test_long_white_space_is_packed(spark):
+    rows = [(1, "some words", "en", "s", 0), (2, f"a {' ' * 2_000_000}b", "en", "s", 0), (3, "more words", "en", "s", 0)]
+    check_packing(packing.pack(spark.createDataFrame(rows, cases.SCHEMA).repartition(1), BYTE_BPE).collect(), rows)
+
+
 def check_packing(rows, documents, capacity=packing.CAPACITY):
     """Every id in one piece, checksums right, sequences gapless, full or a power of two."""
     ids = [np.array([*library_ids(t or ""), packing.END_ID], "<u4") for _, t, *_ in documents]
