@@ -25,9 +25,11 @@ LEAST_WORDS, MOST_REPEATED, WINDOW, MOST_LOST = 10, 20, 5, 0.8
 SYMBOLS = r"[#*$%&|<>]"
 SPACES = r"[ \t-\r]+"
 END_MARK = r"[.!?:;…。！？؟।\"'”’»«)\]][ \t-\r]*$"
-SEPARATORS = r"(^|[ \t-\r])(\||>|›|»|•|·|/|→)+([ \t-\r]|$)"
+# Java matches a repeated group by recursion, which a long run of separators or entries would take beyond a thread's stack. So no group
+# is repeated in the rules for Spark: a class is, and of a menu the first entry is enough.
+SEPARATORS = r"(^|[ \t-\r])[|>›»•·/→]++([ \t-\r]|$)"
 MENU = (r"(?i)^[ \t-\r]*((home|menu|login|log in|sign in|sign up|search|contact( us)?|about( us)?|next|previous|back to top|"
-        r"skip to content|share|read more|site ?map)([ \t-\r]*[|>/»•·][ \t-\r]*|[ \t-\r]*$))+")
+        r"skip to content|share|read more|site ?map)([ \t-\r]*[|>/»•·][ \t-\r]*|[ \t-\r]*$))")
 PHRASES = (r"(?i)(all rights reserved|copyright ©|\(c\) [0-9]{4}|privacy policy|terms of (use|service)|cookie|javascript|lorem ipsum|"
            r"licensed under|permission is hereby granted|subscribe to our|click here)")
 LONGEST_BOILERPLATE = 400  # characters; a longer line is prose that mentions such a phrase
@@ -189,6 +191,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.8 AS kept, lost_chars
 FROM counted
 """
-for _name, _rule in (("separators", SEPARATORS), ("end_mark", END_MARK), ("menu", MENU), ("phrases", PHRASES),
+# The rules as DuckDB reads them, whose expressions have no possessive repetition and do not recurse.
+SQL_SEPARATORS = r"(^|[ \t-\r])(\||>|›|»|•|·|/|→)+([ \t-\r]|$)"
+SQL_MENU = MENU + "+"
+for _name, _rule in (("separators", SQL_SEPARATORS), ("end_mark", END_MARK), ("menu", SQL_MENU), ("phrases", PHRASES),
                      ("longest", str(LONGEST_BOILERPLATE))):
     SQL = SQL.replace("{" + _name + "}", _rule.replace("'", "''"))

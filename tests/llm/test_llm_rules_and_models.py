@@ -44,6 +44,26 @@ def test_lines(spark, line, fails):
     assert found is fails
 
 
+@pytest.mark.parametrize("line,fails", [
+    (f"{'wordwrd ' * 40_000}{'/' * 100_000}", False), (f"{'wordwrd ' * 40_000}{'/' * 100_000} end", False),
+    (f"{'/' * 50_000} {'wordwrd ' * 3} {'>' * 50_000}", True), ("sign in/" * 50_000, True), ("sign in » " * 50_000, True)])
+def test_long_runs_of_separators_and_menu_words(spark, line, fails):
+    docs = spark.createDataFrame([(1, line, "en", "s", 0)], cases.SCHEMA)
+    found = line_quality.judged(docs).first()
+    assert found.lost_chars == (len(re.sub(r"[ \t-\r]", "", line)) if fails else 0)
+    assert found.word_chars == len(re.sub(r"[ \t-\r]", "", line))
+
+
+def test_rules_for_spark_find_what_those_for_sql_find(spark):
+    draw = np.random.default_rng(5)
+    parts = ["|", ">", "›", "»", "•", "·", "/", "→", " ", "  ", "\t", "\r", "home", "Sign in", "contact us", "word", "."]
+    lines = spark.createDataFrame([("".join(draw.choice(parts, draw.integers(0, 9))),) for _ in range(3000)], "line string")
+    found = lines.select(*[line_quality.count_of(F.col("line"), p) for p in (line_quality.SEPARATORS, line_quality.SQL_SEPARATORS)],
+                         *[F.col("line").rlike(p) for p in (line_quality.MENU, line_quality.SQL_MENU)]).collect()
+    assert all(a == b and c == d for a, b, c, d in found)
+    assert sum(r[0] for r in found) > 500 and 100 < sum(r[2] for r in found) < 2900
+
+
 def test_documents_lose_failed_lines(spark):
     good = "\n".join(f"{a} {b} goes with {c} and not with {d} at all." for a, b, c, d in zip(*[iter(cases.prose(8, 24).replace(".", "").split())] * 4))
     rows = [(1, f"Home | News | Contact | More\n{good}\nCopyright © 2020 Somebody", "en", "s", 3), (2, "\n".join(["a | b | c | d | e | f"] * 9), "en", "s", 3),
