@@ -9,7 +9,8 @@ What remains is verified by exact integer products. Bounds are loosened by more
 are worked out in, so pruning never loses a result.
 
 Components become floor(scale * x). A vector that is null, empty or holds a null or non-finite component takes no part, nor does one with
-a null id or with a length of 2^31 or more (its products may not fit a long); zero vectors do. Only vectors of one dimension are
+a null id or with a floored component that does not fit a long; zero vectors do. Products that may not fit a long are worked
+out in integers of any size, and the query fails if one of its results does not fit. Only vectors of one dimension are
 compared. Equal scores go to the smaller id, then to the earlier row; a row is no candidate of itself, but another row
 with the same id or vector is. A query gets fewer rows if there are fewer candidates, none if there are none.
 """
@@ -34,7 +35,8 @@ from llm.common import column, packed, unpacked
 K, SCALE, RATIO, BLOCK, QUERY_BLOCK = 5, 256.0, 1.1, 4096, 512
 HIGH_COSINE = 0.5  # thresholds from here on prune by coordinate
 SLACK = 1e-9
-MOST_LENGTH = float(1 << 31)
+LONG = 1 << 63
+SAFE = float(1 << 62)  # a product of lengths below this, rounded as it is, leaves a product of the vectors that fits a long
 
 
 def scaled(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +47,8 @@ def scaled(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.
     values = pc.cast(pc.list_flatten(vectors), pa.float64()).to_numpy(zero_copy_only=False)
     floored = np.floor(values * scale)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    squares = np.bincount(owner, weights=np.where(np.isfinite(floored), floored, np.inf) ** 2, minlength=len(lengths))
-    usable = (lengths > 0) & (squares < MOST_LENGTH ** 2)
+    fits = (floored >= -float(LONG)) & (floored < float(LONG))  # false for NaN
+    usable = (lengths > 0) & (np.bincount(owner, weights=~fits, minlength=len(lengths)) == 0)
     kept = usable[owner]
     return np.flatnonzero(usable), lengths[usable], floored[kept].astype(np.int64)
 
@@ -120,13 +122,28 @@ def remaining(block: Block, query: np.ndarray, length: float, bound: float) -> n
     return np.flatnonzero((share >= low - SLACK) & (share <= high + SLACK))
 
 
-def best_of_block(block: Block, row: int, query: np.ndarray, length: float, bound: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, rows, scores) of the block's k best for a query that can reach the bound."""
+def products(block: Block, places: np.ndarray, query: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the block's rows at the places with a query, and 1 or -1 where one is above or below what a long holds (else 0)."""
+    scores = block.matrix[places] @ query  # modulo 2^64
+    beyond = np.zeros(len(places), np.int64)
+    wide = np.flatnonzero(block.lengths[places] * length >= SAFE)
+    if len(wide):
+        numbers = query.tolist()
+        for i in wide.tolist():
+            exact = sum(a * b for a, b in zip(block.matrix[places[i]].tolist(), numbers, strict=True))
+            beyond[i] = (exact >= LONG) - (exact < -LONG)
+    return np.where(beyond == 0, scores, 0), beyond
+
+
+def best_of_block(block: Block, row: int, query: np.ndarray, length: float, bound: float,
+                  k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows, scores, beyond) of the block's k best for a query that can reach the bound."""
     places = remaining(block, query, length, bound)
     places = places[block.rows[places] != row]
-    scores = block.matrix[places] @ query
-    order = np.lexsort((block.rows[places], block.ids[places], -scores))[:k]
-    return block.ids[places[order]], block.rows[places[order]], scores[order]
+    scores, beyond = products(block, places, query, length)
+    # ~ turns the order around without overflow.
+    order = np.lexsort((block.rows[places], block.ids[places], ~scores, -beyond))[:k]
+    return block.ids[places[order]], block.rows[places[order]], scores[order], beyond[order]
 
 
 def _blocks(rows: DataFrame, size: int, by_bucket: bool) -> DataFrame:
@@ -169,8 +186,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
         for pair, q, b, _ in _pairs(batches):
             found = np.full((len(q.rows), k), -math.inf)
             for i, query in enumerate(q.matrix):
-                scores = best_of_block(b, q.rows[i], query, q.lengths[i], -math.inf, k)[2]
-                found[i, :len(scores)] = scores
+                scores, beyond = best_of_block(b, q.rows[i], query, q.lengths[i], -math.inf, k)[2:]
+                found[i, :len(scores)] = np.select([beyond > 0, beyond < 0], [float(LONG), -math.inf], scores)
             yield pa.RecordBatch.from_arrays([pa.array([pair["dim"]]), pa.array([pair["q_part"]]), pa.array([packed(found)], pa.binary())],
                                              ["dim", "q_part", "found"])
 
@@ -208,14 +225,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
             sizes_ = [len(f[0]) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(q.rows, sizes_)), pa.array(np.repeat(q.ids, sizes_)),
-                 *(pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in range(3))],
-                ["query_row", "query_id", "vec_id", "row", "score"])
+                 *(pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in range(4))],
+                ["query_row", "query_id", "vec_id", "row", "score", "beyond"])
 
     pairs = needed.join(blocks, ["dim", "bucket", "part"]).join(limited.drop("least"), ["dim", "q_part"]).select(*_PAIR)
-    found = pairs.mapInArrow(best, "query_row bigint, query_id bigint, vec_id bigint, `row` bigint, score bigint")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    found = pairs.mapInArrow(best, "query_row bigint, query_id bigint, vec_id bigint, `row` bigint, score bigint, beyond bigint")
+    order = Window.partitionBy("query_row").orderBy(F.desc("beyond"), F.desc("score"), "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.format_string(
+                "the product of vectors %s and %s does not fit a long", "query_id", "vec_id")).cast("bigint")).alias("score")))
 
 
 # All products in DuckDB.

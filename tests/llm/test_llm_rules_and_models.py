@@ -110,6 +110,21 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(lone, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_long_vectors_take_part(spark):
+    draw = np.random.default_rng(7)
+    rows = [(int(i), (draw.normal(size=4) * 0.5).tolist()) for i in range(120)]
+    rows += [(200, [9e6, 1.0, 0.0, 0.0]), (201, [1e7, 0.0, 3.0, 0.0]), (203, [-1e10, 1e10, 0.0, 5e9]), (204, [0.0, 0.0, 1e13, 0.0])]
+    found = topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], VECTOR).repartition(3), F.col("vec_id") % 50 == 0, block=16)
+    assert cases.table_of(found) == sorted(plain_top(rows), key=repr)
+    assert {201, 203, 204} <= {r.vec_id for r in found.collect()}
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    rows = [(0, [1e8, 1.0]), (1, [1e8, 1.0]), (2, [1.0, 1.0])]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], VECTOR), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_both_ways_of_pruning_leave_what_can_reach_the_bound():
     draw = np.random.default_rng(0)
     matrix = np.floor(draw.normal(size=(500, 6)) * 256).astype(np.int64)
