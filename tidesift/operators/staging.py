@@ -47,15 +47,26 @@ def cleared_after(spark: SparkSession) -> Iterator[None]:
     finally:
         _open_scopes.remove(made)
         for path in made:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`stage` returned, once nothing will read it again."""
+    _delete(staged.sparkSession, staged._staged_path)
 
 
 def with_evaluated(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:
