@@ -27,14 +27,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tidesift.operators.staging import stage
 
-from llm.common import byte_texts, column, fold_of, mixed, packed, unpacked, word_hashes, words
+from llm.common import byte_texts, column, fold_of, mixed, packed, squeezed, unpacked, unsqueezed, word_hashes, words
 
 END, START = np.uint64(0x0E6D0E6D0E6D0E6D), np.uint64(0x57A7057A7057A705)
 CHUNK_WORDS = 2_000_000  # what a task holds of its texts at a time
@@ -49,18 +48,6 @@ _WORDS, _PAIRS, _STATISTICS, _HOT = range(4)
 HELD_OUT, LEARNED, UNNAMED = range(3)
 
 
-def squeezed(array: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes: small numbers take little room."""
-    array = np.ascontiguousarray(array)
-    planes = array.view(np.uint8).reshape(len(array), array.itemsize).T if len(array) else array.view(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unsqueezed(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Table part of a hash, ascending with it."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
