@@ -222,9 +222,12 @@ def cluster(embeddings: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int =
     id_type = to_arrow_type(read.schema["id"].dataType)
     state = stage(read.mapInArrow(_blocks(id_type, dims, scale, k, seed, block), _schema(id_name)), "vectors")
     starts = state.where(F.col("kind") == _STARTS).orderBy("hash", "sums").limit(k).select("sums").collect()
+    result = f"vec_id {id_name}, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
+    if not starts:
+        return embeddings.sparkSession.createDataFrame([], result)
     c = Centroids([[int(v) for v in r["sums"]] for r in starts])
     older = None
-    for done in range(rounds + 1 if starts else 0):
+    for done in range(rounds + 1):
         blocks = state.where(F.col("kind") == _BLOCKS)
         following = stage(blocks.mapInArrow(_round(id_type, dims, c), _schema(id_name)), "vectors")
         if older is not None:
@@ -234,7 +237,7 @@ def cluster(embeddings: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int =
         if done < rounds:
             means = [[s // added[n][0] for s in added[n][1][:dims]] if n in added else c.rows[n] for n in range(c.k)]
             c = Centroids(means, c.rows)
-    inertia = {n: s[dims] for n, (_, s) in added.items()} if starts else {}
+    inertia = {n: s[dims] for n, (_, s) in added.items()}
     total = sum(inertia.values())
     if total >= 1 << 63:
         raise ArithmeticError(f"the inertia {total} does not fit a long")
@@ -249,8 +252,7 @@ def cluster(embeddings: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int =
                          pa.array([digests[n] for n in near.tolist()], pa.string())]
                 yield pa.RecordBatch.from_arrays(cells, ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"])
 
-    return state.where(F.col("kind") == _BLOCKS).mapInArrow(
-        rows, f"vec_id {id_name}, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return state.where(F.col("kind") == _BLOCKS).mapInArrow(rows, result)
 
 
 def _sql(k: int = K, rounds: int = ROUNDS, dims: int = DIMS) -> str:
