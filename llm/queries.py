@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import centroids, katz, language, line_quality, packing, pieces, repeats, simhash, token_counts, topk, toxicity, trie
+from llm import centroids, contamination, katz, language, line_quality, packing, pieces, repeats, simhash, token_counts, topk, toxicity, trie
 from llm.common import fold_of, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
+    "op11_decontamination": op11_decontamination,
     "op12_trie": op12_trie,
     "op13_centroids": op13_centroids,
 }
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_line_quality": line_quality.SQL,
     "op5_topk": topk.SQL,
+    "op11_decontamination": contamination.SQL,
     "op12_trie": trie.SQL,
     "op13_centroids": centroids.SQL,
 }
