@@ -20,7 +20,7 @@ from tidesift.operators import cleaning, constraints  # noqa: E402
 from tidesift.operators.ranks import exact_quantiles, iqr_bounds  # noqa: E402
 from tidesift.operators.staging import stage, staging_path  # noqa: E402
 from tidesift.operators.trimmed import trimmed_mean  # noqa: E402
-from tidesift.plans import classifier, dataset, distortion, evaluation, explain, retention  # noqa: E402
+from tidesift.plans import classifier, dataset, distortion, evaluation, explain, forest, retention  # noqa: E402
 from tidesift.plans.lines import (  # noqa: E402
     add_pricing_features,
     add_temporal_features,
@@ -147,6 +147,18 @@ def retrained(spark: SparkSession, sf_dir: str) -> list:
     return _once(spark, sf_dir, "retrained", lambda: explain.retrain(validation_split(spark, sf_dir), FOREST))
 
 
+def fixed_forest(spark: SparkSession, encoded: classifier.Encoded) -> DataFrame:
+    """The fixture's forest with features by their place in the encoding; one that is not encoded is 0 for all rows."""
+    places = {f: i for i, f in enumerate(encoded.features)}
+    absent = len(encoded.features)
+    rows = [(t, n, None if f is None else places.get(f, absent), x, a, b, c) for t, n, f, x, a, b, c in fixture_views.forest_nodes()]
+    return spark.createDataFrame(rows, forest.NODES)
+
+
+def _scored_rows(frame: DataFrame) -> DataFrame:
+    return frame.select("invoice_id", "outlier_class", forest.nonzero("features").alias("entries"))
+
+
 # ---- queries ------------------------------------------------------------------------------------------------------
 def _on(make_input: Callable, report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: report(make_input(spark, sf_dir))
@@ -273,6 +285,56 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "invoice_id", "true_class", "pred_class")
 
 
+def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes and classes of all labelled outliers by the fixture's forest."""
+    encoded = report_split(spark, sf_dir)
+    rows, names = _scored_rows(encoded.frame), F.array(*[F.lit(c) for c in fixture_views.FOREST_CLASSES])
+    voted = forest.votes(rows, fixed_forest(spark, encoded), ["invoice_id"])
+    return rows.join(voted, "invoice_id").select(
+        "invoice_id", F.col("outlier_class").alias("true_class"), F.get(names, forest.winner()).alias("pred_class"),
+        *[F.get("votes", F.lit(i)).alias(c) for i, c in enumerate(fixture_views.FOREST_CLASSES)])
+
+
+def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = report_split(spark, sf_dir)
+    return forest.impurity_importance(fixed_forest(spark, encoded), encoded.features).withColumn("importance", F.round("importance", 9))
+
+
+def permutation_importance_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance of all encoded features for the fixture's forest, whose classes are the labels' names."""
+    encoded = validation_split(spark, sf_dir)
+    label = (F.array_position(F.array(*[F.lit(c) for c in fixture_views.FOREST_CLASSES]), F.col("outlier_class")) - 1).cast("double")
+    numbered, n = explain.number_rows(encoded.test.select("invoice_id", "features", label.alias("label")), "invoice_id", FOREST.seed)
+    found = explain.permutation_importance(explain.of_nodes(fixed_forest(spark, encoded)), encoded.features, numbered, n,
+                                           FOREST.permutation_seed + 1, FOREST.permutation_repeats)
+    return found.select("feature", F.round("importance_mean", 9).alias("importance_mean"), F.round("importance_std", 9).alias("importance_std"))
+
+
+def _fixed_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = report_split(spark, sf_dir)
+    return _once(spark, sf_dir, "fixed shap", lambda: stage(
+        forest.shap_values(_scored_rows(encoded.test), fixed_forest(spark, encoded), "invoice_id"), "shap"))
+
+
+def shap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHAP values of the test part under the fixture's forest, by feature and class."""
+    features = report_split(spark, sf_dir).features
+    named = spark.createDataFrame(list(enumerate([*features, "absent"])), "feature int, name string")
+    classes = F.array(*[F.lit(c) for c in fixture_views.FOREST_CLASSES])
+    return _fixed_shap(spark, sf_dir).join(named, "feature").select(
+        "invoice_id", F.col("name").alias("feature"), F.get(classes, F.col("class")).alias("class"), F.round("value", 9).alias("value"))
+
+
+def shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = report_split(spark, sf_dir)
+    found = forest.shap_importance(_fixed_shap(spark, sf_dir), encoded.features, fixture_views.FOREST_CLASSES, encoded.test.count())
+    return found.withColumns({c: F.round(c, 9) for c in (*fixture_views.FOREST_CLASSES, "importance")})
+
+
+def rf_shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.shap_report(report_model(spark, sf_dir), report_split(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return report_queries() | (llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {})
 
@@ -362,6 +424,12 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_features_per_run": yearly_ranking,
         "topk_jaccard": _on(yearly_ranking, lambda d: explain.topk_jaccard(d).withColumn(
             "Top3_Feature_Consistency_Jaccard", F.round("Top3_Feature_Consistency_Jaccard", 9))),
+        # a fixed forest as a table of nodes
+        "forest_predictions": forest_predictions,
+        "forest_importance": forest_importance,
+        "permutation_importance_fixed": permutation_importance_fixed,
+        "shap_values": shap_values,
+        "shap_importance": shap_importance,
         # the trained model: no SQL can restate it
         "rf_predictions": model_predictions,
         "rf_classification_report": _on(model_predictions, evaluation.classification_report),
@@ -372,6 +440,7 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "permutation_importance_names": lambda spark, sf_dir: explain.permutation_importances(
             retrained(spark, sf_dir), validation_split(spark, sf_dir), FOREST).select("run", "feature"),
         "feature_importance": importances,
+        "rf_shap_importance": rf_shap_importance,
         "rf_contextual_contribution": _on(importances, evaluation.contextual_contribution),
         "rf_bucket_breakdown": _on(importances, evaluation.bucket_breakdown),
         "retrain_predictions": lambda spark, sf_dir: explain.retrain_predictions(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixture_views import LINES, QUOTED, RAW, duck_text
+from fixture_views import FOREST_CLASSES, FOREST_FEATURES, LINES, QUOTED, RAW, duck_text, forest_nodes
 
 # Texts read as missing.
 NA = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', "
@@ -395,3 +395,96 @@ SQL["feature_importance_names"] = query(
     "SELECT feature, round(1.0::DOUBLE, 6) AS total_importance FROM features", **split_ctes("0.2"), features=_FEATURES)
 SQL["permutation_importance_names"] = query(
     "SELECT CAST(run AS INTEGER) AS run, feature FROM features, range(1, 6) t(run)", **split_ctes("0.25"), features=_FEATURES)
+
+# ---- the fixture's forest -----------------------------------------------------------------------------------------
+_NODE_ROWS = ", ".join(
+    f"({t}, {n}, {'NULL' if f is None else repr(f)}, {'NULL' if x is None else f'{x}::DOUBLE'}, {'NULL' if a is None else a}, "
+    f"{'NULL' if b is None else b}, {c}::DOUBLE[])" for t, n, f, x, a, b, c in forest_nodes())
+_KNOWN = "EXISTS (SELECT 1 FROM split WHERE NOT is_test AND customer_type = 'Wholesaler')"
+_VALUE = " ".join(
+    f"WHEN '{f}' THEN " + (f"(customer_type = 'Wholesaler' AND {_KNOWN})::INTEGER::DOUBLE" if f.startswith("customer_type") else f"{f}::DOUBLE")
+    for f in FOREST_FEATURES)
+
+
+def _forest(share: str) -> dict[str, str]:
+    return {
+        **split_ctes(share),
+        "nodes": f"SELECT * FROM (VALUES {_NODE_ROWS}) AS n(tree, node, feature, threshold, lft, rgt, counts)",
+        "vals": f"SELECT invoice_id, outlier_class, is_test, feature, CASE feature {_VALUE} END AS v FROM split, (SELECT unnest({list(FOREST_FEATURES)}) AS feature)",
+    }
+
+
+_WALK = """SELECT {key}, tree, 0 AS node FROM {rows}, (SELECT DISTINCT tree FROM nodes)
+ UNION ALL SELECT {walk_key}, w.tree, CASE WHEN {value} <= n.threshold THEN n.lft ELSE n.rgt END
+ FROM walk w JOIN nodes n USING (tree, node) {join} WHERE n.feature IS NOT NULL"""
+_VOTES = "SELECT {key}, " + ", ".join(f'sum(counts[{i}] / list_sum(counts)) AS "{c}"' for i, c in enumerate(FOREST_CLASSES, 1)) + """
+ FROM walk JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY {key}"""
+_WINNER = """CASE WHEN "Benign" >= "Harmful" AND "Benign" >= "Strategic" THEN 'Benign' WHEN "Harmful" >= "Strategic" THEN 'Harmful' ELSE 'Strategic' END"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["forest_predictions"] = recursive(query(
+    f"""SELECT invoice_id, outlier_class AS true_class, {_WINNER} AS pred_class, "Benign", "Harmful", "Strategic" FROM votes JOIN split USING (invoice_id)""",
+    **_forest("0.2"),
+    walk=_WALK.format(key="invoice_id", walk_key="w.invoice_id", rows="split", value="x.v",
+                      join="JOIN vals x ON x.invoice_id = w.invoice_id AND x.feature = n.feature"),
+    votes=_VOTES.format(key="invoice_id")))
+SQL["forest_importance"] = query(
+    "SELECT feature, round(coalesce(s / sum(s) OVER (), 0.0), 9) AS importance FROM features LEFT JOIN shared USING (feature)",
+    **_forest("0.2"), features=_FEATURES,
+    impure="SELECT *, list_sum(counts) * (1 - list_sum(list_transform(counts, lambda c: power(c / list_sum(counts), 2)))) AS i FROM nodes",
+    gain="""SELECT p.tree, p.feature, sum(p.i - l.i - r.i) AS g FROM impure p JOIN impure l ON l.tree = p.tree AND l.node = p.lft
+ JOIN impure r ON r.tree = p.tree AND r.node = p.rgt GROUP BY p.tree, p.feature""",
+    shared="SELECT feature, sum(g) AS s FROM (SELECT tree, feature, g / sum(g) OVER (PARTITION BY tree) AS g FROM gain) GROUP BY feature")
+
+# A row's features are the six of the forest; the others leave every prediction as it is.
+SQL["permutation_importance_fixed"] = recursive(query(
+    """SELECT feature, round(coalesce(m, 0.0), 9) AS importance_mean, round(coalesce(s, 0.0), 9) AS importance_std FROM features LEFT JOIN (
+ SELECT changed AS feature, avg(lost) AS m, stddev_pop(lost) AS s FROM (
+  SELECT p.changed, p.rep, sum((b.pred = b.outlier_class)::INTEGER - (p.pred = b.outlier_class)::INTEGER) / count(*) AS lost
+  FROM predicted p JOIN predicted b ON b.i = p.i AND b.rep = 0 AND b.changed = '' WHERE p.changed <> '' GROUP BY p.changed, p.rep) GROUP BY changed) USING (feature)""",
+    **_forest("0.25"), features=_FEATURES,
+    numbered="""SELECT *, row_number() OVER (ORDER BY md5(concat(CAST(invoice_id AS VARCHAR), '-42')), invoice_id) - 1 AS i, count(*) OVER () AS n
+ FROM split WHERE is_test""",
+    x="SELECT i, n, v.feature, v.v, v.outlier_class FROM numbered JOIN vals v USING (invoice_id)",
+    drawn="""SELECT rep, n, ('0x' || substr(md5(concat('101-', rep - 1, '-a')), 1, 13))::BIGINT % greatest(n - 1, 1) + 1 AS a0,
+ ('0x' || substr(md5(concat('101-', rep - 1, '-b')), 1, 13))::BIGINT % n AS b FROM range(1, 6) t(rep), (SELECT max(n) AS n FROM numbered)""",
+    # The first number from a0 on, 1 following the last, that has no factor in common with n.
+    pairing="""SELECT rep, n, b, min_by(a, step) AS a FROM (SELECT rep, n, b, step, (a0 - 1 + step) % greatest(n - 1, 1) + 1 AS a
+ FROM (SELECT *, unnest(range(0, n)) AS step FROM drawn)) WHERE gcd(a, n) = 1 GROUP BY rep, n, b""",
+    tried="""SELECT 0 AS rep, '' AS changed, i FROM numbered UNION ALL
+ SELECT rep, f.feature, i FROM numbered, pairing, (SELECT DISTINCT feature FROM vals) f""",
+    seen="""SELECT t.rep, t.changed, t.i, x.feature, CASE WHEN x.feature = t.changed THEN d.v ELSE x.v END AS v, x.outlier_class FROM tried t JOIN x USING (i)
+ LEFT JOIN pairing p ON p.rep = t.rep LEFT JOIN x d ON d.i = (p.a * t.i + p.b) % p.n AND d.feature = x.feature""",
+    walk=_WALK.format(key="rep, changed, i", walk_key="w.rep, w.changed, w.i", rows="tried", value="x.v",
+                      join="JOIN seen x ON x.rep = w.rep AND x.changed = w.changed AND x.i = w.i AND x.feature = n.feature"),
+    votes=_VOTES.format(key="rep, changed, i"),
+    predicted=f"SELECT rep, changed, i, outlier_class, {_WINNER} AS pred FROM votes JOIN (SELECT DISTINCT i, outlier_class FROM x) USING (i)"))
+
+# Shapley values by their definition: for every subset of the six features the mean prediction where the others are unknown.
+_SHAP = {
+    **_forest("0.2"),
+    "sets": f"SELECT s, bit_count(s) AS size FROM range(0, {1 << len(FOREST_FEATURES)}) t(s)",
+    "place": f"SELECT unnest({list(FOREST_FEATURES)}) AS feature, unnest(range(0, {len(FOREST_FEATURES)})) AS bit",
+    "tested": "SELECT v.*, bit FROM vals v JOIN place USING (feature) WHERE is_test",
+    "walk": """SELECT invoice_id, s, tree, 0 AS node, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT invoice_id FROM tested), sets, (SELECT DISTINCT tree FROM nodes)
+ UNION ALL SELECT w.invoice_id, w.s, w.tree, c.node, w.weight * CASE WHEN (w.s >> x.bit) & 1 = 1 THEN 1 ELSE list_sum(c.counts) / list_sum(n.counts) END
+ FROM walk w JOIN nodes n USING (tree, node) JOIN tested x ON x.invoice_id = w.invoice_id AND x.feature = n.feature
+ JOIN nodes c ON c.tree = n.tree AND c.node IN (n.lft, n.rgt)
+ WHERE (w.s >> x.bit) & 1 = 0 OR c.node = CASE WHEN x.v <= n.threshold THEN n.lft ELSE n.rgt END""",
+    "worth": f"""SELECT invoice_id, s, unnest({list(FOREST_CLASSES)}) AS class, unnest([sum(weight * counts[1] / list_sum(counts)), sum(weight * counts[2] / list_sum(counts)),
+ sum(weight * counts[3] / list_sum(counts))]) / {len({t for t, *_ in forest_nodes()})} AS v FROM walk JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY invoice_id, s""",
+    "shap": f"""SELECT o.invoice_id, p.feature, o.class, sum(factorial(k.size) * factorial({len(FOREST_FEATURES) - 1} - k.size) / factorial({len(FOREST_FEATURES)}) * (w.v - o.v)) AS value
+ FROM worth o JOIN sets k USING (s) JOIN place p ON (o.s >> p.bit) & 1 = 0 JOIN worth w ON w.invoice_id = o.invoice_id AND w.class = o.class AND w.s = o.s + (1 << p.bit)
+ GROUP BY o.invoice_id, p.feature, o.class""",
+}
+SQL["shap_values"] = recursive(query('SELECT invoice_id, feature, class, round(value, 9) AS "value" FROM shap', **_SHAP))
+SQL["shap_importance"] = recursive(query(
+    """SELECT CAST(row_number() OVER (ORDER BY round("Benign" + "Harmful" + "Strategic", 12) DESC, feature) AS INTEGER) AS rank, feature, round("Benign", 9) AS "Benign",
+ round("Harmful", 9) AS "Harmful", round("Strategic", 9) AS "Strategic", round("Benign" + "Harmful" + "Strategic", 9) AS importance FROM means""",
+    **_SHAP, features=_FEATURES,
+    means="SELECT feature, " + ", ".join(f"""coalesce(sum(abs(value)) FILTER (class = '{c}') / (SELECT count(*) FROM split WHERE is_test), 0.0) AS "{c}" """ for c in FOREST_CLASSES)
+    + " FROM features LEFT JOIN shap USING (feature) GROUP BY feature"))

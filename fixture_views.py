@@ -57,6 +57,33 @@ SELECT product_id, CASE WHEN length(item) % 5 = 0 THEN concat('Cable 3" black, l
  WHEN length(item) % 5 = 2 THEN concat('"', item, '"') WHEN length(item) % 5 = 3 THEN concat(item, chr(92), '"') ELSE item END AS item, category, price FROM {products}
 """
 
+# A small forest over six features. A split is (feature, threshold, left, right), a leaf the training rows of each class, whose
+# shares are fractions of powers of two, so that votes add up exactly.
+FOREST_CLASSES = ("Benign", "Harmful", "Strategic")
+FOREST_FEATURES = ("total_qty", "avg_price", "invoice_revenue", "n_items", "month", "customer_type_Wholesaler")
+_TREES = (
+    (("avg_price", 0.5, 1, 2), ("total_qty", 500.5, 3, 4), ("invoice_revenue", 500000.5, 5, 6), (1, 6, 1), (0, 8, 0), ("month", 6.5, 7, 8),
+     (0, 4, 28), (12, 2, 2), (6, 1, 1)),
+    (("customer_type_Wholesaler", 0.5, 1, 2), ("invoice_revenue", 300000.5, 3, 4), ("total_qty", 2500.5, 5, 6), ("total_qty", 9000.5, 7, 8),
+     (0, 2, 6), (1, 1, 2), (0, 1, 7), ("avg_price", 0.25, 9, 10), (0, 16, 0), (0, 8, 0), (14, 1, 1)),
+    (("total_qty", 60.5, 1, 2), ("avg_price", 300.5, 3, 4), ("n_items", 4.5, 5, 6), (0, 4, 0), (15, 1, 0), ("avg_price", 1.5, 7, 8), (0, 2, 14),
+     (0, 16, 0), ("total_qty", 1500.5, 9, 10), (2, 2, 4), (0, 1, 7)),
+    (("month", 3.5, 1, 2), (4, 2, 2), ("invoice_revenue", 5000.5, 3, 4), ("avg_price", 0.15, 5, 6), ("n_items", 2.5, 7, 8), (0, 8, 0),
+     (24, 4, 4), (1, 2, 1), (0, 8, 24)),
+)
+
+
+def forest_nodes() -> list[tuple]:
+    """(tree, node, feature name, threshold, left, right, counts)"""
+    def counts(tree: tuple, node: int) -> list[float]:
+        row = tree[node]
+        if len(row) == 3:
+            return [float(c) for c in row]
+        return [a + b for a, b in zip(counts(tree, row[2]), counts(tree, row[3]), strict=True)]
+
+    return [(t, n, *(row if len(row) == 4 else (None,) * 4), counts(tree, n)) for t, tree in enumerate(_TREES) for n, row in enumerate(tree)]
+
+
 TABLES = ("orders", "customer", "lineitem", "part")
 LARGEST_FIRST = ("lineitem", "orders", "part", "customer")
 

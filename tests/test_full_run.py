@@ -76,7 +76,7 @@ def test_run_twice(spark, raw_dir, tmp_path):
     second = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
     again = {n: sorted(map(str, df.collect())) for n, df in read_report(spark, second.reports).items()}
     assert kept == again
-    assert len(kept) == 30 and all(kept.values())
+    assert len(kept) == 31 and all(kept.values())
     assert read_rejected(spark, f"{out}/tables", "purchases").count() == 153
     meta = read_report(spark, {"m": first.reports["RQ2_Tb1/Meta"]})["m"].collect()[0]
     assert meta.Rows_total == spark.read.parquet(first.lines).count() > 51000

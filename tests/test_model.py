@@ -91,7 +91,7 @@ def test_permutation_importance_equals_brute_force(encoded, models):
     seed, repeats = 101, SMALL.permutation_repeats
     numbered, n = explain.number_rows(encoded.test.select("invoice_id", "features", "label"), "invoice_id", 42)
     got = {r.feature: (r.importance_mean, r.importance_std) for r in
-           explain.permutation_importance(models[0], encoded, numbered, n, seed, repeats).collect()}
+           explain.permutation_importance(explain.of_model(models[0], len(encoded.features)), encoded.features, numbered, n, seed, repeats).collect()}
     rows = sorted(numbered.collect(), key=lambda r: r.i)
     x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
 

@@ -98,6 +98,7 @@ def validation_reports(data: DataFrame, rules: RuleConfig = RULES,
         "RQ4_Tb2/Consistency_Summary": explain.topk_jaccard(top, forest.compared_features),
         "RQ4_Tb2/Top_Features_Per_Run": top,
         "RQ4_Tb2/Permutation_Importance": scores,
+        "RQ4_Tb2/SHAP_Importance": explain.shap_report(model, encoded),
         "RQ4_Tb3/Prediction_Stability": explain.prediction_stability(explain.retrain_predictions(models, encoded)),
     }
 
