@@ -5,16 +5,21 @@ may follow the token before it. ``PrefixCounter`` keeps, for each pre-token, the
 ``PrefixTable`` adds them up along a text and answers "how many tokens are in the first i characters" and "how many
 characters fit n tokens" by look-ups, without encoding the text again.
 
-Null and empty texts have 0 tokens. Special strings inside a text are one token each, as in the library's default. Repeated rows
+A pre-token's counts are worked out in one pass over the tokens that occur in it, and kept while a text is cut, so a text without any
+space, or of one long run of blanks, takes time in proportion to its length.
+
+Null and empty texts have 0 tokens; an empty table gives no rows. Special strings inside a text are one token each, as in the library's default. Repeated rows
 give repeated rows; columns other than the two named ones are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,6 +27,9 @@ from pyspark.sql import DataFrame
 from llm import bpe
 from llm.common import byte_texts, column
 
+# The white space of Unicode, which the split's pattern calls \s, and the pattern's contractions.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 KEPT_PRETOKENS = 500_000  # per generation of the cache; results do not depend on it
 CACHED_LENGTH = 64
 LEARNED_TOGETHER = 256  # documents
@@ -42,6 +50,7 @@ class PrefixCounter:
         self.old: dict[str, bytes | tuple[int, ...]] = {}
         self.follows: dict[int, bool] = {}
         self._row: tuple[str, list[int], list[int]] = ("", [0], [0])  # last pre-token: last token and count at each byte
+        self._long: tuple[str, bytes | tuple[int, ...]] = ("", b"")  # the last one too long for the cache
 
     def _may_follow(self, before: int, token: int) -> bool:
         if len(self.follows) > 2 * self.kept:
@@ -49,9 +58,40 @@ class PrefixCounter:
         found = self.follows[before << 32 | token] = self.vocabulary.stay_apart(before, token)
         return found
 
+    @functools.cached_property
+    def _tokens_at(self) -> ahocorasick.Automaton:
+        """Finds all tokens that end at each character, the longest first."""
+        found = ahocorasick.Automaton()
+        for token, number in self.reachable.items():
+            found.add_word(token, (len(token), number))
+        found.make_automaton()
+        return found
+
+    def _long_counts(self, shown: str) -> list[int]:
+        """Counts at 0, 1, ... bytes of a long pre-token: only tokens that occur are tried, in one pass."""
+        last, counts, follows = [0], [0], self.follows.get
+        for end, (length, token) in self._tokens_at.iter(shown):
+            if len(counts) == end + 2:
+                continue  # settled by a longer one
+            start = end + 1 - length
+            if start:
+                before = last[start]
+                fits = follows(before << 32 | token)
+                if not (self._may_follow(before, token) if fits is None else fits):
+                    continue
+            if len(counts) != end + 1:
+                break
+            last.append(token)
+            counts.append(counts[start] + 1)
+        if len(counts) != len(shown) + 1:
+            raise ValueError(f"no token ends at byte {len(counts)} of {shown[:100]!r}...")
+        return counts
+
     def _counts(self, pretoken: str) -> bytes | tuple[int, ...]:
         data = pretoken.encode("utf-8", "surrogatepass")
         shown = data.decode("latin-1").translate(self.shown)
+        if len(shown) > 4 * CACHED_LENGTH:
+            return self._by_character(pretoken, data, self._long_counts(shown))
         token_of, follows, longest = self.reachable.get, self.follows.get, self.longest
         before_it, last, counts = self._row
         # Two texts with a common beginning have the same table up to its end.
@@ -76,6 +116,10 @@ class PrefixCounter:
             else:
                 raise ValueError(f"no token ends at byte {end} of {pretoken!r}")
         self._row = (shown, last, counts)
+        return self._by_character(pretoken, data, counts)
+
+    @staticmethod
+    def _by_character(pretoken: str, data: bytes, counts: list[int]) -> bytes | tuple[int, ...]:
         if len(data) == len(pretoken):
             found = counts[1:]
         else:
@@ -92,11 +136,14 @@ class PrefixCounter:
         """Tokens of the first 1, 2, ... characters of a pre-token."""
         found = self.new.get(pretoken)
         if found is None:
+            if len(pretoken) > CACHED_LENGTH:
+                if self._long[0] != pretoken:
+                    self._long = (pretoken, self._counts(pretoken))
+                return self._long[1]
             found = self.old.get(pretoken) or self._counts(pretoken)
-            if len(pretoken) <= CACHED_LENGTH:
-                if len(self.new) >= self.kept:
-                    self.old, self.new = self.new, {}
-                self.new[pretoken] = found
+            if len(self.new) >= self.kept:
+                self.old, self.new = self.new, {}
+            self.new[pretoken] = found
         return found
 
     def _split(self, text: str) -> list[str]:
@@ -137,9 +184,12 @@ class PrefixCounter:
                 over, limit = k, float("inf")
         if over is None:
             return n, len(text)
-        while over + 1 < len(pretokens) and pretokens[over + 1].isspace():
-            over += 1
-        head = pretokens[:over + 1]
+        end = over + 1
+        while end < len(pretokens) and pretokens[end].isspace():
+            end += 1
+        head = pretokens[:end]
+        if end < len(pretokens) and pretokens[end][0] in WHITE:
+            head.append(pretokens[end][0])  # a run's last blank stands with the word after it
         return n, PrefixTable(self, text[:sum(map(len, head))], head).characters_within(budget)
 
 
@@ -151,6 +201,8 @@ class PrefixTable:
         self.pretokens = counter.pretokens(text) if head is None else head
         self.starts = [0, *accumulate(map(len, self.pretokens))]
         self.before = [0, *accumulate(map(counter.total, self.pretokens))]
+        self._run: tuple[int, int, int, bytes | tuple[int, ...]] = (0, 0, 0, b"")  # the last white-space run looked at
+        self._own: tuple[int, bytes | tuple[int, ...]] = (-1, b"")  # the last pre-token looked at
 
     @property
     def n_tokens(self) -> int:
@@ -172,6 +224,22 @@ class PrefixTable:
             k -= 1
         return k
 
+    def _within_run(self, i: int) -> int | None:
+        """Tokens of the first ``i`` characters, the last of which is white space: its run up to there is a pre-token of its own."""
+        start, end, before, counts = self._run
+        if not start < i <= end:
+            text, start, end = self.text, i - 1, i
+            while start and text[start - 1] in WHITE:
+                start -= 1
+            while end < len(text) and text[end] in WHITE:
+                end += 1
+            k = bisect_left(self.starts, start)
+            if self.starts[k] != start:
+                return None
+            before, counts = self.before[k], self.counter.counts(text[start:end])
+            self._run = (start, end, before, counts)
+        return before + counts[i - start - 1]
+
     def count(self, i: int) -> int:
         """Tokens of the first ``i`` characters."""
         if i <= 0:
@@ -180,8 +248,14 @@ class PrefixTable:
             return self.n_tokens
         k = bisect_right(self.starts, i - 1) - 1
         pretoken, tail = self.pretokens[k], i - self.starts[k]
-        if not pretoken[:tail].isspace() and pretoken[0] != "'" and pretoken not in self.counter.vocabulary.specials:
-            return self.before[k] + self.counter.counts(pretoken)[tail - 1]
+        if pretoken not in self.counter.vocabulary.specials:
+            if self.text[i - 1] in WHITE:
+                if (found := self._within_run(i)) is not None:
+                    return found
+            elif pretoken not in CONTRACTIONS and not (tail == 1 and pretoken[0].isspace()):
+                if self._own[0] != k:
+                    self._own = (k, self.counter.counts(pretoken))
+                return self.before[k] + self._own[1][tail - 1]
         k = self._safe(i)
         return self.before[k] + sum(map(self.counter.total, self.counter.pretokens(self.text[self.starts[k]:i])))
 
@@ -194,7 +268,10 @@ class PrefixTable:
         end = k + 1
         while end < len(self.pretokens) and self.pretokens[end].isspace():
             end += 1
-        for i in range(self.starts[min(end, len(self.pretokens))], self.starts[k], -1):
+        last = self.starts[min(end, len(self.pretokens))]
+        if end < len(self.pretokens) and self.pretokens[end][0] in WHITE:
+            last += 1
+        for i in range(last, self.starts[k], -1):
             if self.count(i) <= budget:
                 return i
         return self.starts[k]

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import llm_cases as cases
@@ -37,6 +38,25 @@ def test_count_at_every_prefix(text):
         assert table.fits(budget) == (want[-1] <= budget)
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "\n", "中", "ab1", "'", "=", "\x1c", "é", "\u2003 "])
+def test_long_texts_are_cut_in_time(unit):
+    """200 000 characters without a boundary: a few seconds at most, as the library counts at prefixes here and there."""
+    text = f"start {unit * (200_000 // len(unit))} end"
+    COUNTER.count("x" * 500)  # the automaton is made once for a worker
+    begun = time.process_time()
+    n, fits = COUNTER.count_and_cut(text, 512)
+    table = token_counts.PrefixTable(COUNTER, text)
+    within = {budget: table.characters_within(budget) for budget in (0, 1, 2, 511, 512, n // 2, n - 1)}
+    assert time.process_time() - begun < 15
+    assert (n, fits) == (len(library_ids(text)), within[512])
+    for budget, i in within.items():
+        assert len(library_ids(text[:i])) <= budget
+        for j in (i + 1, i + 2, i + 17):
+            assert len(library_ids(text[:j])) > budget
+    for i in random.Random(1).sample(range(len(text)), 4):
+        assert table.count(i) == len(library_ids(text[:i]))
+
+
 def test_learning_in_any_order_gives_the_same_counts():
     words = [cases.prose(i, 40) for i in range(5)]
     one, two = (token_counts.PrefixCounter(bpe.load(BYTE_BPE)) for _ in range(2))
