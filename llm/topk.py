@@ -1,12 +1,16 @@
 """Operator 5: exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are grouped by length into buckets (each spans a fixed ratio of lengths), a bucket of any size is divided into blocks of at most
-about ``BLOCK`` rows, sorted by length. Queries, in blocks of their own, first meet the longest vectors, which gives every query a
-lower bound of its k-th best score. With it, whole buckets drop out: a product is at most the product of the lengths.
-In a bucket that stays, the bound gives each query a local cosine threshold; a low one prunes by length (a prefix of the
-block), a high one by coordinate (the query's largest coordinate confines that of a vector within the threshold's angle).
-What remains is verified by exact integer products. Bounds are loosened by more than the rounding error of the doubles they
-are worked out in, so pruning never loses a result.
+Vectors are grouped by length into buckets (each spans a fixed ratio of lengths), a bucket by its vectors' largest coordinate, and what
+is left is divided into blocks of at most about ``BLOCK`` rows, sorted by length. Queries, in blocks of their own, first meet a bounded number
+of the longest vectors (``k + 1`` blocks at most), which gives every query a lower bound of its k-th best score. With it, whole buckets drop out:
+a product is at most the product of the lengths. In a bucket that stays, the bound gives each query a local cosine threshold. A block whose
+directions, coordinate by coordinate, lie in ranges that the query cannot meet at that cosine drops out as a whole, which is what
+divides vectors of equal length; of the others a low threshold prunes by length (a prefix of the block), a high one by
+coordinate (the query's largest coordinate confines that of a vector within the threshold's angle). What remains is verified by exact
+integer products. Bounds are loosened by more than the rounding error of the doubles they are worked out in, so pruning never loses a result.
+
+Joins are on the name of a block or of a query block, never on the dimension alone, which all vectors may share: what goes with a dimension
+is repeated for a fixed number of shares, and the query blocks are dealt to these.
 
 Components become floor(scale * x). A vector that is null, empty or holds a null or non-finite component takes no part, nor does one with
 a null id or with a floored component that does not fit a long; zero vectors do. Products that may not fit a long are worked
@@ -32,7 +36,8 @@ from tidesift.operators.staging import stage
 
 from llm.common import column, packed, unpacked
 
-K, SCALE, RATIO, BLOCK, QUERY_BLOCK = 5, 256.0, 1.1, 4096, 512
+K, SCALE, RATIO, BLOCK, QUERY_BLOCK = 5, 256.0, 1.1, 2048, 256
+SHARES = 32  # query blocks of one dimension are dealt to so many tasks
 HIGH_COSINE = 0.5  # thresholds from here on prune by coordinate
 SLACK = 1e-9
 LONG = 1 << 63
@@ -66,19 +71,22 @@ def _prepared(vectors: DataFrame, is_query: Column, scale: float, ratio: float,
             parts = np.split(flat, np.cumsum(dims)[:-1]) if len(dims) else []
             length = np.array([math.sqrt(float(np.dot(p.astype(float), p.astype(float)))) for p in parts])
             bucket = np.where(length > 0, np.ceil(np.log(np.maximum(length, 1)) / math.log(ratio)), -1)
+            focus = [2 * (i := int(np.abs(p.astype(float)).argmax())) + int(p[i] < 0) for p in parts]
             chosen = pa.array(places)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(places))), column(batch, "vec_id").take(chosen), column(batch, "is_query").take(chosen),
                  pa.array(dims, pa.int64()), pa.array(length, pa.float64()), pa.array(bucket, pa.int64()),
-                 pa.array([packed(p) for p in parts], pa.binary())],
-                ["row", "vec_id", "is_query", "dim", "length", "bucket", "components"])
+                 pa.array(focus, pa.int64()), pa.array([packed(p) for p in parts], pa.binary())],
+                ["row", "vec_id", "is_query", "dim", "length", "bucket", "focus", "components"])
             row += len(places)
 
     return read.mapInArrow(prepare, "row bigint, vec_id bigint, is_query boolean, dim bigint, length double, bucket bigint, "
-                                    "components binary")
+                                    "focus bigint, components binary")
 
 
-_BLOCK_SCHEMA = "dim bigint, bucket bigint, part bigint, most double, `rows` binary, ids binary, lengths binary, matrix binary"
+_NAME = ["dim", "bucket", "focus", "part"]
+_BLOCK_SCHEMA = ("dim bigint, bucket bigint, focus bigint, part bigint, most double, `n` bigint, `rows` binary, ids binary, lengths binary, "
+                 "matrix binary")
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
@@ -86,10 +94,10 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     length = table["length"].to_numpy()
     order = np.lexsort((table["row"].to_numpy(), -length))
     parts = table["components"].to_pylist()
-    cells = [*key, pa.scalar(float(length.max())), *(pa.scalar(packed(v), pa.binary()) for v in (
+    cells = [*key, pa.scalar(float(length.max())), pa.scalar(len(length), pa.int64()), *(pa.scalar(packed(v), pa.binary()) for v in (
         table["row"].to_numpy()[order], table["vec_id"].to_numpy()[order], length[order]))]
     cells.append(pa.scalar(b"".join(parts[i] for i in order), pa.binary()))
-    return pa.table([pa.array([c.as_py()], c.type) for c in cells], ["dim", "bucket", "part", "most", "rows", "ids", "lengths", "matrix"])
+    return pa.table([pa.array([c.as_py()], c.type) for c in cells], [*_NAME, "most", "n", "rows", "ids", "lengths", "matrix"])
 
 
 class Block:
@@ -97,6 +105,21 @@ class Block:
         self.rows, self.ids, self.lengths = unpacked(rows, np.int64), unpacked(ids, np.int64), unpacked(lengths, np.float64)
         self.matrix = unpacked(matrix, np.int64).reshape(len(self.rows), dim)
 
+    def directions(self) -> np.ndarray:
+        return self.matrix / np.maximum(self.lengths, 1e-300)[:, None]
+
+
+def candidates(block: Block, queries: Block, bounds: np.ndarray) -> np.ndarray:
+    """Places of the queries that a vector of the block can still matter to, by lengths and by the ranges of its directions."""
+    most = float(block.lengths[0])
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        cosine = np.where(queries.lengths * most > 0, bounds / (queries.lengths * most), np.where(bounds <= 0, -np.inf, np.inf))
+    # A bound below 0 says nothing: a short vector's product may be nearer to 0 than the longest one's.
+    cosine = np.where(cosine > 0, cosine - SLACK * (1 + np.abs(cosine)), -np.inf)
+    ours, theirs = block.directions(), queries.directions()
+    highest = np.maximum(theirs, 0) @ ours.max(axis=0) + np.minimum(theirs, 0) @ ours.min(axis=0)
+    return np.flatnonzero(np.minimum(highest + SLACK * (1 + np.abs(highest)), 1 + SLACK) >= cosine)
+
 
 def remaining(block: Block, query: np.ndarray, length: float, bound: float) -> np.ndarray:
     """Places in the block whose product with the query can reach the bound."""
@@ -146,14 +169,12 @@ def best_of_block(block: Block, row: int, query: np.ndarray, length: float, boun
     return block.ids[places[order]], block.rows[places[order]], scores[order], beyond[order]
 
 
-def _blocks(rows: DataFrame, size: int, by_bucket: bool) -> DataFrame:
-    """Rows in blocks of about ``size``; a bucket with many rows gets as many parts as it needs."""
-    keys = ["dim", "bucket"] if by_bucket else ["dim"]
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows in blocks of about ``size``; what has many rows gets as many parts as it needs."""
+    keys = _NAME[:3]
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("parts"))
     divided = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
-    if not by_bucket:
-        divided = divided.withColumn("bucket", F.lit(0).cast("bigint"))
-    return divided.groupBy("dim", "bucket", "part").applyInArrow(_block, _BLOCK_SCHEMA)
+    return divided.groupBy(*_NAME).applyInArrow(_block, _BLOCK_SCHEMA)
 
 
 _PAIR = ["dim", "q_part", "q_rows", "q_ids", "q_lengths", "q_matrix", "q_bounds", "rows", "ids", "lengths", "matrix"]
@@ -168,19 +189,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block, Blo
             yield pair, queries, block, bounds
 
 
+def _dealt(queries: DataFrame, by_dimension: DataFrame) -> DataFrame:
+    """Query blocks with the rows of their dimension, joined in ``SHARES`` shares of the query blocks."""
+    share = F.pmod(F.xxhash64("q_part"), F.lit(SHARES)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    return queries.withColumn("share", share).join(by_dimension.withColumn("share", every), ["dim", "share"]).drop("share")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, ratio: float = RATIO, block: int = BLOCK,
           query_block: int = QUERY_BLOCK, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's ``k`` highest products with all other rows."""
     rows = stage(_prepared(vectors, is_query, scale, ratio, id_column, vector_column), "vectors")
-    blocks = stage(_blocks(rows, block, by_bucket=True), "blocks")
-    queries = stage(_blocks(rows.where("is_query"), query_block, by_bucket=False).select(
-        "dim", *[F.col(c).alias(f"q_{c}") for c in ("part", "rows", "ids", "lengths", "matrix")]), "query-blocks")
-
-    # The longest vectors of each dimension: the fewest buckets, from the top, with more than k rows.
-    sizes = rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("longer", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("longer") <= k)
-    seeds = blocks.join(first.select("dim", "bucket"), ["dim", "bucket"])
+    blocks = stage(_blocks(rows, block), "blocks")
+    # Queries are few: their blocks are filled whatever their lengths and directions.
+    asked = rows.where("is_query").withColumns({c: F.lit(0).cast("bigint") for c in ("bucket", "focus")})
+    queries = stage(_blocks(asked, query_block).select("dim", *[F.col(c).alias(f"q_{c}") for c in ("part", "rows", "ids", "lengths", "matrix")]),
+                    "query-blocks")
+
+    # The longest vectors of each dimension: the fewest blocks, from the top, with more than k rows; k + 1 blocks have them.
+    names = blocks.select(*_NAME, "most", "n")
+    from_top = Window.partitionBy("dim").orderBy(F.desc("bucket"), "focus", "part")
+    top = names.withColumn("place", F.row_number().over(from_top)).where(F.col("place") <= k + 1)
+    longer = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = blocks.join(top.withColumn("longer", longer).where(F.col("longer") <= k).select(*_NAME), _NAME)
 
     def bounds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pair, q, b, _ in _pairs(batches):
@@ -197,7 +228,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
         return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([packed(bounds)], pa.binary())],
                         ["dim", "q_part", "q_bounds"])
 
-    met = seeds.join(queries.withColumn("q_bounds", F.lit(None).cast("binary")), "dim").select(*_PAIR)
+    met = _dealt(queries.withColumn("q_bounds", F.lit(None).cast("binary")), seeds).select(*_PAIR)
     bounds = (met.mapInArrow(bounds_of, "dim bigint, q_part bigint, found binary").groupBy("dim", "q_part")
               .applyInArrow(combined, "dim bigint, q_part bigint, q_bounds binary"))
     bounded = queries.join(bounds, ["dim", "q_part"], "left")
@@ -215,20 +246,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
 
     limited = stage(bounded.mapInArrow(reach, T.StructType([*bounded.schema.fields, T.StructField("least", T.DoubleType())])), "bounded-queries")
 
-    # A query block goes to the candidate blocks whose longest vector it can need: an equi-join on the block's name.
-    names = blocks.select("dim", "bucket", "part", "most")
-    needed = limited.select("dim", "q_part", "least").join(names, "dim").where("most >= least").select("dim", "bucket", "part", "q_part")
+    # A query block goes to the candidate blocks whose longest vector it can need. The smaller side, the queries, is what travels with
+    # each pair of names; a block travels once.
+    needed = _dealt(limited.select("dim", "q_part", "least"), names).where("most >= least").select(*_NAME, "q_part")
+    pairs = needed.join(limited.drop("least"), ["dim", "q_part"]).join(blocks, _NAME).select(*_PAIR)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, q, b, bound in _pairs(batches):
-            found = [best_of_block(b, q.rows[i], query, q.lengths[i], bound[i], k) for i, query in enumerate(q.matrix)]
+            alive = candidates(b, q, bound)
+            if not len(alive):
+                continue
+            found = [best_of_block(b, q.rows[i], q.matrix[i], q.lengths[i], bound[i], k) for i in alive]
             sizes_ = [len(f[0]) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q.rows, sizes_)), pa.array(np.repeat(q.ids, sizes_)),
+                [pa.array(np.repeat(q.rows[alive], sizes_)), pa.array(np.repeat(q.ids[alive], sizes_)),
                  *(pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in range(4))],
                 ["query_row", "query_id", "vec_id", "row", "score", "beyond"])
 
-    pairs = needed.join(blocks, ["dim", "bucket", "part"]).join(limited.drop("least"), ["dim", "q_part"]).select(*_PAIR)
     found = pairs.mapInArrow(best, "query_row bigint, query_id bigint, vec_id bigint, `row` bigint, score bigint, beyond bigint")
     order = Window.partitionBy("query_row").orderBy(F.desc("beyond"), F.desc("score"), "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -125,6 +125,39 @@ def test_a_score_beyond_a_long_is_an_error(spark):
         topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], VECTOR), F.col("vec_id") % 50 == 0).collect()
 
 
+def test_vectors_of_one_length_are_not_all_multiplied(spark):
+    """Unit vectors around a few directions, all of one bucket: products stay far below queries times vectors."""
+    draw = np.random.default_rng(3)
+    middles = draw.normal(size=(12, 32))
+    x = np.concatenate([m + draw.normal(size=(100, 32)) * 0.25 for m in middles])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(draw.permutation(x))]
+    made = []
+    matrix = np.floor(np.array([v for _, v in rows]) * 256).astype(np.int64)
+    lengths = np.sqrt((matrix.astype(float) ** 2).sum(axis=1))
+    focus = 2 * np.abs(matrix).argmax(axis=1) + (matrix[np.arange(len(matrix)), np.abs(matrix).argmax(axis=1)] < 0)
+    queries = np.arange(0, len(rows), 50)
+    asked = topk.Block(32, queries.tobytes(), queries.tobytes(), lengths[queries].tobytes(), matrix[queries].tobytes())
+    scores = matrix[queries] @ matrix.T
+    scores[np.arange(len(queries)), queries] = -(1 << 40)
+    bounds = np.sort(scores, axis=1)[:, -5].astype(float)
+    for f in np.unique(focus):
+        own = np.flatnonzero(focus == f)
+        own = own[np.argsort(-lengths[own])]
+        block = topk.Block(32, own.tobytes(), own.tobytes(), lengths[own].tobytes(), matrix[own].tobytes())
+        alive = topk.candidates(block, asked, bounds)
+        reached = np.flatnonzero((scores[:, own] >= bounds[:, None]).any(axis=1))
+        assert set(reached.tolist()) <= set(alive.tolist())  # no query that the block matters to drops out
+        for i in alive:
+            places = topk.remaining(block, asked.matrix[i], asked.lengths[i], bounds[i])
+            made.append(len(places))
+            assert set(np.flatnonzero(scores[i, own] >= bounds[i]).tolist()) <= set(places.tolist())
+            assert topk.products(block, places, asked.matrix[i], asked.lengths[i])[0].tolist() == (matrix[own[places]] @ matrix[queries[i]]).tolist()
+    assert sum(made) < len(queries) * len(rows) / 3
+    found = topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], VECTOR).repartition(3), F.col("vec_id") % 50 == 0)
+    assert cases.table_of(found) == sorted(plain_top(rows), key=repr)
+
+
 def test_both_ways_of_pruning_leave_what_can_reach_the_bound():
     draw = np.random.default_rng(0)
     matrix = np.floor(draw.normal(size=(500, 6)) * 256).astype(np.int64)
