@@ -94,7 +94,7 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     length = table["length"].to_numpy()
     order = np.lexsort((table["row"].to_numpy(), -length))
     parts = table["components"].to_pylist()
-    cells = [*key, pa.scalar(float(length.max())), pa.scalar(len(length), pa.int64()), *(pa.scalar(packed(v), pa.binary()) for v in (
+    cells = [*(pa.scalar(int(c), pa.int64()) for c in key[0].as_py().split()), pa.scalar(float(length.max())), pa.scalar(len(length), pa.int64()), *(pa.scalar(packed(v), pa.binary()) for v in (
         table["row"].to_numpy()[order], table["vec_id"].to_numpy()[order], length[order]))]
     cells.append(pa.scalar(b"".join(parts[i] for i in order), pa.binary()))
     return pa.table([pa.array([c.as_py()], c.type) for c in cells], [*_NAME, "most", "n", "rows", "ids", "lengths", "matrix"])
@@ -174,7 +174,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     keys = _NAME[:3]
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("parts"))
     divided = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
-    return divided.groupBy(*_NAME).applyInArrow(_block, _BLOCK_SCHEMA)
+    # One text as the key: the shuffle of the join above must not do for the parts of a bucket as well.
+    named = divided.withColumn("name", F.concat_ws(" ", *[F.col(c).cast("string") for c in _NAME]))
+    return named.groupBy("name").applyInArrow(_block, _BLOCK_SCHEMA)
 
 
 _PAIR = ["dim", "q_part", "q_rows", "q_ids", "q_lengths", "q_matrix", "q_bounds", "rows", "ids", "lengths", "matrix"]
