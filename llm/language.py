@@ -2,20 +2,23 @@
 
 A model predicts each letter of a word, and its end, from up to ``ORDER - 1`` letters before it in the word. Sorted arrays of n-gram hashes
 hold, for a block of languages, the discounted probabilities, and others each context's weight for the shorter context; their
-size grows with the number of languages, not with its square. A text's cross-entropy under a language is the mean over its letters; the lowest wins. Its probability comes
-from a softmax whose scale is fitted on documents kept back from the counts, and a text whose cross-entropy lies above what
-nearly all kept-back documents of its language have is marked as rejected.
+size grows with the number of languages, not with its square. A text's cross-entropy under a language is the mean over its letters; the lowest
+wins. Its probability comes from a softmax whose scale is fitted on documents kept back from the counts. A text is marked as rejected if its
+cross-entropy lies above its language's threshold, the one that best parts the kept-back documents of the language from those of other
+languages that would be taken for it if their own were not known.
 
-Fitted on a bounded sample: about ``SAMPLE_PER_LANGUAGE`` documents of each of at most ``MOST_LANGUAGES`` languages with at least
-``LEAST_DOCUMENTS``, chosen by a hash of the id; a model therefore has a bounded size, whatever the table's. All rows are
-predicted.
+Fitted on a bounded sample of each language, whatever the table's size: about ``SAMPLE_PER_LANGUAGE`` documents, chosen by a hash of the id,
+and of these whole ones until they have ``SAMPLE_CHARACTERS`` characters. Every language that occurs is learned; one in
+``KEPT_BACK`` documents is kept back from the counts where a language has at least ``LEAST_TO_KEEP_BACK``. All rows are predicted.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null language or id are not learned from. If no language
-can be learned, every text is ``und``. Repeated rows each get their row; columns beside the named ones are not read.
+can be learned, every text is ``und``. Repeated rows each get their row; an empty table gives no rows; columns beside the named ones are not
+read. A very long text is split into words once, and costs of words are looked up, so it takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,14 +29,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tidesift.operators.staging import stage
 
 from llm.common import byte_texts, column, fold_of, mixed
 
 ORDER = 5
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, LEAST_DOCUMENTS = 300, 200, 3
-KEPT_BACK = 5  # one document of so many calibrates
-ACCEPTED = 0.995  # share of kept-back documents that a language's threshold accepts
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARACTERS = 300, 4_000_000
+KEPT_BACK, LEAST_TO_KEEP_BACK = 5, 10  # one document of so many calibrates, in languages with so many
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 BLOCK_OF_LANGUAGES = 8
 KNOWN_COSTS = 4_000_000  # numbers a worker keeps: costs of words times languages
@@ -198,20 +201,21 @@ def _some(texts: list, step: int = 64) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, len(texts), step))
 
 
-def fit(documents: DataFrame, learn: Column | None = None, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Models | None:
+def fit(documents: DataFrame, learn: Column | None = None, sample_per_language: int = SAMPLE_PER_LANGUAGE,
+        sample_characters: int = SAMPLE_CHARACTERS) -> Models | None:
     """Models from ``documents`` (doc_id, text, lang); ``learn`` restricts the rows."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(
         "doc_id is not null and text is not null and lang is not null")
     rows = rows if learn is None else rows.where(learn)
-    sizes = rows.groupBy("lang").count().where(F.col("count") >= LEAST_DOCUMENTS).orderBy(
-        F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_per_language / r["count"]))])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(F.col("lang").isin([r["lang"] for r in sizes]) & (place < share[F.col("lang")]))
-    sample = stage(drawn.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(KEPT_BACK)) == 0).alias("kept_back")),
-                   "languages")
+    drawn = rows.join(sizes, "lang").where(place * F.col("n") < sample_per_language).withColumn("place", place)
+    # Of the drawn documents, which are few for each language, those before which the characters are not reached yet.
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0))
+    kept_back = (F.col("n") >= LEAST_TO_KEEP_BACK) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(KEPT_BACK)) == 0)
+    sample = stage(drawn.withColumn("before", before).where(F.col("before") < sample_characters).select(
+        "lang", "text", kept_back.alias("kept_back")), "languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,6 +243,17 @@ def fit(documents: DataFrame, learn: Column | None = None, sample_per_language:
     return _calibrated(models, known)
 
 
+def _parting(own: np.ndarray, foreign: np.ndarray) -> float:
+    """The bound up to which the share of own values less that of foreign ones is highest; in the middle of the gap above it."""
+    if not len(own) or not len(foreign):
+        return math.inf
+    values = np.unique(np.concatenate([own, foreign]))
+    gain = (np.searchsorted(np.sort(own), values, side="right") / len(own)
+            - np.searchsorted(np.sort(foreign), values, side="right") / len(foreign))
+    best = int(np.flatnonzero(gain == gain.max())[-1])
+    return float(values[best:best + 2].mean())
+
+
 def _calibrated(models: Models, known: pd.DataFrame) -> Models:
     """Scale of the softmax and accepted cross-entropies from kept-back documents."""
     totals = np.array(known["totals"].tolist()).reshape(len(known), len(models.languages) + 1)
@@ -254,9 +269,11 @@ def _calibrated(models: Models, known: pd.DataFrame) -> Models:
         logits = -scale * (entropy - entropy.min(axis=1, keepdims=True))
         return float(np.mean(np.log2(np.exp2(logits).sum(axis=1)) - logits[np.arange(len(truth)), truth]))
 
+    others = entropy.copy()
+    others[np.arange(len(truth)), truth] = np.inf
+    taken_for = others.argmin(axis=1)  # what a text would be if its own language were not known
     for i in range(len(models.languages)):
-        if (truth == i).any():
-            highest[i] = np.quantile(entropy[truth == i, i], ACCEPTED) + 0.5
+        highest[i] = _parting(entropy[truth == i, i], entropy[(truth != i) & (taken_for == i), i])
     return Models(**{**models.__dict__, "scale": min(SCALES, key=loss), "highest": highest})
 
 

@@ -7,10 +7,13 @@ holds both; of overlapping matches the leftmost longest counts, so an exception
 The weights of a text's matches, as a sum and normalised by its length, go through a logistic curve to a score from 0 to 1.
 
 The lexicon is fitted on a bounded sample: at most ``SAMPLE_PER_CLASS`` labelled documents of each label, those with the
-smallest hash of their id; classes are weighted back to their real sizes. Everything else covers all rows.
+smallest hash of their id; classes are weighted back to their real sizes. Everything else covers all rows. The lexicon has no limit of its own:
+what comes to the driver are the patterns of ``LEAST_DOCUMENTS`` documents of the sample or more that tell the labels apart, a beginning only
+if it occurs in other documents than what it begins. A text is folded and matched in one pass, so a very long one takes time in
+proportion to its length.
 
 Null, empty and wordless texts have no match and get the score of a text without matches. Null labels are not learned
-from; with one class or none the lexicon is empty and every score 0. A null id is never held out. Repeated rows each get their row;
+from; with one class or none the lexicon is empty and every score 0. An empty table gives no rows. A null id is never held out. Repeated rows each get their row;
 columns beside the named ones are not read, so clashing names are harmless.
 """
 
@@ -33,7 +36,6 @@ from tidesift.operators.staging import stage
 from llm.common import byte_texts, column, fold_of
 
 SAMPLE_PER_CLASS = 6000
-LEXICON_SIZE = 2000
 SHORTEST, LONGEST = 3, 8  # characters of a word beginning
 LEAST_DOCUMENTS, LEAST_Z, LEAST_WEIGHT = 3, 2.9, 3.0  # a weight of 3: twenty times as frequent in toxic documents
 THRESHOLD = 0.3
@@ -150,6 +152,13 @@ def _log_odds(toxic, harmless, n_toxic: int, n_harmless: int, log, sqrt):
     return weight, weight / sqrt(1 / toxic + 1 / harmless)
 
 
+def _beginnings(items: DataFrame) -> DataFrame:
+    """The beginnings of items, each with the counts of its item: one that has the same is in the same documents."""
+    longest = F.least(F.length("item") - 1, F.lit(1 + LONGEST))
+    begun = F.transform(F.sequence(F.lit(1 + SHORTEST), longest), lambda k: F.substring("item", F.lit(1), k))
+    return items.where(longest > SHORTEST).select(F.explode(begun).alias("item"), "toxic", "harmless").distinct()
+
+
 def _choose(candidates: list[tuple[str, int, int]], n_toxic: int, n_harmless: int) -> dict[str, float]:
     """Entries of (pattern, toxic, harmless documents): the surest first and of equally sure ones the longest.
 
@@ -211,18 +220,15 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sa
         return Lexicon()
     n_toxic, n_harmless = drawn_sizes[1], drawn_sizes[0]
     weight, z = _log_odds(F.col("toxic"), F.col("harmless"), n_toxic, n_harmless, F.log, F.sqrt)
-    best = (_counted(sample, terms).where(F.col("toxic") >= LEAST_DOCUMENTS)
-            .select("item", "toxic", "harmless", weight.alias("weight"), z.alias("z"))
-            .where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT))
-            .orderBy(F.desc("z"), F.desc(F.length("item")), "item").limit(LEXICON_SIZE).collect())
+    telling = stage(_counted(sample, terms).where(F.col("toxic") >= LEAST_DOCUMENTS).where((z >= LEAST_Z) & (weight >= LEAST_WEIGHT)), "telling")
+    best = telling.join(_beginnings(telling), ["item", "toxic", "harmless"], "left_anti").collect()
     lexicon = Lexicon(_choose([(r["item"], r["toxic"], r["harmless"]) for r in best], n_toxic, n_harmless))
     matcher = lexicon.matcher()
     if matcher is None:
         return Lexicon()
     matched = _counted(sample, lambda words: phrases(words, matcher))
-    harmless = (matched.where((F.col("harmless") >= LEAST_DOCUMENTS) & (F.col("toxic") == 0))
-                .orderBy(F.desc("harmless"), "item").limit(LEXICON_SIZE).collect())
-    lexicon = Lexicon(lexicon.entries, tuple(r["item"] for r in harmless))
+    harmless = matched.where((F.col("harmless") >= LEAST_DOCUMENTS) & (F.col("toxic") == 0)).select("item").collect()
+    lexicon = Lexicon(lexicon.entries, tuple(sorted(r["item"] for r in harmless)))
     known = _features(sample, lexicon, ["toxic"]).toPandas()
     y = known["toxic"].to_numpy(float)
     weights = np.array([sizes[int(t)] / drawn_sizes[int(t)] for t in y])

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import llm_cases as cases
@@ -202,6 +203,86 @@ def test_awkward_rows_and_unknown_texts(spark):
     assert language.predict(cases.empty(spark), models).count() == 0
 
 
+def plain_kneser_ney(words):
+    """(counts by order, discounts) of one language's words, and a function that gives the bits of a word."""
+    n_max, edge = language.ORDER, "\x01"
+    counts = [None] + [{} for _ in range(n_max)]
+    for word, times in words.items():
+        text = edge * (n_max - 1) + word + edge
+        for at in range(n_max - 1, len(text)):
+            gram = text[at - n_max + 1:at + 1]
+            counts[n_max][gram] = counts[n_max].get(gram, 0) + times
+    for n in range(n_max - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] = counts[n].get(gram[1:], 0) + 1
+    discounts = [None]
+    for n in range(1, n_max + 1):
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discounts.append(ones / (ones + 2 * twos) if ones else 0.5)
+
+    def probability(context, letter, n, uniform):
+        if n == 0:
+            return uniform
+        context = context[len(context) - (n - 1):]
+        seen = {g: c for g, c in counts[n].items() if g[:-1] == context}
+        shorter = probability(context, letter, n - 1, uniform)
+        if not seen:
+            return shorter
+        total = sum(seen.values())
+        return max(seen.get(context + letter, 0) - (discounts[n] if context + letter in seen else 0), 0) / total + discounts[n] * len(seen) / total * shorter
+
+    def bits(word, uniform):
+        text = edge * (n_max - 1) + word + edge
+        return -sum(math.log2(probability(text[:at], text[at], n_max, uniform)) for at in range(n_max - 1, len(text)))
+
+    return bits
+
+
+def test_models_equal_plain_kneser_ney():
+    draw = random.Random(2)
+    words = {lang: {"".join(draw.choice(letters) for _ in range(draw.randrange(1, 7))): draw.randrange(1, 9) for _ in range(40)}
+             for lang, letters in (("x", "abcd"), ("y", "abé"), ("z", "日本a"))}
+    rows = [(lang, w, n) for lang, own in words.items() for w, n in own.items()]
+    models = language.build(pd.DataFrame(rows, columns=["lang", "word", "n"]))
+    asked = [w for own in words.values() for w in list(own)[:10]] + ["", "a", "zzz", "abab", "éaé", "日", "aaaaaaaaaa"]
+    got = models.costs(asked)
+    for i, lang in enumerate("xyz"):
+        bits = plain_kneser_ney(words[lang])
+        assert got[:, i] == pytest.approx([bits(w, models.uniform) for w in asked], abs=1e-4, rel=1e-5)  # tables hold 32-bit floats
+
+
+def test_many_languages_with_few_documents(spark):
+    """All of 250 languages are learned, also those of one document."""
+    draw = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for lang in range(250):
+        letters = draw.sample(alphabet, 7)
+        for _ in range(1 if lang % 3 else 12):
+            rows.append((len(rows), " ".join("".join(draw.choices(letters, k=5)) for _ in range(60)), f"l{lang:03d}", "s", 0))
+    docs = spark.createDataFrame(rows, cases.SCHEMA).repartition(4)
+    models = language.fit(docs)
+    assert len(models.languages) == 250
+    found = language.predict(docs, models).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (found.lang == found.lang_pred).mean() > 0.95
+
+
+def test_sampled_characters_are_bounded(spark):
+    rows = [(i, f"alpha beta gamma delta {chr(97 + i % 26) * 4} " * 50, "a", "s", 0) for i in range(30)] + [(99, "eins zwei drei " * 20_000, "b", "s", 0)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    few, many = (language.fit(docs, sample_characters=n) for n in (4000, 10**9))
+    assert few.languages == many.languages == ("a", "b")
+    assert len(few.blocks[0][1].keys) < len(many.blocks[0][1].keys)
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, few).collect()}
+    assert found[99] == "b" and found[3] == "a"
+
+
+def test_thresholds_part_own_from_foreign_texts():
+    assert language._parting(np.array([1.0, 1.2]), np.array([3.0, 4.0])) == pytest.approx(2.1)
+    assert language._parting(np.array([1.0, 1.2, 9.0]), np.array([3.0, 4.0])) == pytest.approx(2.1)
+    assert language._parting(np.array([1.0]), np.array([])) == language._parting(np.array([]), np.array([1.0])) == math.inf
+
+
 def test_nothing_to_learn_from(spark):
     assert language.fit(cases.empty(spark)) is None
     assert {r.lang_pred for r in language.predict(cases.awkward(spark), None).collect()} == {"und"}
@@ -312,3 +393,73 @@ def test_blocks_of_languages_do_not_matter(monkeypatch):
     assert (len(whole.blocks), len(divided.blocks)) == (1, 3)
     words = ["abc", "q", "ccab", ""]
     assert np.allclose(whole.costs(words), divided.costs(words))
+
+
+def plain_scan(words, lexicon):
+    """Matches by trying every pattern at every place: leftmost longest, none overlapping."""
+    patterns = {**lexicon.entries, **dict.fromkeys(lexicon.exceptions, 0.0)}
+    found, at = {}, 0
+    while at < len(words):
+        here = [p for p in patterns if words.startswith(p, at)]
+        if here:
+            longest = max(here, key=len)
+            found[longest] = found.get(longest, 0) + 1
+            at += len(longest)
+        else:
+            at += 1
+    weight = sum(patterns[p] * (1 + math.log(n)) for p, n in found.items())
+    if weight <= 0:
+        return 0.0, 0.0
+    return math.log1p(weight), math.log1p(100 * weight / (len(words.split()) + 20))
+
+
+def plain_candidates(docs):
+    """(pattern, toxic, harmless documents) of all words and beginnings, by sets."""
+    seen = {}
+    for text, toxic in docs:
+        words = set(toxicity.folded(text or "").split())
+        for p in {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(3, 9) if k <= len(w)}:
+            seen.setdefault(p, [0, 0])[toxic] += 1
+    return [(p, t, h) for p, (h, t) in seen.items() if t >= toxicity.LEAST_DOCUMENTS]
+
+
+def labelled_documents():
+    draw = random.Random(11)
+    mild = [f"plain{i}word" for i in range(60)] + ["bad", "stupidly"]
+    nasty = [f"vile{''.join(draw.choices('abcdefgh', k=5))}" for _ in range(2500)]  # more than a small lexicon would hold
+    rows = []
+    for i in range(2400):
+        words = draw.choices(mild, k=40) + ["not", "bad"] * (i % 2)
+        if i % 3 == 0:
+            words += draw.sample(nasty, 8) + ["bad"]
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_lexicon_and_scores_equal_plain_ones(spark):
+    rows = labelled_documents()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    candidates = plain_candidates([(t, x) for _, t, x in rows])
+    n_toxic = sum(x for *_, x in rows)
+    assert toxicity._choose(candidates, n_toxic, len(rows) - n_toxic) == lexicon.entries
+    assert len([p for p in lexicon.entries if p.startswith(" vile")]) >= 1
+    texts = [t for _, t, _ in rows[:150]] + ["bad bad not bad", "", "B4D, vileabcde!", "vilevilevile bad", "x " * 500 + "bad"]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), lexicon).collect()
+    for r in found:
+        assert r.score == pytest.approx(toxicity.score_of(plain_scan(toxicity.folded(texts[r.doc_id]), lexicon), lexicon), abs=1e-12)
+
+
+def test_a_wide_vocabulary_is_learned_whole(spark):
+    """3000 telling words, each in three documents: none is left out."""
+    rows = [(i, " ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26 % 26)}{chr(97 + w // 676)}qz{w % 7}x" for w in range(i // 3 * 300, i // 3 * 300 + 300)), 1)
+            for i in range(30)]
+    rows += [(100 + i, "quite an ordinary text of many words " * 3, 0) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int"))
+    matcher = lexicon.matcher()
+    for _, text, _ in rows[:30:3]:
+        for word in text.split():
+            assert toxicity.features(toxicity.folded(word), matcher)[0] > 0
