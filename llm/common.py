@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def buckets_for(texts: DataFrame, per_partition: int, bytes_per_bucket: int) -> int:
+    """Shares to divide the hashes of a text column by: some for each shuffle partition, more where the texts have more bytes."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(per_partition * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_per_bucket))
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Runs of anything but \\x20 and \\x09-\\x0D, which is what ``bytes.split`` cuts at; a null text has none."""
     return text.split() if text else []

@@ -17,7 +17,8 @@ Contexts that hold more than their share of all tokens are divided by the follow
 Words are 64-bit hashes (48 bits for a pair's second word, beside the 64 of its first). Null and empty texts have one token, the end.
 A row with a null id is neither held out nor learned from. Repeated rows count as often as they occur. Without any training
 text every count is 0, base_score is that of 0 counts and score that of an unknown word throughout. Columns beside the
-named ones are not read; an empty table gives no rows.
+named ones are not read; an empty table gives no rows. A very long text is one chunk. The number of table parts follows the bytes of the
+texts, so that a part's task holds as much of a large corpus as of a small one.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tidesift.operators.staging import stage
 
-from llm.common import byte_texts, column, fold_of, mixed, packed, squeezed, unpacked, unsqueezed, word_hashes, words
+from llm.common import buckets_for, byte_texts, column, fold_of, mixed, packed, squeezed, unpacked, unsqueezed, word_hashes, words
 
 END, START = np.uint64(0x0E6D0E6D0E6D0E6D), np.uint64(0x57A7057A7057A705)
 CHUNK_WORDS = 2_000_000  # what a task holds of its texts at a time
 ROUNDS = 2  # shares of the table parts asked one after the other, so that only one share of the requests is on disk
-PARTS_PER_PARTITION = 2
+PARTS_PER_PARTITION, BYTES_PER_PART = 2, 8 << 20  # table parts by shuffle partitions, and by bytes of the texts
 CUTOFF = 5
 FOLDS = 10
 HOT_PER_PART = 64
@@ -345,8 +346,7 @@ def _added(df: DataFrame, size: int) -> np.ndarray:
 
 def score_texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = documents.sparkSession
-    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = buckets_for(documents.select(F.col(text_column).cast("string").alias("text")), PARTS_PER_PARTITION, BYTES_PER_PART)
     chunks = stage(_chunked(documents, id_column, text_column, chunk_words), "chunks")
     id_field = chunks.schema["ids"].dataType.elementType
 

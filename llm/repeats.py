@@ -14,7 +14,9 @@ Windows are told apart by 64 bits, so of n windows one is taken for repeated by
 
 Null, empty and short texts have no window and lose nothing. Windows are judged on the input; the first of equal windows
 goes like the others. An exact copy of a document of ``WINDOW`` words or more therefore leaves none of both. Repeated rows
-count as copies. Ids may be null or repeated; columns beside the named ones pass through, whatever their names.
+count as copies. Ids may be null or repeated; columns beside the named ones pass through, whatever their names. An empty table gives no
+rows. A very long text is one chunk, worked on in time in proportion to its length. The number of buckets follows the bytes of the texts, so
+that a bucket's task holds as much of a large corpus as of a small one.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tidesift.operators.staging import stage
 
-from llm.common import byte_texts, column, joined, mixed, packed, unpacked, word_hashes, words
+from llm.common import buckets_for, byte_texts, column, joined, mixed, packed, unpacked, word_hashes, words
 
 WINDOW = 35
 CHUNK_WORDS = 3_000_000
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION, BYTES_PER_BUCKET = 2, 8 << 20  # a bucket's hashes take about twice the room of its share of the texts
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE, _SEVERAL, _DIRECTORY, _ANSWER = range(4)
 _SENT = "bucket bigint, chunk bigint, kind int, a binary, b binary"
@@ -191,9 +194,8 @@ def _merge(window: int):
 def repeated_spans(documents: DataFrame, window: int = WINDOW, text_column: str = "text",
                    chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(digest, spans): for each text with repeated windows, by SHA-256, its maximal removal intervals of word places."""
-    spark = documents.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col(text_column).cast("string").alias("text"))
+    buckets = buckets_for(texts, BUCKETS_PER_PARTITION, BYTES_PER_BUCKET)
     sent = texts.mapInArrow(_chunks(window, buckets, chunk_words), _SENT)
     answered = sent.groupBy("bucket").applyInArrow(_compare, "chunk bigint, kind int, a binary, b binary")
     spans = answered.groupBy("chunk").applyInArrow(_merge(window), "digest binary, spans array<bigint>")
@@ -266,11 +268,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, text_column: str
             new = [t if t is None else without_spans(t, s).decode("utf-8", "replace") for t, s in zip(texts, spans, strict=True)]
             columns = [column(batch, n) for n in names]
             columns[names.index(text)] = pa.array(new, pa.string())
-            if length is not None:
-                old = column(batch, length)
-                lengths = [len(n) if s else o for n, s, o in zip(new, spans, old.to_pylist(), strict=True)]
-                columns[names.index(length)] = pa.array(lengths, old.type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            lengths = pa.array([len(n) if s else None for n, s in zip(new, spans, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, lengths], [*names, "new_length"])
 
     typed = plain.withColumn(text, F.col(text).cast("string"))
-    return _with_spans(typed, text, window).mapInArrow(cut, typed.schema).toDF(*documents.columns)
+    kept = _with_spans(typed, text, window).mapInArrow(cut, T.StructType([*typed.schema.fields, T.StructField("new_length", T.LongType())]))
+    if length is not None:
+        kept = kept.withColumn(length, F.coalesce(F.col("new_length").cast(typed.schema[length].dataType), F.col(length)))
+    return kept.drop("new_length").toDF(*documents.columns)

@@ -108,3 +108,12 @@ def test_planes_round_trip():
             assert katz.unsqueezed(katz.squeezed(numbers), kind).tolist() == numbers.tolist()
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 100).astype(np.uint64)
     assert katz.unshort(katz.short(hashes)).tolist() == (hashes & np.uint64((1 << 48) - 1)).tolist()
+
+
+def test_small_table_parts_give_the_same_scores(spark, monkeypatch):
+    """The number of table parts follows the bytes of the texts."""
+    docs = cases.awkward(spark)
+    whole = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in cases.table_of(katz.score_texts(docs))]
+    monkeypatch.setattr(katz, "BYTES_PER_PART", 4000)
+    again = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in cases.table_of(katz.score_texts(docs))]
+    assert sorted(again, key=repr) == sorted(whole, key=repr)

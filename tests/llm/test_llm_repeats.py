@@ -6,6 +6,7 @@ import llm_cases as cases
 import numpy as np
 import pytest
 from llm import repeats
+from pyspark.sql import functions as F
 
 
 def plain(rows, window=repeats.WINDOW):
@@ -76,3 +77,22 @@ def test_rolling_hash_depends_on_the_window_alone():
     rolled = repeats.Rolling(7)(hashes)
     again = repeats.Rolling(7)(hashes[100:150])
     assert rolled[100:144].tolist() == again.tolist() and len(set(rolled.tolist())) == 294
+
+
+def test_small_buckets_give_the_same_rows(spark, monkeypatch):
+    """The number of buckets follows the bytes of the texts."""
+    docs = cases.awkward(spark)
+    whole = cases.table_of(repeats.removal_digest(docs))
+    monkeypatch.setattr(repeats, "BYTES_PER_BUCKET", 2000)
+    assert cases.table_of(repeats.removal_digest(docs)) == whole
+
+
+def test_a_length_column_of_any_type(spark):
+    """A changed text's length is written in the column's type, where it can be; other rows keep what they had."""
+    shared = cases.prose(1, 60)
+    rows = [(1, f"{shared} alpha one", "about 9"), (2, f"{shared} beta two", None), (3, "something else", "about 14")]
+    found = {r.doc_id: (r.text, r.n_chars) for r in
+             repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars string")).collect()}
+    assert found == {1: ("alpha one", "9"), 2: ("beta two", "8"), 3: ("something else", "about 14")}
+    dated = cases.awkward(spark).withColumn("n_chars", F.lit("2024-01-01").cast("timestamp"))
+    assert repeats.remove_repeats(dated).count() == cases.awkward(spark).count()
