@@ -9,7 +9,7 @@ the half radius of each other, so they are linked as a star (verified by countin
 Only distinct fingerprints take part, so exact copies cost nothing; documents get their component back by fingerprint.
 Null and blank texts have fingerprint 0 and are linked like any other. A null id takes part but is never a component's
 name unless all ids of the component are null (then the name is null). Empty tables give empty results. Only the two named
-columns are read, so extra columns may have any name.
+columns are read, so extra columns may have any name. A very long text is hashed shingle by shingle, in time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tidesift.operators.staging import stage
 from xxhash import xxh64_intdigest
 
@@ -155,14 +156,11 @@ def near_links(distinct: DataFrame, n: int, max_distance: int = MAX_DISTANCE) ->
     return sent.groupBy("prefix").applyInArrow(meet, "low bigint, high bigint")
 
 
-def _component_of_fingerprint(marked: DataFrame, max_distance: int) -> DataFrame:
-    """(fp, component): component is the smallest id of any document whose fingerprint can be reached."""
+def _rooted(marked: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, least_id, root) of every fingerprint: those that can be reached from each other have one root, the smallest."""
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
     roots = components(near_links(distinct.select("fp"), distinct.count(), max_distance))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id", "root")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE,
@@ -170,11 +168,18 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, max_distance:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     read = documents.select(documents[id_column].alias("doc_id"), documents[text_column].alias("text"))
     marked = stage(fingerprints(read, shingle), "marked")
-    found = _component_of_fingerprint(marked, max_distance)
-    return marked.join(found, "fp").select(
+    rooted = _rooted(marked, max_distance)
+    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return marked.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
 def keep_one_per_group(documents: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE,
                        id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns as they were, with one row left of each component: that of the smallest id, null ids last.
@@ -184,10 +189,11 @@ def keep_one_per_group(documents: DataFrame, shingle: int = SHINGLE, max_distanc
     names = [f"c{i}" for i in range(len(documents.columns))]  # whatever the columns are called
     plain = documents.toDF(*names)
     doc_id, text = names[documents.columns.index(id_column)], names[documents.columns.index(text_column)]
-    row_hash = F.xxhash64(*names)
+    # Maps have no hash, but a text; alike rows have alike texts as long as their maps list the keys in one order.
+    row_hash = F.xxhash64(*[F.to_json(F.struct(n)) if _has_map(plain.schema[n].dataType) else F.col(n) for n in names])
     marked = stage(fingerprints(plain.select(F.col(doc_id).alias("doc_id"), row_hash.alias("row_hash"),
                                              F.col(text).alias("text")), shingle), "marked")
-    component = _component_of_fingerprint(marked, max_distance).select("fp", "root")
+    component = _rooted(marked, max_distance).select("fp", "root")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
     kept = stage(
         marked.groupBy("fp", "doc_id", "row_hash").agg(F.count("*").alias("copies")).join(component, "fp").groupBy("root")

@@ -127,3 +127,11 @@ def test_hash_is_sparks_xxhash64(spark):
     text = "a few words with ünïcode"
     got = spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first().h
     assert got % (1 << 64) == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_columns_with_maps_are_kept(spark):
+    rows = [(1, "some text that is here twice", {"a": 1}, [({"k": "v"},)]), (1, "some text that is here twice", {"a": 1}, [({"k": "v"},)]),
+            (2, "some text that is here twice", {"a": 2}, []), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tags map<string,int>, deep array<struct<m: map<string,string>>>")
+    kept = sorted(simhash.keep_one_per_group(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.tags) for r in kept] == [(1, {"a": 1}), (3, None)] and kept[0].deep[0].m == {"k": "v"}
