@@ -23,15 +23,33 @@ LEAST_WORDS, MOST_REPEATED, WINDOW, MOST_LOST = 10, 20, 5, 0.8
 
 # Rules of the method.
 SYMBOLS = r"[#*$%&|<>]"
-SPACES = r"[ \t-\r]+"
+SPACES, WORD = r"[ \t-\r]+", r"[^ \t-\r]+"
 END_MARK = r"[.!?:;…。！？؟।\"'”’»«)\]][ \t-\r]*$"
 # Java matches a repeated group by recursion, which a long run of separators or entries would take beyond a thread's stack. So no group
 # is repeated in the rules for Spark: a class is, and of a menu the first entry is enough.
 SEPARATORS = r"(^|[ \t-\r])[|>›»•·/→]++([ \t-\r]|$)"
-MENU = (r"(?i)^[ \t-\r]*((home|menu|login|log in|sign in|sign up|search|contact( us)?|about( us)?|next|previous|back to top|"
-        r"skip to content|share|read more|site ?map)([ \t-\r]*[|>/»•·][ \t-\r]*|[ \t-\r]*$))")
-PHRASES = (r"(?i)(all rights reserved|copyright ©|\(c\) [0-9]{4}|privacy policy|terms of (use|service)|cookie|javascript|lorem ipsum|"
-           r"licensed under|permission is hereby granted|subscribe to our|click here)")
+# Menu words and template phrases in English, German, French and Spanish. Letters with accents are given in both cases, because the two
+# engines differ in which of them they take for the same.
+_MENU_WORDS = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "search", "contact( us)?", "about( us)?", "next", "previous", "back to top",
+    "skip to content", "share", "read more", "site ?map",
+    "startseite", "anmelden", "abmelden", "registrieren", "suchen?", "kontakt", "impressum", "[üÜ]ber uns", "weiter", "zur[üÜ]ck", "nach oben",
+    "zum inhalt springen", "teilen", "weiterlesen", "mehr lesen", "[üÜ]bersicht",
+    "accueil", "connexion", "se connecter", "s'inscrire", "recherche(r)?", "nous contacter", "[àÀ] propos", "suivant", "pr[éÉ]c[éÉ]dent", "haut de page",
+    "partager", "lire la suite", "plan du site", "aller au contenu",
+    "inicio", "iniciar sesi[óÓ]n", "registrarse", "buscar", "contacto", "acerca de", "sobre nosotros", "siguiente", "anterior", "volver arriba",
+    "compartir", "leer m[áÁ]s", "mapa del sitio", "ir al contenido")
+MENU = rf"(?i)^[ \t-\r]*(({'|'.join(_MENU_WORDS)})([ \t-\r]*[|>/»•·][ \t-\r]*|[ \t-\r]*$))"
+_PHRASES = (
+    "all rights reserved", "copyright ©", r"\(c\) [0-9]{4}", "privacy policy", "terms of (use|service)", "cookie", "javascript", "lorem ipsum",
+    "licensed under", "permission is hereby granted", "subscribe to our", "click here",
+    "alle rechte vorbehalten", "datenschutzerkl[äÄ]rung", "nutzungsbedingungen", "allgemeine gesch[äÄ]ftsbedingungen", "lizenziert unter",
+    "newsletter abonnieren", "hier klicken", "klicken sie hier",
+    "tous droits r[éÉ]serv[éÉ]s", "politique de confidentialit[éÉ]", "conditions d.utilisation", "mentions l[éÉ]gales", "sous licence", "abonnez-vous",
+    "cliquez ici",
+    "todos los derechos reservados", "pol[íÍ]tica de privacidad", "t[éÉ]rminos (de uso|y condiciones)", "condiciones de uso", "aviso legal",
+    "bajo licencia", "suscr[íÍ]bete", "haga clic aqu[íÍ]")
+PHRASES = rf"(?i)({'|'.join(_PHRASES)})"
 LONGEST_BOILERPLATE = 400  # characters; a longer line is prose that mentions such a phrase
 
 
@@ -70,38 +88,49 @@ def repeated_words(words: Column) -> Column:
         let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(F.sort_array(windows(h)), counted))).cast("bigint")
 
 
+def line_state(line: Column) -> Column:
+    """(chars, fails) of a line: characters in its words, and whether it breaks a rule. Lines without words break none: they are the space
+    between paragraphs."""
+    def judged_line(s: Column) -> Column:
+        odd_punctuation = (s["signs"] * 10 > s["chars"] * 3) | ((s["words"] < 4) & ~line.rlike(END_MARK))
+        boilerplate = (F.length(line) <= LONGEST_BOILERPLATE) & line.rlike(PHRASES)
+        broken = odd_punctuation | line.rlike(MENU) | boilerplate | let(
+            count_of(line, SEPARATORS), lambda n: (n >= 2) & (n * 6 >= s["words"]))
+        return F.struct(s["chars"].alias("chars"), ((s["chars"] > 0) & broken).alias("fails"))
+
+    counts = F.struct(word_chars(line).alias("chars"), count_of(line, WORD).alias("words"),
+                      F.length(F.regexp_replace(line, r"[\p{L}\p{N} \t-\r]", "")).alias("signs"))
+    return let(counts, judged_line)
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule. Lines without words break none: they are the space between paragraphs."""
-    n_words, n_chars = F.size(words_of(line)), F.length(F.regexp_replace(line, SPACES, ""))
-    signs = F.length(F.regexp_replace(line, r"[\p{L}\p{N} \t-\r]", ""))
-    odd_punctuation = (signs * 10 > n_chars * 3) | ((n_words < 4) & ~line.rlike(END_MARK))
-    separators = count_of(line, SEPARATORS)
-    navigation = ((separators >= 2) & (separators * 6 >= n_words)) | line.rlike(MENU)
-    boilerplate = (F.length(line) <= LONGEST_BOILERPLATE) & line.rlike(PHRASES)
-    return (n_chars > 0) & (odd_punctuation | navigation | boilerplate)
+    return line_state(line)["fails"]
 
 
-def _word_chars(text: Column) -> Column:
+def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACES, "")).cast("bigint")
 
 
 def measures(text: Column) -> Column:
-    """All counts of a text as one struct; ``lost_chars`` are the characters in words of failed lines."""
+    """All counts of a text as one struct; ``lost_chars`` are the characters in words of failed lines, ``failed`` tells which lines these are."""
     def measured(words: Column) -> Column:
         return F.struct(F.size(words).cast("bigint").alias("n_words"), repeated_words(words).alias("n_repeat_words"))
 
-    def line_counts(lines: Column) -> Column:
-        filled = F.filter(lines, lambda x: x.rlike(r"[^ \t-\r]"))
-        lost = F.aggregate(F.filter(lines, line_fails), F.lit(0).cast("bigint"), lambda a, x: a + word_chars(x))
-        return F.struct(let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-                        lost.alias("lost_chars"))
+    def added(states: Column, chars: Callable[[Column], Column]) -> Column:
+        return F.aggregate(states, F.lit(0).cast("bigint"), lambda a, s: a + chars(s))
 
-    return F.struct(let(words_of(text), measured).alias("words"), let(F.split(text, "\n"), line_counts).alias("lines"),
-                    word_chars(text).alias("word_chars"), count_of(text, SYMBOLS).alias("n_symbols"))
+    def line_counts(lines: Column) -> Column:
+        def counted(states: Column) -> Column:
+            filled = F.filter(lines, lambda _, i: F.get(states, i)["chars"] > 0)
+            return F.struct(
+                let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+                added(states, lambda s: F.when(s["fails"], s["chars"]).otherwise(F.lit(0).cast("bigint"))).alias("lost_chars"),
+                added(states, lambda s: s["chars"]).alias("word_chars"), F.transform(states, lambda s: s["fails"]).alias("failed"))
 
+        return let(F.transform(lines, line_state), counted)
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SPACES, "")).cast("bigint")
+    return F.struct(let(words_of(text), measured).alias("words"), let(F.split(text, "\n"), line_counts).alias("lines"),
+                    count_of(text, SYMBOLS).alias("n_symbols"))
 
 
 def base_failed(m: Column) -> Column:
@@ -110,7 +139,7 @@ def base_failed(m: Column) -> Column:
 
 
 def kept(m: Column) -> Column:
-    return ~base_failed(m) & (m["lines"]["lost_chars"] <= m["word_chars"] * MOST_LOST)
+    return ~base_failed(m) & (m["lines"]["lost_chars"] <= m["lines"]["word_chars"] * MOST_LOST)
 
 
 def judged(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -118,7 +147,7 @@ def judged(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     m = F.col("m")
     return documents.select(F.col(id_column).alias("doc_id"), measures(text).alias("m")).select(
-        "doc_id", "m.words.n_words", "m.word_chars", "m.n_symbols", "m.lines.n_dup_lines", "m.words.n_repeat_words",
+        "doc_id", "m.words.n_words", "m.lines.word_chars", "m.n_symbols", "m.lines.n_dup_lines", "m.words.n_repeat_words",
         base_failed(m).alias("base_failed"), kept(m).alias("kept"), "m.lines.lost_chars")
 
 
@@ -131,7 +160,7 @@ def clean(documents: DataFrame, text_column: str = "text", length_column: str |
     text = names[documents.columns.index(text_column)]
     plain = documents.toDF(*names)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x)), "\n")
+    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda _, i: ~F.get("m.lines.failed", i)), "\n")
     # Out of a generator, the counts are worked out once; as a plain column, the filter would work them out again.
     verdict = plain.select(*names, F.explode(F.array(measures(whole))).alias("m")).where(kept(F.col("m")))
     changed = F.col("m.lines.lost_chars") > 0
@@ -147,18 +176,14 @@ SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
-  SELECT *, list_filter(regexp_split_to_array(text, '[ 	-
-]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS all_lines FROM docs
+  SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS all_lines FROM docs
 ), lines AS (
   SELECT rid, unnest(all_lines) AS line FROM split
 ), per_line AS (
   SELECT rid, line,
-         len(list_filter(regexp_split_to_array(line, '[ 	-
-]+'), lambda x: x <> '')) AS n_words,
-         length(regexp_replace(line, '[ 	-
-]+', '', 'g')) AS n_chars,
-         length(regexp_replace(line, '[\p{L}\p{N} 	-
-]', '', 'g')) AS signs,
+         len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> '')) AS n_words,
+         length(regexp_replace(line, '[ \t-\r]+', '', 'g')) AS n_chars,
+         length(regexp_replace(line, '[\p{L}\p{N} \t-\r]', '', 'g')) AS signs,
          len(regexp_extract_all(line, '{separators}')) AS separators
   FROM lines
 ), failed AS (
@@ -179,8 +204,7 @@ WITH docs AS (
   SELECT rid, sum(least(5, coalesce(after - i, 5)))::BIGINT AS n FROM (
     SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS after FROM twice) GROUP BY rid
 ), counted AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
-]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ \t-\r]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
          coalesce(lost_chars, 0)::BIGINT AS lost_chars

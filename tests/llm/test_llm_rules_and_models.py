@@ -2,10 +2,12 @@ import math
 import random
 import re
 
+import duckdb
 import llm_cases as cases
 import numpy as np
 import pandas as pd
 import pytest
+from compare import difference
 from llm import language, line_quality, topk, toxicity
 from llm.common import fold_of
 from pyspark.sql import functions as F
@@ -76,6 +78,19 @@ def test_documents_lose_failed_lines(spark):
     assert line_quality.clean(cases.empty(spark)).count() == 0
 
 
+def test_sql_reads_every_kind_of_white_space(spark):
+    """CRLF line ends, form feeds and vertical tabs are space on both sides; accents in both cases."""
+    rows = [(1, "one two\r\nthree four\r\n\r\nfive\x0bsix\x0cseven eight nine ten eleven.\r\n"), (2, "a\rb\r\rc\x0b\x0c"), (3, "\r\n\x0b"), (4, None),
+            (5, "ÜBER UNS\r\nDatenschutzerklÄrung gilt hier überall.\nEine ganze Zeile mit vielen Wörtern, die bleibt.\r\n" * 3),
+            (6, "x\r\nx\r\ny\nx\r\n" + "Ein Satz mit genug Wörtern steht in dieser Zeile.\r\n" * 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = line_quality.judged(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert difference(found, con, line_quality.SQL) is None
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in found.collect()}[2] == (3, 3)
+
+
 # ---- operator 5 ---------------------------------------------------------------------------------------------------
 def plain_top(rows, k=5):
     usable = [(n, i, [math.floor(256.0 * x) for x in v]) for n, (i, v) in enumerate(rows)
