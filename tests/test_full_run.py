@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 import fixture_views
 from tidesift.config import ForestConfig
+from tidesift.operators import files
+from tidesift.plans import full_run
 from tidesift.plans.full_run import run_all
 from tidesift.operators.staging import staging_root
+from tidesift.sources import csv_tables
 from tidesift.sources.csv_tables import read_csv
 from tidesift.sources.reports import read_report, write_report
 from tidesift.sources.tables import ConstraintError, read_rejected
@@ -69,11 +72,41 @@ def test_broken_constraints_stop_the_run(spark, raw_dir, tmp_path):
     assert not os.path.exists(tmp_path / "out" / "lines")
 
 
+def test_a_run_goes_on_where_it_ended(spark, raw_dir, tmp_path, monkeypatch):
+    """Ended after the load, it is repeated without a look into the raw files; a changed setting repeats what follows from it."""
+    out, read = str(tmp_path / "out"), []
+    plain = csv_tables.read_csv
+    monkeypatch.setattr(csv_tables, "read_csv", lambda spark, path, *a, **k: read.append(path) or plain(spark, path, *a, **k))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(full_run, "integrate_lines", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    raw, processed = [p for p in read if p.startswith(raw_dir)], [p for p in read if p.startswith(out)]
+    assert len(raw) == 4 and len(processed) == 4  # every raw file is parsed once
+    read.clear()
+    with monkeypatch.context() as m:
+        m.setattr(full_run, "classifier_reports", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    assert read == []
+    done = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    assert done.reused == ("clean", "load", "lines", "distortion", "retention", "model data") and read == []
+    assert done.unparsed_dates > 0 and len(done.reports) == 31
+    files.delete(spark, done.reports["RQ2_Tb1/Meta"])
+    again = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    assert again.reused == ("clean", "load", "lines", "retention", "model data", "classifier", "validation")
+
+
 def test_run_twice(spark, raw_dir, tmp_path):
     out = str(tmp_path / "out")
     first = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
     kept = {n: sorted(map(str, df.collect())) for n, df in read_report(spark, first.reports).items()}
-    second = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine")
+    second = run_all(spark, raw_dir, out, forest=SMALL, on_violation="quarantine", resume=False)
+    assert second.reused == ()
     again = {n: sorted(map(str, df.collect())) for n, df in read_report(spark, second.reports).items()}
     assert kept == again
     assert len(kept) == 31 and all(kept.values())

@@ -45,6 +45,7 @@ class ForestConfig:
     report_test_share: float = 0.20
     validation_test_share: float = 0.25
     retrain_seeds: tuple[int, ...] = (41, 42, 43, 44, 45)
+    fits_at_once: int = 5  # retrains fitted side by side; each holds its own bagged copy of the training part
     permutation_repeats: int = 5
     permutation_seed: int = 100  # plus the run number
     listed_features: int = 10

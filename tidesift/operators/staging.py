@@ -10,10 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import delete
+
 
 def staging_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temporary one."""
@@ -27,32 +30,31 @@ def staging_root(spark: SparkSession) -> str:
     return staging_root(spark)
 
 
-_open_scopes: list[list[str]] = []
+# What the enclosing blocks of this thread of control have staged; other threads have blocks of their own.
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
-    for made in _open_scopes:
+    for made in _open_scopes.get():
         made.append(path)
     return path
 
 
 @contextmanager
 def cleared_after(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables staged within the block when it ends; what is kept must have been written elsewhere by then."""
+    """Delete the tables staged within the block when it ends; what is kept must have been written elsewhere by then.
+
+    A block belongs to the thread that opened it (and to what that hands its context to), so runs side by side keep apart.
+    """
     made: list[str] = []
-    _open_scopes.append(made)
+    token = _open_scopes.set((*_open_scopes.get(), made))
     try:
         yield
     finally:
-        _open_scopes.remove(made)
+        _open_scopes.reset(token)
         for path in made:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -66,7 +68,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def unstage(staged: DataFrame) -> None:
     """Delete the table behind a frame that :func:`stage` returned, once nothing will read it again."""
-    _delete(staged.sparkSession, staged._staged_path)
+    delete(staged.sparkSession, staged._staged_path)
 
 
 def with_evaluated(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import FOREST, RULES, ForestConfig, RuleConfig
-from ..operators.cleaning import unparsed_dates
+from ..operators import files
 from ..operators.staging import cleared_after
-from ..schemas import RAW_FILES
-from ..sources.csv_tables import clean_and_write, extra_records, read_csv, read_processed
+from ..schemas import LOAD_ORDER, RAW_FILES
+from ..sources.csv_tables import Intake, clean_and_write, read_processed
 from ..sources.reports import write_report
-from ..sources.tables import load_tables
+from ..sources.tables import current_load, load_tables, read_load
+from ..steps import Steps, code_fingerprint, fingerprint
 from . import classifier, dataset, distortion, evaluation, explain, retention
 from .lines import integrate_lines
 
@@ -28,11 +29,13 @@ class RunResult:
     reports: dict[str, str] = field(default_factory=dict)
     unparsed_dates: int = 0  # header dates that fit no format
     extra_records: dict[str, int] = field(default_factory=dict)  # left out: more fields than the header
+    date_formats: tuple[str, ...] = ()  # the formats header dates were read with; none: ISO notation
+    reused: tuple[str, ...] = ()  # steps of an earlier run that did not have to be run again
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def distortion_reports(lines: DataFrame, rules: RuleConfig = RULES) -> dict[str, DataFrame]:
@@ -104,38 +107,58 @@ def validation_reports(data: DataFrame, rules: RuleConfig = RULES,
 
 
 def run_all(spark: SparkSession, raw_dir: str, out_dir: str, rules: RuleConfig = RULES, forest: ForestConfig = FOREST,
-            on_violation: str = "fail", report_format: str = "parquet", date_formats: Sequence[str] = (),
-            multi_line: bool = True) -> RunResult:
+            on_violation: str = "fail", report_format: str = "parquet", date_formats: Sequence[str] | str = (),
+            multi_line: bool = True, resume: bool = True) -> RunResult:
     """Clean, load, integrate, report. Every step overwrites its own output, so a run can simply be repeated.
 
     A missing input, a record with more fields than its header or a broken constraint ends the run before later steps
     start; with ``on_violation="quarantine"`` such records are left out and counted, and broken rows set aside.
-    ``date_formats`` are the patterns header dates may have (none: ISO notation); how many fit none is in the result.
-    ``multi_line``: see ``read_csv``.
+    ``date_formats`` are the patterns header dates may have (none: ISO notation; ``"infer"``: see ``clean_and_write``); how many fit none
+    is in the result. ``multi_line``: see ``read_csv``.
+
+    ``out_dir`` keeps a list of the steps that are done, each with a fingerprint of the raw files (paths, sizes, times), the settings and the
+    code that its output follows from. With ``resume`` a step whose fingerprint is the same, and whose output is there, is not
+    run again: a run that ended half-way goes on where it stopped. One run at a time per ``out_dir``.
     """
     with cleared_after(spark):
-        return _run(spark, raw_dir, out_dir, rules, forest, on_violation, report_format, date_formats, multi_line)
+        return _run(spark, raw_dir, out_dir, rules, forest, on_violation, report_format, date_formats, multi_line, resume)
 
 
 def _run(spark: SparkSession, raw_dir: str, out_dir: str, rules: RuleConfig, forest: ForestConfig, on_violation: str,
-         report_format: str, date_formats: Sequence[str], multi_line: bool) -> RunResult:
+         report_format: str, date_formats: Sequence[str] | str, multi_line: bool, resume: bool) -> RunResult:
+    steps = Steps(spark, f"{out_dir}/_steps.json", resume)
+    raw = fingerprint(code_fingerprint(), [files.listed(spark, f"{raw_dir}/{f}") for f in RAW_FILES.values()])
+
+    cleaned = fingerprint(raw, on_violation, date_formats, multi_line)
     extra = "drop" if on_violation == "quarantine" else "fail"
-    processed = clean_and_write(spark, raw_dir, f"{out_dir}/processed", date_formats, multi_line, extra)
-    tables = load_tables(read_processed(spark, processed, multi_line), f"{out_dir}/tables", on_violation)
-    result = RunResult(processed, f"{out_dir}/lines", f"{out_dir}/model_data")
-    headers = read_csv(spark, f"{raw_dir}/{RAW_FILES['purchases']}", multi_line=multi_line, extra_fields="drop")
-    if "date" in headers.columns:
-        result.unparsed_dates = unparsed_dates(headers, date_formats).first()["unparsed"]
-    if extra == "drop":
-        result.extra_records = {n: extra_records(spark, f"{raw_dir}/{f}", multi_line) for n, f in RAW_FILES.items()}
-    lines = store(integrate_lines(tables), result.lines)
-
-    def report(sheets: dict[str, DataFrame]) -> None:
-        result.reports.update(write_report(sheets, f"{out_dir}/reports", report_format))
-
-    report(distortion_reports(lines, rules))
-    report(retention_reports(lines, rules))
-    data = store(dataset.model_dataset(lines, rules), result.model_data)
-    report(classifier_reports(data, forest))
-    report(validation_reports(data, rules, forest))
+    intake = Intake(**steps.done("clean", cleaned, lambda: asdict(clean_and_write(
+        spark, raw_dir, f"{out_dir}/processed", date_formats, multi_line, extra)), lambda made: made["paths"].values()))
+    result = RunResult(intake.paths, f"{out_dir}/lines", f"{out_dir}/model_data", unparsed_dates=intake.unparsed_dates,
+                       extra_records=intake.extra_records, date_formats=tuple(intake.date_formats))
+    target = f"{out_dir}/tables"
+
+    def load() -> str:
+        load_tables(read_processed(spark, intake.paths, multi_line), target, on_violation)
+        return current_load(spark, target)
+
+    loaded = fingerprint(cleaned, "load")
+    version = steps.done("load", loaded, load, lambda made: [f"{made}/{name}" for name in LOAD_ORDER])
+    integrated = fingerprint(loaded, "lines")
+    steps.done("lines", integrated, lambda: store(integrate_lines(read_load(spark, version)), result.lines), lambda _: [result.lines])
+    lines = spark.read.parquet(result.lines)
+
+    def report(step: str, settings: str, make: Callable[[], dict[str, DataFrame]]) -> None:
+        result.reports.update(steps.done(step, settings, lambda: write_report(make(), f"{out_dir}/reports", report_format),
+                                         lambda paths: paths.values()))
+
+    settings = fingerprint(integrated, asdict(rules), report_format)
+    report("distortion", settings, lambda: distortion_reports(lines, rules))
+    report("retention", settings, lambda: retention_reports(lines, rules))
+    modelled = fingerprint(integrated, asdict(rules), "model data")
+    steps.done("model data", modelled, lambda: store(dataset.model_dataset(lines, rules), result.model_data), lambda _: [result.model_data])
+    data = spark.read.parquet(result.model_data)
+    settings = fingerprint(modelled, asdict(forest), report_format)
+    report("classifier", settings, lambda: classifier_reports(data, forest))
+    report("validation", settings, lambda: validation_reports(data, rules, forest))
+    result.reused = tuple(steps.reused)
     return result
