@@ -7,8 +7,8 @@ wins. Its probability comes from a softmax whose scale is fitted on documents ke
 cross-entropy lies above its language's threshold, the one that best parts the kept-back documents of the language from those of other
 languages that would be taken for it if their own were not known.
 
-Fitted on a bounded sample of each language, whatever the table's size: about ``SAMPLE_PER_LANGUAGE`` documents, chosen by a hash of the id,
-and of these whole ones until they have ``SAMPLE_CHARACTERS`` characters. Every language that occurs is learned; one in
+Fitted on a bounded sample of each language, whatever the table's size: ``SAMPLE_PER_LANGUAGE`` documents, chosen by a hash of the id,
+and of these whole ones until they have ``SAMPLE_CHARACTERS`` characters; copies count once. Every language that occurs is learned; one in
 ``KEPT_BACK`` documents is kept back from the counts where a language has at least ``LEAST_TO_KEEP_BACK``. All rows are predicted.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null language or id are not learned from. If no language
@@ -207,15 +207,20 @@ def fit(documents: DataFrame, learn: Column | None = None, sample_per_language:
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(
         "doc_id is not null and text is not null and lang is not null")
     rows = rows if learn is None else rows.where(learn)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(sizes, "lang").where(place * F.col("n") < sample_per_language).withColumn("place", place)
-    # Of the drawn documents, which are few for each language, those before which the characters are not reached yet.
-    order = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0))
+    # The documents first in the order of a hash, of each language; a task passes on no more than these of its own rows. Texts stay
+    # where they are until the few are known.
+    text_hash = F.xxhash64("text")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text_hash")
+    few = rows.select("doc_id", "lang", text_hash.alias("text_hash"), F.length("text").alias("chars"), F.xxhash64("doc_id").alias("place")).withColumn(
+        "number", F.row_number().over(order)).where(F.col("number") <= sample_per_language)
+    before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = few.withColumn("before", before).where(F.col("before") < sample_characters).withColumn(
+        "n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     kept_back = (F.col("n") >= LEAST_TO_KEEP_BACK) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(KEPT_BACK)) == 0)
-    sample = stage(drawn.withColumn("before", before).where(F.col("before") < sample_characters).select(
-        "lang", "text", kept_back.alias("kept_back")), "languages")
+    key = ["doc_id", "lang", "text_hash"]
+    named = chosen.groupBy(*key).agg(F.max(kept_back).alias("kept_back"))
+    sample = stage(rows.withColumn("text_hash", text_hash).join(named, key).groupBy(*key, "kept_back").agg(F.first("text").alias("text"))
+                   .select("lang", "text", "kept_back"), "languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
