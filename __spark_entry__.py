@@ -29,7 +29,8 @@ from tidesift.plans.lines import (  # noqa: E402
     prepare_lines,
 )
 from tidesift.session import tune  # noqa: E402
-from tidesift.sources.csv_tables import read_csv, write_csv  # noqa: E402
+from tidesift.functions.dates import readings  # noqa: E402
+from tidesift.sources.csv_tables import extra_records, first_date, read_csv, write_csv  # noqa: E402
 from tidesift.sources.tables import load_tables, read_rejected  # noqa: E402
 
 try:
@@ -191,6 +192,33 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, clean, "product_id string, item string, category string, price double")
 
 
+def csv_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of two files with different column orders and records of too many fields, read without these; how many they are."""
+    folder = staging_path(spark, "raw-products")
+    records = spark.sql(fixture_views.CSV_RECORDS, products=raw_tables(spark, sf_dir)["products"])
+    for i, header in enumerate(fixture_views.CSV_HEADERS):
+        own = records.where(F.col("file") == i).select(F.lit(1).alias("place"), "record")
+        lines = spark.createDataFrame([(0, header)], "place int, record string").union(own)
+        lines.repartition(1).sortWithinPartitions("place", "record").select("record").write.mode("append").text(folder)
+    return read_csv(spark, folder, extra_fields="drop").withColumn("n_extra", F.lit(extra_records(spark, folder)).cast("bigint"))
+
+
+def inferred_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers from files whose dates are written day first, and month first, cleaned with the format that the first date has."""
+    raw, day = raw_tables(spark, sf_dir)["purchases"], F.col("date")
+    year, month, dom = F.substring(day, 1, 4), F.substring(day, 6, 2), F.substring(day, 9, 2)
+    found = []
+    for notation, parts in (("day first", (dom, month, year)), ("month first", (month, dom, year))):
+        turned = raw.withColumn("date", F.when(day.rlike("^[0-9]"), F.concat_ws("/", *parts)).otherwise(day))
+        # The first rows, which decide, have a day that no month has.
+        decides = turned.withColumn("decides", F.col("date").rlike("(^|/)(1[3-9]|2[0-9]|3[01])/"))
+        path = write_csv(decides.orderBy("src_row", F.desc("decides")).drop("src_row", "decides"), staging_path(spark, "purchases"))
+        formats = readings(first_date(spark, path))
+        headers = read_csv(spark, path, file_order=True)
+        found.append(cleaning.clean_purchases(headers, formats=formats[:1]).withColumn("notation", F.lit(notation)))
+    return found[0].unionByName(found[1])
+
+
 def refresh_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full refresh of the stored tables; rows loaded and set aside per table."""
     target = staging_path(spark, "tables")
@@ -344,6 +372,7 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources, checks, cleaning
         "csv_roundtrip": csv_roundtrip,
+        "csv_extra_fields": csv_extra_fields,
         "refresh_load": refresh_load,
         "check_duplicate_keys": _on(keyed_raw, constraints.check_duplicate_keys),
         "check_not_null": _on(keyed_raw, constraints.check_not_null),
@@ -361,6 +390,7 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_products": _clean_one("products"),
         "clean_purchases": _clean_one("purchases"),
         "clean_purchases_formats": american_purchases,
+        "purchases_inferred_format": inferred_purchases,
         "clean_invoice_items": _clean_one("invoice_items"),
         # features and flags
         "temporal_features": _on(lines, lambda d: add_temporal_features(d).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixture_views import FOREST_CLASSES, FOREST_FEATURES, LINES, QUOTED, RAW, duck_text, forest_nodes
+from fixture_views import CSV_EXTRA, FOREST_CLASSES, FOREST_FEATURES, LINES, QUOTED, RAW, duck_text, forest_nodes
 
 # Texts read as missing.
 NA = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', "
@@ -348,6 +348,10 @@ SQL.update({
     "clean_invoice_items": query("SELECT * FROM invoice_items", raw_invoice_items=_RAW["raw_invoice_items"], invoice_items=_CLEAN["invoice_items"]),
     "csv_roundtrip": query("SELECT * FROM products", raw_plain=_RAW["raw_products"], raw_products=duck_text(QUOTED.replace("{products}", "raw_plain")), products=_CLEAN["products"]),
     "clean_purchases_formats": query("SELECT * FROM purchases", raw_purchases=_RAW["raw_purchases"], headers=_CLEAN["headers"], purchases=_CLEAN["purchases"]),
+    "purchases_inferred_format": query("SELECT purchases.*, notation FROM purchases, (SELECT unnest(['day first', 'month first']) AS notation)",
+                                       raw_purchases=_RAW["raw_purchases"], headers=_CLEAN["headers"], purchases=_CLEAN["purchases"]),
+    "csv_extra_fields": query(f"""SELECT nullif(product_id, '') AS product_id, item, nullif(category, '') AS category, nullif(price, '') AS price,
+ (SELECT count(*) FROM raw_products WHERE {CSV_EXTRA}) AS n_extra FROM raw_products WHERE NOT {CSV_EXTRA}""", raw_products=_RAW["raw_products"]),
     "trim_text": query(f"""SELECT "CustomerID" AS raw_id, {text('"CustomerID"')} AS customer_id, customer_type AS raw_type, {text('customer_type')} AS customer_type FROM raw_customers""",
                        raw_customers=_RAW["raw_customers"]),
     "drop_null_keys": query("""SELECT "InvoiceID" AS invoice_id, product_id FROM raw_invoice_items WHERE "InvoiceID" IS NOT NULL AND product_id IS NOT NULL""",

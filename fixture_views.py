@@ -57,6 +57,14 @@ SELECT product_id, CASE WHEN length(item) % 5 = 0 THEN concat('Cable 3" black, l
  WHEN length(item) % 5 = 2 THEN concat('"', item, '"') WHEN length(item) % 5 = 3 THEN concat(item, chr(92), '"') ELSE item END AS item, category, price FROM {products}
 """
 
+# Records of products as they stand in two files of one folder, which order their columns differently; some have fields too many.
+CSV_HEADERS = ("product_id,item,category,price", "product_id,category,item,price")
+CSV_RECORDS = """
+SELECT length(item) % 2 AS file, concat(coalesce(product_id, ''), ',', CASE WHEN length(item) % 2 = 0 THEN concat(item, ',', coalesce(category, '')) ELSE concat(coalesce(category, ''), ',', item) END,
+ ',', price, CASE WHEN length(item) % 5 = 0 THEN ',' WHEN length(item) % 7 = 0 THEN ',,7' ELSE '' END) AS record FROM {products}
+"""
+CSV_EXTRA = "(length(item) % 5 = 0 OR length(item) % 7 = 0)"
+
 # A small forest over six features. A split is (feature, threshold, left, right), a leaf the training rows of each class, whose
 # shares are fractions of powers of two, so that votes add up exactly.
 FOREST_CLASSES = ("Benign", "Harmful", "Strategic")

@@ -181,6 +181,8 @@ def test_empty_extra_fields_are_seen(spark, tmp_path, multi_line):
     counted = Observation("c")
     read_csv(spark, path, multi_line=multi_line, extra_fields="drop", counted=counted).write.parquet(str(tmp_path / "out"))
     assert counted.get == {"extra": 4}
+    assert read_csv(spark, path, multi_line=multi_line, extra_fields="drop").count() == 5
+    assert read_csv(spark, path, multi_line=multi_line, extra_fields="drop").select("b").distinct().count() == 4
     typed = read_csv(spark, path, "a string, b string", multi_line=multi_line, extra_fields="drop")
     assert sorted(rows_of(typed), key=str) == sorted(got, key=str)
 

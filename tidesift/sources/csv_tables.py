@@ -88,7 +88,9 @@ def _records(spark: SparkSession, path: str, schema: T.StructType | str | None,
                   T.StructField(RECORD, T.StringType())]
         df = spark.read.options(**READ_OPTIONS, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD,
                                 enforceSchema=False, columnPruning=False).schema(T.StructType(fields)).csv(files)
-        extra = F.coalesce(n_fields(F.col(RECORD)) > len(names), F.lit(False)).alias("_extra")
+        # Nothing of the first column is added to the text: Spark refuses to read a record's text alone.
+        nothing = F.left(F.coalesce(F.col(f"`{names[0]}`").cast("string"), F.lit("")), F.lit(0))
+        extra = F.coalesce(n_fields(F.concat(F.col(RECORD), nothing)) > len(names), F.lit(False)).alias("_extra")
         where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                  F.monotonically_increasing_id().alias("_row")] if file_order else []
         parts.append(df.select("*", extra, *where))
@@ -97,9 +99,7 @@ def _records(spark: SparkSession, path: str, schema: T.StructType | str | None,
 
 def extra_records(spark: SparkSession, path: str, multi_line: bool = True) -> int:
     """Number of records that have more fields than the header."""
-    df = _records(spark, path, None, multi_line, False)
-    # Spark refuses a query of the records' text alone.
-    return df.agg(F.count_if("_extra").alias("extra"), F.count(F.col(f"`{df.columns[0]}`"))).first()["extra"]
+    return _records(spark, path, None, multi_line, False).where("_extra").count()
 
 
 def read_raw(spark: SparkSession, raw_dir: str, files: Mapping[str, str] = RAW_FILES, fixed_headers: bool = False,
