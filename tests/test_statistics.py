@@ -52,6 +52,26 @@ def test_many_rows_need_several_rounds(spark):
                                                                    rel=1e-12)
 
 
+def test_two_scans_settle_the_quantiles(spark, monkeypatch):
+    """One scan for the sketches, one that counts; more only where the brackets hold too many rows or a sketch misses a rank."""
+    df = spark.range(60_000).select(((F.col("id") * 7919 % 60_013) / 7.0).alias("x"), (F.col("id") % 1000).cast("double").alias("y"))
+    x = np.arange(60_000) * 7919 % 60_013 / 7.0
+    y = np.arange(60_000) % 1000
+    wanted = {"x": (0.01, 0.25, 0.5, 0.75, 0.99), "y": (0.0, 0.25, 1.0)}
+    want = {"x": {p: pytest.approx(np.quantile(x, p)) for p in wanted["x"]}, "y": {p: pytest.approx(np.quantile(y, p)) for p in wanted["y"]}}
+    scans, counts = [], ranks._counts
+    monkeypatch.setattr(ranks, "_counts", lambda long, *keys: scans.append(keys) or counts(long, *keys))
+    assert exact_quantiles(df, wanted) == want and scans == [("grp", "slot", "part")]
+    scans.clear()
+    assert exact_quantiles(df, wanted, gather_rows=200) == want  # cut into parts, and again
+    assert scans[0] == ("grp", "slot", "part") and ("cell", "part") not in scans[:1]
+    monkeypatch.setattr(ranks, "SKETCH_K", 8)
+    monkeypatch.setattr(ranks, "BRACKET", 1e-5)
+    scans.clear()
+    assert exact_quantiles(df, wanted) == want  # a rough sketch and narrow brackets miss ranks
+    assert ("grp", "cell") in scans
+
+
 def test_missing_and_infinite(spark):
     df = column(spark, [None, math.nan, 1.0, math.inf, -math.inf, 3.0])
     got = ranked_values(melt(df, ["x"]), lambda _, n: range(n), 0)["x"]

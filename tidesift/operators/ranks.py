@@ -1,15 +1,16 @@
 """Exact order statistics and quantiles by counting, without a global sort.
 
-The built-in exact ``percentile`` sends every distinct value to one task. Here each pass is one scan with a bounded,
-map-side combined count per value cell:
+The built-in exact ``percentile`` sends every distinct value to one task. Here a first scan makes a mergeable quantile sketch of every
+group, which brackets each wanted rank between two values. A second scan counts what lies below, between and inside the brackets; inside by
+value, so that the ranks are read off. Both scans combine in the tasks and send a bounded number of rows. Two more ways make the result exact
+whatever the data look like:
 
-1. cells of about 2 % relative width over the whole double range, so any distribution splits well;
-2. the cell that holds a wanted rank is cut into equal parts between its own smallest and largest value, again and
-   again, until few enough rows are left in the wanted cells;
-3. the distinct values of those cells are counted and the rank is read off.
+* Where the brackets hold too many rows to count them by value, they are cut into equal parts, and the part that holds a wanted rank again
+  between its own smallest and largest value, until few enough are left.
+* Where a sketch has missed a rank, which it may do by chance, the whole range of doubles is counted in cells of about 2 % relative width
+  first, and the cells are then cut in the same way.
 
-A rank is settled as soon as its cell has a single value. The result is exact whatever the data look like; the driver
-sees cell counts only, whose number is bounded by the constants below.
+A rank is settled as soon as its cell has a single value. The driver sees counts only, whose number is bounded by the constants below.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .staging import evaluated
 CELLS_PER_OCTAVE = 32
 CELLS_PER_SPLIT = 4096
 GATHER_ROWS = 50_000
+SKETCH_K = 4000
+BRACKET = 0.002  # of all rows, to either side of a wanted rank: more than twice a sketch's usual error
 _OCTAVES = 1100  # more than the exponents a double can have, on either side of 1
 _INFINITY_CELL = 2 * _OCTAVES * CELLS_PER_OCTAVE
 
@@ -50,6 +53,13 @@ class _Cell:
     below: int
 
 
+@dataclass
+class _Bracket:
+    low: float
+    high: float
+    ranks: list[int]
+
+
 def _relative_cell(x: Column) -> Column:
     """Whole number that never falls when x rises, about 2 % of x wide."""
     size = F.abs(x)
@@ -80,24 +90,102 @@ def _locate(rows: list, below: int, ranks: Iterable[int], group: str, out: Ranke
     return open_cells
 
 
-def ranked_values(long: DataFrame, wanted: Callable[[str, int], Iterable[int]],
-                  gather_rows: int = GATHER_ROWS) -> dict[str, Ranked]:
-    """Order statistics of ``x`` within each ``grp`` of ``long``.
-
-    ``grp`` (text) may have a handful of values. ``wanted(grp, n)`` names 0-based ranks. NULL and NaN are ignored.
-    """
-    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+def _bracketed(long: DataFrame, wanted: Callable[[str, int], Iterable[int]]) -> tuple[dict[str, Ranked], dict[str, list[_Bracket]]]:
+    """The first scan: each group's size, and disjoint brackets in which its wanted ranks are to be found."""
+    sketched = long.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+                                       F.kll_sketch_agg_double("x", F.lit(SKETCH_K)).alias("sketch")).collect()
     found: dict[str, Ranked] = {}
+    asked: dict[str, list[tuple[int, float, float]]] = {}
+    for r in sketched:
+        out = found[r["grp"]] = Ranked(r["n"])
+        places = {k: k / max(out.n - 1, 1) for k in wanted(r["grp"], out.n) if 0 <= k < out.n}
+        asked[r["grp"]] = [(k, max(0.0, p - BRACKET), min(1.0, p + BRACKET)) for k, p in sorted(places.items())]
+    # Places must be literals: all groups are asked for the places of all.
+    every = sorted({p for ranks in asked.values() for _, a, b in ranks for p in (a, b)})
+    if not every:
+        return found, {}
+    read = long.sparkSession.createDataFrame([(r["grp"], r["sketch"]) for r in sketched], "grp string, sketch binary").select(
+        "grp", F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p) for p in every])).alias("values")).collect()
+    values = {r["grp"]: dict(zip(every, r["values"], strict=True)) for r in read}
+    ends = [{"grp": r["grp"], "rank": k, "low": r["low"] if a <= 0 else values[r["grp"]][a], "high": r["high"] if b >= 1 else values[r["grp"]][b]}
+            for r in sketched for k, a, b in asked[r["grp"]]]
+    brackets: dict[str, list[_Bracket]] = {}
+    for r in sorted(ends, key=lambda r: (r["grp"], r["low"])):
+        own = brackets.setdefault(r["grp"], [])
+        if own and r["low"] <= own[-1].high:
+            own[-1].high = max(own[-1].high, r["high"])
+            own[-1].ranks.append(r["rank"])
+        else:
+            own.append(_Bracket(r["low"], r["high"], [r["rank"]]))
+    return found, brackets
+
+
+def _part_of_bracket(brackets: dict[str, list[_Bracket]]) -> Column:
+    """Number of the equal part of its bracket that a value falls into."""
+    ends = None
+    for group, own in brackets.items():
+        for i, b in enumerate(own):
+            here, both = (F.col("grp") == F.lit(group)) & (F.col("slot") == 2 * i + 1), F.struct(F.lit(b.low).alias("low"), F.lit(b.high).alias("high"))
+            ends = F.when(here, both) if ends is None else ends.when(here, both)
+    width = ends["high"] - ends["low"]
+    share = F.when(width > 0, (F.col("x") - ends["low"]) / width).otherwise(F.lit(0.0))
+    return F.least(F.floor(share * F.lit(float(CELLS_PER_SPLIT))), F.lit(CELLS_PER_SPLIT - 1).cast("long"))
+
+
+def _count_brackets(long: DataFrame, brackets: dict[str, list[_Bracket]], found: dict[str, Ranked], gather_rows: int) -> tuple[dict, dict]:
+    """The second scan: ranks it settles go to ``found``; cells still open, and ranks that lie in no bracket, by group."""
+    x, slot = F.col("x"), None
+    for group, own in brackets.items():
+        for i, b in enumerate(own):
+            for place, reached in ((2 * i, x < F.lit(b.low)), (2 * i + 1, x <= F.lit(b.high))):
+                here = (F.col("grp") == F.lit(group)) & reached
+                slot = F.when(here, F.lit(place)) if slot is None else slot.when(here, F.lit(place))
+    expected = sum(2 * BRACKET * found[g].n * len(b.ranks) for g, own in brackets.items() for b in own)
+    by_value = expected <= gather_rows
+    placed = evaluated(long, F.col("grp").alias("grp"), x.alias("x"), slot.alias("slot")).where(F.col("slot").isNotNull())
+    part = F.col("x") if by_value else _part_of_bracket(brackets)
+    counted: dict[tuple[str, int], list] = {}
+    for r in _counts(placed.withColumn("part", F.when(F.col("slot") % 2 == 1, part)), "grp", "slot", "part"):
+        counted.setdefault((r["grp"], r["slot"]), []).append(r)
+    open_cells: dict[_Cell, list[int]] = {}
+    missed: dict[str, list[int]] = {}
+    for group, own in brackets.items():
+        below = 0
+        for i, b in enumerate(own):
+            below += sum(r["rows"] for r in counted.get((group, 2 * i), ()))
+            rows = sorted(counted.get((group, 2 * i + 1), ()), key=lambda r: r["low"])
+            held = sum(r["rows"] for r in rows)
+            inside_ranks = [k for k in b.ranks if below <= k < below + held]
+            missed.setdefault(group, []).extend(k for k in b.ranks if k not in inside_ranks)
+            open_cells.update(_locate(rows, below, inside_ranks, group, found[group]))
+            below += held
+    return open_cells, {g: ranks for g, ranks in missed.items() if ranks}
+
+
+def _count_cells(long: DataFrame, missed: dict[str, list[int]], found: dict[str, Ranked]) -> dict[_Cell, list[int]]:
+    """Cells over the whole range of doubles, for the ranks that no bracket holds."""
     open_cells: dict[_Cell, list[int]] = {}
     by_group: dict[str, list] = {}
-    for r in _counts(long.withColumn("cell", _relative_cell(F.col("x"))), "grp", "cell"):
+    own = long.where(F.col("grp").isin(list(missed)))
+    for r in _counts(own.withColumn("cell", _relative_cell(F.col("x"))), "grp", "cell"):
         by_group.setdefault(r["grp"], []).append(r)
     for group, rows in by_group.items():
         rows.sort(key=lambda r: r["low"])
-        out = found[group] = Ranked(sum(r["rows"] for r in rows))
-        ranks = {r for r in wanted(group, out.n) if 0 <= r < out.n}
-        open_cells.update(_locate(rows, 0, ranks, group, out))
+        open_cells.update(_locate(rows, 0, missed[group], group, found[group]))
+    return open_cells
 
+
+def ranked_values(long: DataFrame, wanted: Callable[[str, int], Iterable[int]],
+                  gather_rows: int = GATHER_ROWS) -> dict[str, Ranked]:
+    """Order statistics of ``x`` within each ``grp`` of ``long``.
+
+    ``grp`` (text) may have a handful of values. ``wanted(grp, n)`` names 0-based ranks. NULL and NaN are ignored.
+    """
+    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    found, brackets = _bracketed(long, wanted)
+    open_cells, missed = _count_brackets(long, brackets, found, gather_rows) if brackets else ({}, {})
+    if missed:
+        open_cells.update(_count_cells(long, missed, found))
     while open_cells:
         cells = list(open_cells)
         gather = sum(c.rows for c in cells) <= gather_rows
