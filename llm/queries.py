@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_repeats": repeats.SQL,
     "op4_line_quality": line_quality.SQL,
     "op5_topk": topk.SQL,
     "op11_decontamination": contamination.SQL,

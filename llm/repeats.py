@@ -276,3 +276,20 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, text_column: str
     if length is not None:
         kept = kept.withColumn(length, F.coalesce(F.col("new_length").cast(typed.schema[length].dataType), F.col(length)))
     return kept.drop("new_length").toDF(*documents.columns)
+
+
+# The same for DuckDB: windows as texts, counted over the table.
+SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT d, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT d, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1) USING (g)
+), kept AS (
+  SELECT d, string_agg(word, ' ' ORDER BY p) AS words, count(*) AS n
+  FROM (SELECT d, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) ANTI JOIN gone USING (d, p) GROUP BY d
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (d)
+"""
