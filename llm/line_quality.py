@@ -9,7 +9,8 @@ Everything is worked out inside a row with array functions: no shuffle, no explo
 their words' 64-bit hashes, within one document only.
 
 Null, empty and blank texts have no words: all counts are 0, the base fails, the document is not kept. Ids are passed through,
-null or repeated; columns beside the named ones are not read. An empty table gives no rows.
+null or repeated; columns beside the named ones are not read. An empty table gives no rows. A very long text, or line, is read by patterns that
+neither recurse nor go back over what they have matched, in time in proportion to its length.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ partitions' windows pass through the same packer, in rounds of ``FAN_IN`` partit
 into powers of two, which need no padding. All padding of a run is therefore zero.
 
 A null text counts as empty: its only token is the end id. Ids of any type, null or repeated are carried along, each row
-packed on its own. An empty table gives no rows. Columns other than the two named are not read.
+packed on its own. A very long text is encoded as a whole and cut into whole windows. An empty table gives no rows. Columns other than the two named are not read.
 """
 
 from __future__ import annotations

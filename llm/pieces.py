@@ -9,7 +9,8 @@ model's best two ways can differ by less than the other library's single-precisi
 
 Null and empty texts have no ids and decode to the empty text. Models with user-defined pieces, suffix markers or case
 encoding are refused with an error instead of being encoded differently. Repeated rows and null ids are passed
-through; columns beside the named ones are not read. An empty table gives no rows.
+through; columns beside the named ones are not read. An empty table gives no rows. A very long text is encoded segment by segment; one long
+segment is handed to the library as it is.
 """
 
 from __future__ import annotations
