@@ -160,6 +160,11 @@ def _scored_rows(frame: DataFrame) -> DataFrame:
     return frame.select("invoice_id", "outlier_class", forest.nonzero("features").alias("entries"))
 
 
+def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "permuted", lambda: explain.permutation_importances(
+        retrained(spark, sf_dir), validation_split(spark, sf_dir), FOREST))
+
+
 # ---- queries ------------------------------------------------------------------------------------------------------
 def _on(make_input: Callable, report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: report(make_input(spark, sf_dir))
@@ -467,16 +472,14 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retrain_prediction_rows": lambda spark, sf_dir: explain.retrain_predictions(
             retrained(spark, sf_dir), validation_split(spark, sf_dir)).drop("pred_class"),
         "feature_importance_names": _on(importances, _with_total),
-        "permutation_importance_names": lambda spark, sf_dir: explain.permutation_importances(
-            retrained(spark, sf_dir), validation_split(spark, sf_dir), FOREST).select("run", "feature"),
+        "permutation_importance_names": lambda spark, sf_dir: permuted(spark, sf_dir).select("run", "feature"),
         "feature_importance": importances,
         "rf_shap_importance": rf_shap_importance,
         "rf_contextual_contribution": _on(importances, evaluation.contextual_contribution),
         "rf_bucket_breakdown": _on(importances, evaluation.bucket_breakdown),
         "retrain_predictions": lambda spark, sf_dir: explain.retrain_predictions(
             retrained(spark, sf_dir), validation_split(spark, sf_dir)),
-        "permutation_importance": lambda spark, sf_dir: explain.permutation_importances(
-            retrained(spark, sf_dir), validation_split(spark, sf_dir), FOREST),
+        "permutation_importance": permuted,
     }
 
 

@@ -95,24 +95,32 @@ def hash_cuts(df: DataFrame, hash_column: str, take: Mapping[str, int], group: C
 def sample_rows(df: DataFrame, size: int, seed: int) -> DataFrame:
     """Exactly ``size`` rows without replacement, all rows if there are no more: a sample of rows, copies included.
 
-    Different rows are counted once (combined before the shuffle, so a hot row leaves a task as one). Copy 1, 2, ... of a
-    row has the md5 of its text and that number as its place, so copies are taken or left independently of each other.
-    The hashes are spread evenly, so all but about ``size`` rows and a margin drop out in that same scan of the
-    counted rows; what is left is ordered. ``size`` is a documented limit of the report that asks for a sample.
+    Copy 1, 2, ... of a row has the md5 of its text and that number as its place, so copies are taken or left independently of each
+    other. The hashes are spread evenly, so nearly all first copies drop out in a scan of the rows. Which rows have more copies is found
+    by counting 64-bit hashes of the rows, the only thing that all rows send (combined in the tasks first, so a hot row sends one).
+    Rows that are near or have copies are counted exactly, and what is left is ordered. ``size`` is a documented limit
+    of the report that asks for a sample.
     """
     names = df.columns
-    counted = stage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "counted-rows")
-    total = counted.agg(F.sum("_n")).first()[0] or 0
+    total = df.count()
     if size >= total:
-        return counted.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy"), *names).drop("_copy")
-    text = row_text(counted.select(*names))
-    copies = counted.select(*names, text.alias("_text"), F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy"))
-    placed = copies.withColumn("_hash", seeded_hash(F.concat_ws("#", "_text", "_copy"), seed)).drop("_text", "_copy")
+        return df
+    # Out of a generator, a row's text is worked out once for both of its hashes.
+    text = row_text(df)
+    keyed = df.select(*names, F.explode(F.array(text)).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    repeated = stage(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_key"), "repeated-rows")
     share = (size + 8 * math.sqrt(size) + 64) / total
     while True:
-        near = stage(placed.where(_leading_bits(F.col("_hash")) <= min(1.0, share) * 16.0**_DIGITS), "sample-candidates")
-        if share >= 1 or near.count() >= size:
-            return near.orderBy("_hash", *names).limit(size).drop("_hash")
+        limit = min(1.0, share) * 16.0**_DIGITS
+        first = seeded_hash(F.concat_ws("#", "_text", F.lit(1)), seed)
+        near = keyed.withColumn("_near", _leading_bits(first) <= limit).join(
+            repeated.withColumn("_again", F.lit(True)), "_key", "left").where(F.col("_near") | F.col("_again").isNotNull())
+        counted = near.groupBy(*names, "_text").agg(F.count(F.lit(1)).alias("_n"))
+        copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+        placed = copies.withColumn("_hash", seeded_hash(F.concat_ws("#", "_text", "_copy"), seed)).select(*names, "_hash")
+        found = stage(placed.where(_leading_bits(F.col("_hash")) <= limit), "sample-candidates")
+        if share >= 1 or found.count() >= size:
+            return found.orderBy("_hash", *names).limit(size).drop("_hash")
         share *= 2
 
 
