@@ -89,5 +89,5 @@ def test_bounds_spare_distances():
         d = ((x[:, None, :] - c.exact[None]) ** 2).sum(-1)
         assert (near == d.argmin(1)).all()
         before, rows = rows, [[int(s) // int((near == n).sum()) for s in x[near == n].sum(0)] for n in range(20)]
-    assert searched[0] == len(x)
+    assert searched[0] >= 0.9 * len(x)  # those of the first centroid can be settled by half its distance to the next
     assert searched[-1] < len(x) / 10
