@@ -218,7 +218,8 @@ def fit(documents: DataFrame, learn: Column | None = None, sample_per_language:
         "n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     kept_back = (F.col("n") >= LEAST_TO_KEEP_BACK) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(KEPT_BACK)) == 0)
     key = ["doc_id", "lang", "text_hash"]
-    named = chosen.groupBy(*key).agg(F.max(kept_back).alias("kept_back"))
+    # Written first: Spark then knows how few they are before it decides how to join them with the texts.
+    named = stage(chosen.groupBy(*key).agg(F.max(kept_back).alias("kept_back")), "drawn")
     sample = stage(rows.withColumn("text_hash", text_hash).join(named, key).groupBy(*key, "kept_back").agg(F.first("text").alias("text"))
                    .select("lang", "text", "kept_back"), "languages")
 
