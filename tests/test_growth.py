@@ -1,0 +1,28 @@
+"""What a task holds and what a query moves must not depend on how much input there is."""
+
+from __future__ import annotations
+
+import __spark_entry__ as registry
+from pyspark.sql import functions as F
+from tidesift.plans import dataset, distortion
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def _lines(spark):
+    rows = [(str(i // 3), f"2024-01-{1 + i % 28:02d}", str(i % 7), "private", str(i % 5), f"c{i % 4}", 2.0, 3.0, 6.0) for i in range(60)]
+    names = "invoice_id string, date string, customer_id string, customer_type string, product_id string, category string, quantity double, price double, line_total double"
+    return spark.createDataFrame(rows, names).withColumn("date", F.to_timestamp("date"))
+
+
+def test_shuffles_of_the_invoice_reports_start_with_many_parts(spark):
+    # The session's own number is 4: a task would hold a quarter of whatever comes.
+    for report in (dataset.invoice_features, distortion.invoice_level, dataset.dominant_category):
+        assert ", 1000)" in _plan(report(_lines(spark)))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_small_shuffles_are_joined_again(spark):
+    assert dataset.invoice_features(_lines(spark)).rdd.getNumPartitions() <= 8
