@@ -70,8 +70,9 @@ def flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the line view, which its two passes read by few columns: storing all lines would move several times as much."""
     return _once(spark, sf_dir, "model data",
-                 lambda: stage(dataset.model_dataset(stored_lines(spark, sf_dir)), "model-data"))
+                 lambda: stage(dataset.model_dataset(line_view(spark, sf_dir)), "model-data"))
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -217,7 +218,9 @@ def inferred_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         turned = raw.withColumn("date", F.when(day.rlike("^[0-9]"), F.concat_ws("/", *parts)).otherwise(day))
         # The first rows, which decide, have a day that no month has.
         decides = turned.withColumn("decides", F.col("date").rlike("(^|/)(1[3-9]|2[0-9]|3[01])/"))
-        path = write_csv(decides.orderBy("src_row", F.desc("decides")).drop("src_row", "decides"), staging_path(spark, "purchases"))
+        # Sorted by all columns: by the first two alone, nearly all rows would be one key, one task and one file.
+        placed = decides.orderBy("src_row", F.desc("decides"), "InvoiceID", "date", "CustomerID").drop("src_row", "decides")
+        path = write_csv(placed, staging_path(spark, "purchases"))
         formats = readings(first_date(spark, path))
         headers = read_csv(spark, path, file_order=True)
         found.append(cleaning.clean_purchases(headers, formats=formats[:1]).withColumn("notation", F.lit(notation)))

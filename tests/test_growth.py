@@ -26,3 +26,39 @@ def test_shuffles_of_the_invoice_reports_start_with_many_parts(spark):
 
 def test_small_shuffles_are_joined_again(spark):
     assert dataset.invoice_features(_lines(spark)).rdd.getNumPartitions() <= 8
+
+
+def test_sorted_purchases_are_no_single_part(spark, monkeypatch, tmp_path):
+    rows = [(0, str(i), "not-a-date" if i % 71 == 0 else f"2024-{1 + i % 12:02d}-{1 + i % 28:02d}", str(i % 9)) for i in range(2000)]
+    raw = spark.createDataFrame(rows, "src_row int, InvoiceID string, date string, CustomerID string")
+    shares = []
+
+    def watched(df, path):
+        parts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        shares.append(max(parts) / sum(parts))
+        return write(df, path)
+
+    write = registry.write_csv
+    monkeypatch.setattr(registry, "raw_tables", lambda spark, sf_dir: {"purchases": raw})
+    monkeypatch.setattr(registry, "write_csv", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry.inferred_purchases(spark, "none")
+        assert found.count() == 2 * sum(r[2] != "not-a-date" for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(shares) == 2 and max(shares) < 0.4  # by source and deciding day alone: more than half the rows are one key
+
+
+def test_model_data_stores_no_lines(spark, sf_dir, monkeypatch):
+    stored = []
+
+    def watched(df, label):
+        stored.append(label)
+        return stage(df, label)
+
+    stage = registry.stage
+    monkeypatch.setattr(registry, "_shared", {})
+    monkeypatch.setattr(registry, "stage", watched)
+    registry.model_data(spark, sf_dir)
+    assert stored == ["model-data"]
