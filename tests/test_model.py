@@ -208,3 +208,11 @@ def test_feature_rows_of_many_categories(spark):
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert got.count() == 2 * (n + 20)
     assert {(r.feature, r.value) for r in got.where("invoice_id = '50003'").collect()} == {("f3", 1.0), (f"f{n + 1}", 1.0)}
+
+
+def test_kept_nodes_give_the_same_trees(encoded):
+    """The default keeps the nodes between passes; without that a pass walks down every tree for every row."""
+    assert ForestConfig().cache_nodes
+    walked, kept = [classifier.train_forest(encoded, 42, ForestConfig(num_trees=5, cache_nodes=c)) for c in (False, True)]
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (walked, kept)]  # the first line has the model's own name
+    assert trees[0] == trees[1]
