@@ -216,3 +216,17 @@ def test_kept_nodes_give_the_same_trees(encoded):
     walked, kept = [classifier.train_forest(encoded, 42, ForestConfig(num_trees=5, cache_nodes=c)) for c in (False, True)]
     trees = [m.toDebugString.split("\n", 1)[1] for m in (walked, kept)]  # the first line has the model's own name
     assert trees[0] == trees[1]
+
+
+def test_parts_of_the_training_rows_do_not_grow_with_the_shuffles(spark, encoded):
+    """200 shuffle partitions for 180 rows: the rows are dealt to 24 parts as before with 24, and the trees are the same."""
+    shuffles, trees = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (24, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            trees.append(classifier.train_forest(encoded, 42, ForestConfig(num_trees=3)).toDebugString.split("\n", 1)[1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert trees[0] == trees[1]
+    assert [classifier._parts(n, most, ForestConfig()) for n, most in ((180, 8), (10**6, 600), (10**9, 600))] == [8, 34, 600]
+    assert classifier._parts(10**6, 600, ForestConfig(train_partitions=7)) == 7
