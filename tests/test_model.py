@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -230,3 +232,22 @@ def test_parts_of_the_training_rows_do_not_grow_with_the_shuffles(spark, encoded
     assert trees[0] == trees[1]
     assert [classifier._parts(n, most, ForestConfig()) for n, most in ((180, 8), (10**6, 600), (10**9, 600))] == [8, 34, 600]
     assert classifier._parts(10**6, 600, ForestConfig(train_partitions=7)) == 7
+
+
+@pytest.mark.parametrize(("cells", "most"), [(1, 1), (2 * 180 * 9, 2), (10**9, 3)])
+def test_large_fits_run_with_fewer_others(encoded, monkeypatch, cells, most):
+    running, seen, lock = [], [], threading.Lock()
+
+    def fit(encoded, seed, cfg):
+        with lock:
+            running.append(seed)
+            seen.append(len(running))
+        time.sleep(0.3)
+        with lock:
+            running.remove(seed)
+        return seed
+
+    monkeypatch.setattr(explain, "train_forest", fit)
+    seeds = (1, 2, 3)
+    assert explain.retrain(encoded, ForestConfig(num_trees=9, retrain_seeds=seeds, cells_at_once=cells)) == list(seeds)
+    assert max(seen) == most
