@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from helpers import DAY
 from tidesift.config import ForestConfig
-from tidesift.plans import classifier, evaluation, explain
+from tidesift.plans import classifier, evaluation, explain, forest
 
 SMALL = ForestConfig(num_trees=9, retrain_seeds=(41, 42), permutation_repeats=3)
 
@@ -251,3 +251,48 @@ def test_large_fits_run_with_fewer_others(encoded, monkeypatch, cells, most):
     seeds = (1, 2, 3)
     assert explain.retrain(encoded, ForestConfig(num_trees=9, retrain_seeds=seeds, cells_at_once=cells)) == list(seeds)
     assert max(seen) == most
+
+
+def test_a_model_as_arrays_loses_what_scoring_all_rows_loses(spark):
+    """Small thresholds, repeated features, NaN and infinite values, ties of votes: against walking down every tree for every case."""
+    r = random.Random(8)
+    draw = lambda: r.choice([0.0, 0.0, 1.0, -1.0, 0.5, 2.0, float("nan"), float("inf"), float("-inf")])
+
+    def grow(rows, level):
+        at = len(rows)
+        rows.append(None)
+        if level == 0 or r.random() < 0.2:
+            rows[at] = (None, None, None, None, [float(r.randrange(4)), 1.0, float(r.randrange(4))])
+        else:
+            split = (r.choice([0, 2, 3, 5]), r.choice([-0.5, 0.0, 0.5, 1.5]))
+            left, right = grow(rows, level - 1), grow(rows, level - 1)
+            rows[at] = (*split, left, right, [a + b for a, b in zip(rows[left][4], rows[right][4], strict=True)])
+        return at
+
+    for trees in (1, 2, 9):
+        grown = [[] for _ in range(trees)]
+        for rows in grown:
+            grow(rows, 6)
+        forest_rows = [(t, n, *row) for t, rows in enumerate(grown) for n, row in enumerate(rows)]
+        flat = forest.FlatForest(spark.createDataFrame(forest_rows, forest.NODES).toArrow())
+        nodes = {row[:2]: row[2:] for row in forest_rows}
+
+        def best(x):
+            votes = [0.0] * 3
+            for t in range(trees):
+                at = nodes[t, 0]
+                while at[0] is not None:
+                    at = nodes[t, at[2] if x[at[0]] <= at[1] else at[3]]
+                votes = [v + c / sum(at[4]) for v, c in zip(votes, at[4], strict=True)]
+            return votes.index(max(votes))
+
+        own, donors = np.array([[draw() for _ in range(6)] for _ in range(30)]), np.array([[[draw() for _ in range(6)] for _ in range(30)] for _ in range(2)])
+        label = np.array([float(r.randrange(3)) for _ in range(30)])
+        want = np.zeros((2, 6), int)
+        for rep, row, k in itertools.product(range(2), range(30), range(6)):
+            x = own[row].copy()
+            x[k] = donors[rep, row, k]
+            want[rep, k] += int(best(own[row]) == label[row]) - int(best(x) == label[row])
+        found = np.zeros((2, 6), int)
+        found[:, flat.used] = flat.hits_lost(own[:, flat.used], label, donors[:, :, flat.used])
+        assert found.tolist() == want.tolist()
