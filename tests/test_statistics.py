@@ -170,3 +170,8 @@ def test_sums_are_those_of_fsum(spark, values, seed):
     assert total(df) == pytest.approx(math.fsum(values), rel=1e-15, abs=1e-18)
     chosen = [v for v in values if v > 0]
     assert total(df, where=F.col("x") > 0) == (pytest.approx(math.fsum(chosen), rel=1e-15) if chosen else None)
+
+
+@pytest.mark.parametrize("values", [[51032059839686.0, -45773416017873.5], [9.87654321987654e24, -9.87654321987653e24], [-2.0**42 - 0.125, 2.0**43 + 0.25]])
+def test_sums_of_large_amounts_keep_all_digits(spark, values):
+    assert total(column(spark, values)) == math.fsum(values)
